@@ -58,3 +58,8 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
     w = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum(part).over(w), F.lit(0)))
     return rows.join(subtotal, [*keys, bucket]).withColumn(out, F.col(out) + F.col(before)).drop(bucket, part, before)
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int = 100_000) -> DataFrame:
+    """left joined with a written table: broadcast where its count is small enough, else left to the planner."""
+    return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
