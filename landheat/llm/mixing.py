@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landheat.llm.common import running_total, text_key, written
 
@@ -190,7 +191,7 @@ class Mix:
         return rows.select(docs.columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _taken_words(text: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else taken_words(t, list(zip(a, b))) for t, a, b in zip(text, start, stop)], dtype=object)
 
