@@ -137,7 +137,7 @@ def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo, base = hi, int(ends[hi - 1])
 
 
-def _node_links(rows: pd.DataFrame, depth: int, budget: int) -> pd.DataFrame:
+def node_links(rows: pd.DataFrame, depth: int, budget: int) -> pd.DataFrame:
     """Links of one trie node: its own fingerprints with one another and with guests from nodes one bit away."""
     which = int(rows["third"].iloc[0])
     by, node = THIRDS[which], np.uint64(rows["node"].iloc[0])
@@ -185,7 +185,7 @@ def trie_self_join(prints: DataFrame, budget: int = 4) -> DataFrame:
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("cells")).cast("int")
     both = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda k: F.least(k, mine) * F.col("cells") + F.greatest(k, mine))
     rows = rows.withColumn("cell", F.explode(F.array_distinct(both))).select("third", "node", "cell", "fingerprint")
-    links = rows.groupBy("third", "node", "cell").applyInPandas(partial(_node_links, depth=depth, budget=budget), "a long, b long")
+    links = rows.groupBy("third", "node", "cell").applyInPandas(partial(node_links, depth=depth, budget=budget), "a long, b long")
     return links
 
 

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landheat.llm import simhash
 from landheat.llm.common import held_out, written
 
 #: Labelled examples of each class that are learned from, at most; terms in the index, at most.
@@ -23,7 +24,7 @@ EXAMPLES, TERMS = 3000, 4096
 LEAST_Z, LEAST_DOCS = 5.0, 3
 #: Characters of the word beginnings that count as terms beside whole words.
 STEMS = (4, 5, 6)
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 0.5, 64
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 2.0, 64
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
 
@@ -57,6 +58,20 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([counts[1][t] for t in every], pa.int64()), pa.array([counts[0][t] for t in every], pa.int64())], names=["term", "toxic", "other"])
 
 
+def _unlike(rows: DataFrame) -> DataFrame:
+    """A bounded set of documents without near-copies: of each group that SimHash links the smallest id stays."""
+    found = simhash.fingerprints(rows).toPandas()
+    ids = found["doc_id"].to_numpy()
+    prints, group = np.unique(found["fingerprint"].to_numpy(np.int64), return_inverse=True)
+    label = np.arange(len(prints))
+    for third in range(len(simhash.THIRDS)):
+        links = simhash.node_links(pd.DataFrame({"third": third, "node": 0, "fingerprint": prints}), depth=0, budget=4) if len(prints) else pd.DataFrame({"a": [], "b": []})
+        label = simhash.unite(label, np.searchsorted(prints, links["a"]), np.searchsorted(prints, links["b"]))
+    first = pd.Series(ids).groupby(label[group]).min().tolist()
+    kept = rows.sparkSession.createDataFrame([(i,) for i in first], rows.select("doc_id").schema)
+    return rows.join(F.broadcast(kept), "doc_id").dropDuplicates(["doc_id"])
+
+
 class Terms:
     """Finds the index terms of a text; remembers which of its words have any."""
 
@@ -167,9 +182,9 @@ class ToxicityModel:
         """Learns from the labelled rows handed over: labels (doc_id, toxic) of docs (doc_id, text).
 
         At most `examples` rows of each class are taken, by a hash of their ids; they, the terms that tell the classes
-        apart (at most most_terms) and one count per term come to the driver. Term weights rest on the counts of all
-        of corpus. Null ids and labels are left out; where an id has several labels the largest holds; repeated
-        documents are repeated examples of one id.
+        apart (at most most_terms) and one count per term come to the driver. Of examples that are near-copies one
+        stays, lest a text that was copied often make its chance words look telling. Term weights rest on the counts
+        of all of corpus. Null ids and labels are left out; where an id has several labels the largest holds.
         """
         known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
         known = written(known, "labels")
@@ -177,7 +192,7 @@ class ToxicityModel:
         prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
         picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(examples) for c in (0, 1)]
         rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-        rows = written(rows, "examples")
+        rows = written(_unlike(rows), "examples")
         n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
         counts = rows.select("toxic", "text").mapInArrow(_class_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
