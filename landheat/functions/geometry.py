@@ -6,14 +6,14 @@ All but the clip are array expressions that run in the JVM.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landheat.schemas import POLYGONS
-
 # Kilometres per degree in the box formula, square kilometres per square degree at 13 degrees north.
 KM_PER_DEGREE = 111.32
 KM2_PER_DEGREE2 = 110.6**2 * math.cos(math.radians(13.0))
@@ -226,11 +226,13 @@ def clip_polygon(rings: list, box: tuple[float, float, float, float]) -> list:
     return [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in parts]
 
 
-def clipped(polygons: Column, box: tuple[float, float, float, float]) -> Column:
-    """The parts of all polygons inside the rectangle; runs in Python, one zone at a time within Arrow batches."""
+def _clipped(batches: Iterator[pa.RecordBatch], box: tuple[float, float, float, float]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("polygons")
+        cut = [None if p is None else [part for rings in p for part in clip_polygon(rings, box)] for p in batch.column(at).to_pylist()]
+        yield batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
 
-    @F.pandas_udf(POLYGONS)
-    def clip(many: pd.Series) -> pd.Series:
-        return many.map(lambda polygons: None if polygons is None else [part for rings in polygons for part in clip_polygon(rings, box)])
 
-    return clip(polygons)
+def clipped(df: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """df with `polygons` cut to the rectangle: the parts of all polygons inside it. Runs in Python on Arrow batches."""
+    return df.mapInArrow(partial(_clipped, box=box), df.schema)

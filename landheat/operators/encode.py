@@ -45,15 +45,15 @@ def fold_of(keys: list[str], k: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(k)).cast("int")
 
 
-def encode_folded(df: DataFrame, target: str, categories: list[str], keys: list[str], k: int = 5, smoothing: float = 10.0) -> DataFrame:
+def encode_folded(df: DataFrame, target: str, categories: list[str], keys: list[str], k: int = 5, smoothing: float = 10.0, fold: Column | None = None) -> DataFrame:
     """Adds <category>_encoded from the rows of the other folds only; null or unseen categories have those rows' mean.
 
     One pass: sums per (category, fold), their totals per category, and totals less a fold's own give what k passes
-    would. k <= 1 is the plain encoding.
+    would. Folds go by a hash of the keys unless `fold` gives them. k <= 1 is the plain encoding.
     """
     if k <= 1:
         return encode(df, target, categories, smoothing)
-    df = df.withColumn("__fold", fold_of(keys, k))
+    df = df.withColumn("__fold", fold_of(keys, k) if fold is None else fold)
     own = df.groupBy("__fold").agg(F.sum(target).alias("s"), F.count(target).alias("n"))
     every = Window.partitionBy(F.lit(1))  # k rows
     others = own.select("__fold", F.try_divide(F.sum("s").over(every) - F.coalesce("s", F.lit(0.0)), F.sum("n").over(every) - F.col("n")).alias("__overall"))

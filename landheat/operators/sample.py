@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ZONE_COLUMNS = ("zoning_category", "zoning_target_encoded", "zoning_category_encoded")
-#: Distinct coordinates per axis and year that are sent to all executors.
-MOST_COORDINATES = 500_000
 
 
 def grid_step(rate: float) -> int:
@@ -31,13 +29,14 @@ def systematic_grid(df: DataFrame, rate: float) -> DataFrame:
     step = grid_step(rate)
     if step == 1:
         return df.filter("lon is not null and lat is not null")
+    out = df
     for axis in ("lon", "lat"):
-        values = df.filter(F.col(axis).isNotNull()).select("year", axis).distinct()
+        values = df.filter("lon is not null and lat is not null").select("year", axis).distinct()
         rank = F.row_number().over(Window.partitionBy("year").orderBy(axis))
-        kept = values.withColumn("__rank", rank).filter(F.col("__rank") % step == 0).drop("__rank")
-        kept = kept.withColumnsRenamed({"year": "__year", axis: f"__{axis}"})
-        df = df.join(kept, df["year"].eqNullSafe(kept["__year"]) & (df[axis] == kept[f"__{axis}"]), "left_semi")
-    return df
+        kept = values.withColumn("__rank", rank).filter(F.col("__rank") % step == 0)
+        kept = kept.select(F.col("year").alias("__year"), F.col(axis).alias(f"__{axis}"))
+        out = out.join(kept, F.col("year").eqNullSafe(F.col("__year")) & (F.col(axis) == F.col(f"__{axis}")), "left_semi")
+    return out
 
 
 def stratified(df: DataFrame, rate: float, zone_columns: tuple[str, ...] = ZONE_COLUMNS, buckets: int = 64) -> DataFrame:

@@ -104,7 +104,7 @@ def drop_reason(polygons: Column, most_km2: float = g.MOST_AREA_KM2) -> Column:
 def clipped_zones(zones: DataFrame, box: tuple[float, float, float, float], most_km2: float = g.MOST_AREA_KM2) -> DataFrame:
     """Zones cut to the box, one polygon a row, with `reason` for those to drop."""
     whole = repaired(zones)
-    cut = whole.withColumn("polygons", g.clipped(F.col("polygons"), box))
+    cut = g.clipped(whole, box)
     gone = cut.filter(F.size("polygons") == 0).select("zone_id", "zoning_category", F.lit(0).alias("part"), "polygons")
     rows = split_polygons(cut).unionByName(gone)
     return rows.withColumn("reason", drop_reason(F.col("polygons"), most_km2))

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+PIXEL_LONG = "tile_id string, lat double, lon double, band string, value double, timestamp timestamp, lulc_class string"
 
-PIXEL_LONG = T.StructType.fromDDL("tile_id string, lat double, lon double, band string, value double, timestamp timestamp, lulc_class string")
-
-SCENE_META = T.StructType.fromDDL(
+SCENE_META = (
     "scene_id string, acquisition_datetime string, cloud_cover double, wrs_path int, wrs_row int, band_files map<string,string>, "
     "k1_constant_band_10 double, k2_constant_band_10 double, k1_constant_band_11 double, k2_constant_band_11 double, processing_level string"
 )
 
 #: Rings of a polygon: the outer one first, then holes. A zone may hold several polygons.
-RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-POLYGONS = T.ArrayType(T.ArrayType(RING))
-ZONE = T.StructType([T.StructField("zone_id", T.LongType()), T.StructField("zoning_category", T.StringType()), T.StructField("polygons", POLYGONS)])
+ZONE = "zone_id long, zoning_category string, polygons array<array<array<struct<x: double, y: double>>>>"
 
 # Canonical band names by provider key, and their scale and offset.
 BAND_NAMES = {

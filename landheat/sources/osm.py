@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landheat.functions import geometry as g
 
-ELEMENTS = T.StructType.fromDDL(
+ELEMENTS = (
     "elements array<struct<type: string, id: long, lon: double, lat: double, tags: map<string,string>, nodes: array<long>, members: array<struct<type: string, ref: long, role: string>>>>"
 )
 

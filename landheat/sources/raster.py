@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landheat.functions import indices, reproject
 from landheat.operators import quality
@@ -134,7 +135,7 @@ def pixel_rows(grid: DataFrame, times: DataFrame) -> DataFrame:
         indices.rounded(F.col("value"), 6).alias("value"),
         indices.or_epoch(F.col("acquired")).alias("timestamp"),
         F.lit("").alias("lulc_class"),
-    ).to(PIXEL_LONG)
+    ).to(T.StructType.fromDDL(PIXEL_LONG))
 
 
 def scene_pixels(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, most_cloud: float = 10.0, scenes: list[str] | None = None) -> DataFrame:

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landheat.config import Config
 from landheat.functions.indices import flexible_int
 from landheat.schemas import ASSET_KEYS, REQUIRED_ASSETS, SCENE_META
 
-FEATURE = T.StructType.fromDDL(
-    "id string, collection string, geometry string, bbox array<double>, "
-    "properties struct<datetime: string, platform: string, `eo:cloud_cover`: double, `landsat:wrs_path`: string, `landsat:wrs_row`: string>, "
-    "assets map<string, struct<href: string, type: string, title: string>>"
+FEATURE = (
+    "id: string, collection: string, geometry: string, bbox: array<double>, "
+    "properties: struct<datetime: string, platform: string, `eo:cloud_cover`: double, `landsat:wrs_path`: string, `landsat:wrs_row`: string>, "
+    "assets: map<string, struct<href: string, type: string, title: string>>"
 )
-PAGE = T.StructType([T.StructField("features", T.ArrayType(FEATURE))])
+PAGE = f"features array<struct<{FEATURE}>>"
 
 #: Bands that a matched scene takes from each side.
 FROM_TOA, FROM_L2 = ("B4", "B5", "B10", "B11"), ("ST_B10", "QA_PIXEL")

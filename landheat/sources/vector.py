@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landheat.functions.geometry import vertex_mean
 from landheat.operators.filters import finite
@@ -29,7 +30,7 @@ def class_label(properties: Column, keys: tuple[str, ...] = CLASS_KEYS) -> Colum
 def _records(rows: DataFrame) -> DataFrame:
     """PIXEL_LONG rows of (tile_id, x, y, label)."""
     found = rows.filter(finite(F.col("x")) & finite(F.col("y")))
-    return found.select("tile_id", F.col("y").alias("lat"), F.col("x").alias("lon"), F.lit(BAND).alias("band"), F.lit(1.0).alias("value"), F.timestamp_millis(F.lit(0)).alias("timestamp"), F.col("label").alias("lulc_class")).to(PIXEL_LONG)
+    return found.select("tile_id", F.col("y").alias("lat"), F.col("x").alias("lon"), F.lit(BAND).alias("band"), F.lit(1.0).alias("value"), F.timestamp_millis(F.lit(0)).alias("timestamp"), F.col("label").alias("lulc_class")).to(T.StructType.fromDDL(PIXEL_LONG))
 
 
 def geojson_records(features: DataFrame, source: str) -> DataFrame:

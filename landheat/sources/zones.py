@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Coordinates stay text at first: their depth depends on the geometry's type.
-FEATURES = T.StructType.fromDDL("type string, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>")
+FEATURES = "type string, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
 _RING = "array<array<double>>"
 
 
