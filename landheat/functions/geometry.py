@@ -125,7 +125,8 @@ def contains(polygons: Column, x: Column, y: Column) -> Column:
     """True strictly inside one of the polygons: an odd number of crossings over its rings, and on no edge."""
 
     def inside(rings: Column) -> Column:
-        total = F.aggregate(rings, F.lit(0), lambda s, r: F.when((s < 0) | (ring_crossings(r, x, y) < 0), -1).otherwise(s + ring_crossings(r, x, y)))
+        counts = F.transform(rings, lambda r: ring_crossings(r, x, y))
+        total = F.aggregate(counts, F.lit(0), lambda s, n: F.when((s < 0) | (n < 0), -1).otherwise(s + n))
         return (total > 0) & (total % 2 == 1)
 
     return F.exists(polygons, inside)

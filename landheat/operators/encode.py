@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landheat.sources.shared import written
+
 
 def category_stats(df: DataFrame, category: str, target: str) -> DataFrame:
     """(category, mean, n): average and count of the targets that are not null."""
@@ -23,20 +25,24 @@ def encode(df: DataFrame, target: str, categories: list[str], smoothing: float =
     """Adds <category>_encoded: the category's mean target, drawn to the overall mean by `smoothing`.
 
     Means come from all rows, or those of fit_filter. A null category, or one without targets, has null, or with
-    on_missing="mean" the overall mean. Statistics have a row per category: small ones are broadcast by the planner
-    by their measured size, larger ones shuffled.
+    on_missing="mean" the overall mean. One pass over the rows gives the statistics of all categories and the overall
+    mean; they are written to the shared folder, so df is not computed once more for each of them. Statistics have a
+    row per category: the planner broadcasts small ones by their measured size and shuffles larger ones.
     """
     if on_missing not in ("null", "mean"):
         raise ValueError(f"unknown on_missing {on_missing}")
+    names = distinct_names(categories)
     fit = df if fit_filter is None else df.filter(fit_filter)
-    overall = fit.agg(F.avg(target).alias("__overall"))
-    for category in distinct_names(categories):
-        stats = category_stats(fit.filter(F.col(category).isNotNull()), category, target)
-        # the overall mean is one row by its making, so a nested loop with it is a broadcast of one number
-        stats = stats.join(F.broadcast(overall)).select(category, smoothed(F.col("mean"), F.col("n"), F.col("__overall"), smoothing).alias(f"{category}_encoded"))
-        df = df.join(stats, category, "left")
+    sets = fit.select(target, *names).groupingSets([*([n] for n in names), []], *names)
+    stats = written(sets.agg(F.avg(target).alias("mean"), F.count(target).alias("n"), F.grouping_id().alias("set")), "target-stats")
+    whole = (1 << len(names)) - 1
+    overall = stats.filter(F.col("set") == whole).select(F.col("mean").alias("__overall"))  # one row
+    for k, name in enumerate(names):
+        own = stats.filter((F.col("set") == whole - (1 << (len(names) - 1 - k))) & F.col(name).isNotNull())
+        own = own.join(F.broadcast(overall)).select(name, smoothed(F.col("mean"), F.col("n"), F.col("__overall"), smoothing).alias(f"{name}_encoded"))
+        df = df.join(own, name, "left")
         if on_missing == "mean":
-            df = df.join(F.broadcast(overall)).withColumn(f"{category}_encoded", F.coalesce(f"{category}_encoded", "__overall")).drop("__overall")
+            df = df.join(F.broadcast(overall)).withColumn(f"{name}_encoded", F.coalesce(f"{name}_encoded", "__overall")).drop("__overall")
     return df
 
 
