@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +18,22 @@ from pyspark.sql import functions as F
 from landheat.llm.common import running_total, written
 
 CAPACITY = 2048
-#: Distinct words whose ids a task remembers; beyond that it starts afresh.
-CACHE_WORDS = 200_000
+#: Distinct words in one generation of those whose ids a worker remembers; it keeps two.
+CACHE_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Punctuation that, at a word's end, is a token run of its own.
+MARKS = ".,;:!?"
+
+
 class WordTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers, found word by word.
 
     The tokenizer never joins what white space parts, so ids of a text are those of its words in turn, and each
-    distinct word is encoded once.
+    distinct word is encoded once. Words are kept in two generations: when the young one is full it becomes the old
+    one, whose words move up again as they are met, so common words stay.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -35,26 +41,55 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.encode = partial(Tokenizer.from_file(path).encode_batch_fast, add_special_tokens=False)
-        self.cache_words, self.known = cache_words, {"": b""}
+        self.cache_words, self.young, self.old = cache_words, {"": b""}, {}
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            known = self.known
-            new = list({w for w in words if w not in known})
-            if new:
-                if len(known) > self.cache_words:
-                    known.clear()
-                    known[""] = b""
-                    new = list({w for w in words if w})
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.encode(part)))
-            yield b"".join(map(known.__getitem__, words))
+        for k in range(0, len(texts), 64):
+            split = [(t or "").replace("\n", " ").split(" ") for t in texts[k : k + 64]]
+            if len(self.young) > self.cache_words:
+                self.young, self.old = {"": b""}, self.young
+            self._learn({w for words in split for w in words}.difference(self.young))
+            known = self.young.__getitem__
+            for words in split:
+                yield b"".join(map(known, words))
+
+    def _learn(self, new: set[str]) -> None:
+        young, old = self.young, self.old
+        parts = {}
+        for w in new:
+            if w in old:
+                young[w] = old[w]
+            else:
+                parts[w] = self._parts(w)
+        fresh = {p for own in parts.values() for p in own if p not in young}
+        young.update((p, old[p]) for p in fresh if p in old)
+        fresh = [p for p in fresh if p not in young]
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
+            young.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.encode(some)))
+        young.update((w, b"".join(young[p] for p in own)) for w, own in parts.items() if len(own) > 1 or own[0] != w)
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """Parts that are encoded on their own: letters and the marks after them, where that gives the same ids.
+
+        The tokenizer starts a new run of characters where letters end, and reads letters in lower case; beyond
+        U+00FF a character's case can depend on its neighbours, so such words stay as they are.
+        """
+        core = word.rstrip(MARKS)
+        if core and core.isalpha() and max(core) < "\u0100":
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+        return (word,)
+
+
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker."""
+    return WordTokenizer(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words = WordTokenizer(path)
+    words = word_tokenizer(path)
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
