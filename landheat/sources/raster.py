@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from landheat.functions import indices, reproject
 from landheat.operators import quality
-from landheat.operators.filters import valid_numbers, valid_places
+from landheat.operators.filters import finite, valid_numbers
 from landheat.schemas import PIXEL_LONG
 from landheat.sources.pixels import write_pixels
 from landheat.sources.scenes import read_scene_metadata
@@ -126,7 +126,9 @@ def pixel_rows(grid: DataFrame, times: DataFrame) -> DataFrame:
             "value": indices.scaled(F.col("dn"), F.col("band")),
         }
     )
-    rows = valid_places(reproject.located(rows)).join(times, "scene", "left")
+    # tested before they are projected: a filter above the projection would compute it twice
+    rows = rows.filter(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("value")))
+    rows = reproject.located(rows).join(times, "scene", "left")
     return rows.select(
         F.col("scene").alias("tile_id"),
         indices.rounded(F.col("lat"), 4).alias("lat"),
@@ -144,12 +146,9 @@ def scene_pixels(spark: SparkSession, path: str, box: tuple[float, float, float,
     With a box, scenes whose cloud share in it is above most_cloud go before their bands are decoded.
     """
     qa_grid = read_grid(spark, path, (QA_BAND,), scenes)
-    lat, lon = reproject.to_lat_lon(indices.pixel_centre(F.col("x0"), F.col("dx"), F.col("col")), indices.pixel_centre(F.col("y0"), F.col("dy"), F.col("row")), reproject.utm_zone(F.col("citation")))
-    flat = reproject.utm_zone(F.col("citation")) == 0
-    qa = qa_grid.select(
-        "scene", F.col("row").alias("qrow"), F.col("col").alias("qcol"), F.col("height").alias("qheight"), F.col("width").alias("qwidth"), F.col("dn").cast("int").alias("qa"),
-        F.when(flat, indices.pixel_centre(F.col("x0"), F.col("dx"), F.col("col"))).otherwise(lon).alias("lon"),
-        F.when(flat, indices.pixel_centre(F.col("y0"), F.col("dy"), F.col("row"))).otherwise(lat).alias("lat"),
+    at = {"x": indices.pixel_centre(F.col("x0"), F.col("dx"), F.col("col")), "y": indices.pixel_centre(F.col("y0"), F.col("dy"), F.col("row")), "utm_zone": reproject.utm_zone(F.col("citation"))}
+    qa = reproject.located(qa_grid.withColumns(at)).select(
+        "scene", F.col("row").alias("qrow"), F.col("col").alias("qcol"), F.col("height").alias("qheight"), F.col("width").alias("qwidth"), F.col("dn").cast("int").alias("qa"), "lat", "lon"
     )
     if box is not None:
         clouds = quality.aoi_cloud(qa, box)
