@@ -6,7 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -73,37 +73,63 @@ def _unlike(rows: DataFrame) -> DataFrame:
 
 
 class Terms:
-    """Finds the index terms of a text; remembers which of its words have any."""
+    """Finds the index terms of texts; remembers which words have any."""
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: tuple[str, ...]):
         self.place = {t: k for k, t in enumerate(terms)}
+        self.heads = {t[1 : 1 + STEMS[0]] for t in terms}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> Counter:
+    def _find(self, word: str) -> tuple[int, ...]:
+        word = word.lower()
+        core = word.strip(".,;:!?")
+        runs = (core,) if core.isalpha() else LETTERS.findall(word)
+        return tuple(self.place[t] for w in runs if w[: STEMS[0]] in self.heads for t in terms_of(w) if t in self.place)
+
+    def counts(self, text: str | None) -> dict[int, int]:
         words, known = (text or "").split(), self.known
-        for w in set(words).difference(known):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            known[w] = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-        found: Counter = Counter()
-        for w in words:
-            hit = known.get(w)
-            if hit is None:
-                hit = tuple(self.place[t] for t in terms_of(w) if t in self.place)
-            if hit:
-                found.update(hit)
+        new = set(words).difference(known)
+        if new and len(known) > CACHE_WORDS:
+            known.clear()
+            new = set(words)
+        for w in new:
+            known[w] = self._find(w)
+        found: dict[int, int] = {}
+        for hit in filter(None, map(known.__getitem__, words)):
+            for k in hit:
+                found[k] = found.get(k, 0) + 1
         return found
 
 
-def _term_docs(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
-    finder, seen = Terms(terms), np.zeros(len(terms), np.int64)
+@lru_cache(2)
+def finder(terms: tuple[str, ...]) -> Terms:
+    """One for all tasks of a Python worker."""
+    return Terms(terms)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    find = finder(terms)
+    for batch in batches:
+        found = [find.counts(t) for t in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terms", "counts"])
+
+
+def term_counts(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(doc_id, terms, counts): the index terms of every whole text; most texts have few or none."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(partial(_term_counts, terms=terms), f"doc_id {kind}, terms array<int>, counts array<int>")
+
+
+def _term_docs(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    find, seen = finder(terms), np.zeros(len(terms), np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen[list(finder.counts(text))] += 1
+            seen[list(find.counts(text))] += 1
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms), dtype=np.int32)), pa.array(seen)], names=["term", "docs"])
 
 
-def weights(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and their unit-length TF-IDF weights, (1 + log tf) * idf."""
     which = np.array(sorted(counts), np.int64)
     value = np.array([1 + math.log(counts[k]) for k in which.tolist()]) * idf[which]
@@ -174,11 +200,13 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Examples, their terms and the share of toxic labels; scores whole texts."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, index: BlockMaxIndex, prior: float):
+    def __init__(self, terms: tuple[str, ...], idf: np.ndarray, index: BlockMaxIndex, prior: float, counted: DataFrame | None = None):
         self.terms, self.idf, self.index, self.prior = terms, idf, index, prior
+        #: The corpus's term counts, if they were kept.
+        self.counted = counted
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, corpus: DataFrame, examples: int = EXAMPLES, most_terms: int = TERMS) -> "ToxicityModel":
+    def fit(cls, docs: DataFrame, labels: DataFrame, corpus: DataFrame, examples: int = EXAMPLES, most_terms: int = TERMS, keep_counts: bool = False) -> "ToxicityModel":
         """Learns from the labelled rows handed over: labels (doc_id, toxic) of docs (doc_id, text).
 
         At most `examples` rows of each class are taken, by a hash of their ids; they, the terms that tell the classes
@@ -200,16 +228,19 @@ class ToxicityModel:
         spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
         z = F.abs(F.col("toxic") / float(n1) - F.col("other") / float(n0)) / spread
         counts = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("toxic") + F.col("other") >= LEAST_DOCS))
-        terms = sorted(r.term for r in counts.orderBy(F.desc("z"), "term").limit(most_terms).collect())
-        total = corpus.count()
-        have = np.zeros(len(terms))
-        if terms:
-            for r in corpus.select("text").mapInArrow(partial(_term_docs, terms=terms), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
-                have[r.term] = r.docs
+        terms = tuple(sorted(r.term for r in counts.orderBy(F.desc("z"), "term").limit(most_terms).collect()))
+        total, have, counted = corpus.count(), np.zeros(len(terms)), None
+        if keep_counts:
+            counted = written(term_counts(corpus, terms), "term-counts")
+            sums = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+        else:
+            sums = corpus.select("text").mapInArrow(partial(_term_docs, terms=terms), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+        for r in sums.collect():
+            have[r.term] = r.docs
         idf = np.log((1 + total) / (1 + have)) + 1
         vectors = rows.mapInArrow(partial(_vectors, terms=terms, idf=idf), "doc_id string, toxic int, terms array<long>, weights array<double>").collect()
         index = BlockMaxIndex.build([(r.doc_id, r.toxic, np.array(r.terms, np.int64), np.array(r.weights)) for r in vectors], len(terms))
-        return cls(terms, idf, index, prior)
+        return cls(terms, idf, index, prior, counted)
 
     def score(self, docs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
         """(doc_id, score, evidence): the share of toxic votes of the k nearest examples, each with its cosine as weight.
@@ -217,9 +248,13 @@ class ToxicityModel:
         The prior share has a small vote, and is the score of empty and null texts and of those without an index
         term. evidence lists the neighbours (id as text, label, cosine), nearest first. Repeated rows stay.
         """
-        sent = docs.sparkSession.sparkContext.broadcast((self.terms, self.idf, self.index, self.prior))
-        kind = dict(docs.dtypes)["doc_id"]
-        return docs.select("doc_id", "text").mapInArrow(partial(_scores, model=sent, k=k), f"doc_id {kind}, score double, evidence array<struct<doc_id: string, label: int, cosine: double>>")
+        return self.score_counts(term_counts(docs, self.terms), k)
+
+    def score_counts(self, counted: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+        """The same from a table of term_counts."""
+        sent = counted.sparkSession.sparkContext.broadcast((self.idf, self.index, self.prior))
+        kind = dict(counted.dtypes)["doc_id"]
+        return counted.select("doc_id", "terms", "counts").mapInArrow(partial(_scores, model=sent, k=k), f"doc_id {kind}, score double, evidence array<struct<doc_id: string, label: int, cosine: double>>")
 
     def score_column(self, spark: SparkSession, k: int = NEIGHBOURS):
         """A function of a text column that gives the score alone, for filters that keep a row's other columns."""
@@ -228,22 +263,27 @@ class ToxicityModel:
         @F.pandas_udf("double")
         def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             terms, idf, index, prior = sent.value
-            finder = Terms(terms)
+            find = finder(terms)
             for part in texts:
-                yield pd.Series([vote(index, prior, *index.nearest(*weights(finder.counts(t), idf), k)) for t in part], dtype=float)
+                yield pd.Series([scored(find, idf, index, prior, t, k) for t in part], dtype=float)
 
         return score
 
 
+def scored(find: Terms, idf: np.ndarray, index: BlockMaxIndex, prior: float, text: str | None, k: int) -> float:
+    counts = find.counts(text)
+    return vote(index, prior, *index.nearest(*weights(counts, idf), k)) if counts else prior
+
+
 def vote(index: BlockMaxIndex, prior: float, which: np.ndarray, cosine: np.ndarray) -> float:
     return float((PRIOR_WEIGHT * prior + cosine @ index.labels[which]) / (PRIOR_WEIGHT + cosine.sum()))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch], terms: list[str], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    finder = Terms(terms)
+def _vectors(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    find = finder(terms)
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns))
-        found = [weights(finder.counts(t), idf) for t in columns["text"].to_pylist()]
+        found = [weights(find.counts(t), idf) for t in columns["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [columns["doc_id"].cast(pa.string()), columns["toxic"].cast(pa.int32()), pa.array([w.tolist() for w, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))],
             names=["doc_id", "toxic", "terms", "weights"],
@@ -254,25 +294,29 @@ EVIDENCE = pa.list_(pa.struct([("doc_id", pa.string()), ("label", pa.int32()), (
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.RecordBatch]:
-    terms, idf, index, prior = model.value
-    finder = Terms(terms)
+    idf, index, prior = model.value
     for batch in batches:
         scores, evidence = [], []
-        for text in batch.column(1).to_pylist():
-            which, cosine = index.nearest(*weights(finder.counts(text), idf), k)
+        for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if not terms:  # as nearest() would find, without asking it
+                scores.append(prior)
+                evidence.append([])
+                continue
+            which, cosine = index.nearest(*weights(dict(zip(terms, counts)), idf), k)
             scores.append(vote(index, prior, which, cosine))
             evidence.append([{"doc_id": index.ids[i], "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(which, cosine)])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, EVIDENCE)], names=["doc_id", "score", "evidence"])
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+def trained(docs: DataFrame, labels: DataFrame, keep_counts: bool = False) -> ToxicityModel:
     """A model of all documents that learns from the labels that are not held out."""
-    return ToxicityModel.fit(docs, labels.filter(~held_out(3, 1)), docs)
+    return ToxicityModel.fit(docs, labels.filter(~held_out(3, 1)), docs, keep_counts=keep_counts)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence), one row per document."""
-    rows = trained(docs, labels).score(docs)
+    model = trained(docs, labels, keep_counts=True)
+    rows = model.score_counts(model.counted)
     return rows.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
