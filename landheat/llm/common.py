@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,10 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int = 100_000) -> DataFrame:
     """left joined with a written table: broadcast where its count is small enough, else left to the planner."""
     return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)

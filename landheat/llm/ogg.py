@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from landheat.llm.common import slices
+
 #: Payloads are padded with spaces to a positive multiple of this.
 UNIT = 192
 #: Samples a packet and a second; segments a page holds at most.
@@ -153,22 +155,15 @@ def read_back(media: bytes) -> tuple[bytes, int, str]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _few(batch):
-            texts = part.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t or b"") for t in texts], pa.binary())], names=["doc_id", "media"])
-
-
-def _few(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that few containers are held at once."""
-    for k in range(0, max(1, batch.num_rows), rows):
-        yield batch.slice(k, rows)
+    for part in slices(batches, 512):
+        texts = part.column(1).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t or b"") for t in texts], pa.binary())], names=["doc_id", "media"])
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in batches:
+    for batch in slices(batches, 512):
         rows = []
         for media in batch.column(1).to_pylist():
             payload, n, feature = read_back(media)

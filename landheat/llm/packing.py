@@ -15,11 +15,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landheat.llm.common import running_total, written
+from landheat.llm.common import running_total, slices, written
 
 CAPACITY = 2048
 #: Distinct words in one generation of those whose ids a worker remembers; it keeps two.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,7 +91,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     words = word_tokenizer(path)
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[], [], [], [], []]
         for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist())):
             ids += end

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landheat.llm.common import slices
+
 #: Labelled documents that a model is fitted on, at most.
 TRAIN_DOCS = 6000
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +89,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [statistics(t) for t in batch.column(1).to_pylist()]
         base = np.array([b for b, _ in found], np.int64).reshape(-1, 5)
         yield pa.RecordBatch.from_arrays(

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landheat.llm.common import written
+from landheat.llm.common import slices, written
 
 BITS = 64
 #: First bit of each third of a fingerprint. Four differing bits leave at most one in some third.
@@ -44,7 +44,7 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         prints = np.fromiter((fingerprint(t or b"", words, seed) for t in texts), np.uint64, len(texts))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landheat.llm import simhash
-from landheat.llm.common import held_out, written
+from landheat.llm.common import held_out, slices, written
 
 #: Labelled examples of each class that are learned from, at most; terms in the index, at most.
 EXAMPLES, TERMS = 3000, 4096
@@ -26,7 +26,7 @@ LEAST_Z, LEAST_DOCS = 5.0, 3
 STEMS = (4, 5, 6)
 NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 2.0, 64
 THRESHOLD = 0.7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -101,7 +101,7 @@ class Terms:
         return found
 
 
-@lru_cache(2)
+@lru_cache(1)
 def finder(terms: tuple[str, ...]) -> Terms:
     """One for all tasks of a Python worker."""
     return Terms(terms)
@@ -109,7 +109,7 @@ def finder(terms: tuple[str, ...]) -> Terms:
 
 def _term_counts(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     find = finder(terms)
-    for batch in batches:
+    for batch in slices(batches):
         found = [find.counts(t) for t in batch.column(1).to_pylist()]
         columns = [batch.column(0), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terms", "counts"])
@@ -123,7 +123,7 @@ def term_counts(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
 
 def _term_docs(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     find, seen = finder(terms), np.zeros(len(terms), np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             seen[list(find.counts(text))] += 1
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms), dtype=np.int32)), pa.array(seen)], names=["term", "docs"])
