@@ -12,6 +12,7 @@ from landheat.ml import train as ml
 from landheat.operators import analysis, encode, filters, matrix, pivot, quality, report, sample, spatial, split
 from landheat.plans import tables as t
 from landheat.sources import osm, pixels, scenes, vector, zones as zone_files
+from landheat.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,6 +272,11 @@ def _matrix(spark, sf_dir):
     return matrix.assemble(encode.encode(_by_row(spark, sf_dir), "lst", ["lulc_class", "zoning_category"]), t.CFG)
 
 
+def _stored_matrix(spark, sf_dir):
+    """The matrix as a table on storage, for operators that read it more than once."""
+    return written(_matrix(spark, sf_dir), "matrix")
+
+
 @query(f"WITH {_MATRIX_SQL} SELECT * FROM matrix WHERE split <> 'ignore' AND lst IS NOT NULL")
 def matrix_build(spark, sf_dir):
     """The dense feature matrix."""
@@ -306,19 +312,19 @@ def _ranks(rate: float) -> str:
 @query(f"{_KEPT}, {_ranks(0.1)}")
 def grid_sample(spark, sf_dir):
     """The systematic grid sample."""
-    return sample.load(_matrix(spark, sf_dir), False, "systematic-grid", 0.1).groupBy("year", "lon", "lat").agg(F.count(F.lit(1)).alias("n"))
+    return sample.load(_stored_matrix(spark, sf_dir), False, "systematic-grid", 0.1).groupBy("year", "lon", "lat").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_KEPT}, ranked AS (SELECT *, row_number() OVER (PARTITION BY year, zoning_category_encoded ORDER BY lon, lat, tile_id) AS r FROM kept) SELECT year, zoning_category_encoded, lon, lat, tile_id FROM ranked WHERE r % 5 = 0")
 def stratified_sample(spark, sf_dir):
     """Every fifth row of each year and zone category."""
-    return sample.load(_matrix(spark, sf_dir), False, "stratified-zoning", 0.2).select("year", "zoning_category_encoded", "lon", "lat", "tile_id")
+    return sample.load(_stored_matrix(spark, sf_dir), False, "stratified-zoning", 0.2).select("year", "zoning_category_encoded", "lon", "lat", "tile_id")
 
 
 @query(f"{_KEPT}, ranked AS (SELECT *, row_number() OVER (PARTITION BY year, zoning_category_encoded ORDER BY lon, lat, tile_id) AS r FROM kept) SELECT count(*) AS before, count(*) FILTER (r % 5 = 0) AS after, coalesce(count(*) FILTER (r % 5 = 0) / count(*)::DOUBLE, 0) AS achieved FROM ranked")
 def sampling_report(spark, sf_dir):
     """What the stratified sample keeps."""
-    rows = _matrix(spark, sf_dir)
+    rows = _stored_matrix(spark, sf_dir)
     return sample.sampling_report(rows, sample.sample(rows, "stratified-zoning", 0.2))
 
 
@@ -404,7 +410,7 @@ def smoothed_grid(spark, sf_dir):
 )
 def hexbin(spark, sf_dir):
     """Temperature over vegetation in hexagons."""
-    return analysis.hexbin(_matrix(spark, sf_dir), "ndvi", "lst", "zoning_category_encoded").select("hx", "hy", "lattice", "n", _r("mean"))
+    return analysis.hexbin(_stored_matrix(spark, sf_dir), "ndvi", "lst", "zoning_category_encoded").select("hx", "hy", "lattice", "n", _r("mean"))
 
 
 @query(f"{_KEPT} SELECT {r4('corr(ndvi, lst)')} AS r, count(*) AS n FROM kept WHERE ndvi IS NOT NULL AND lst IS NOT NULL")
