@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -18,7 +18,8 @@ from landheat.llm.common import held_out, written
 
 #: Documents per language that a model is fitted on, at most about.
 TRAIN_DOCS = 1500
-#: Bytes in the longest piece, and bytes of a word from which it is scored on its own.
+#: Bytes of a piece up to which a table holds all places of a word (the few longer ones are listed one by one), and bytes
+#: of a word from which it is scored on its own.
 PIECE_BYTES, LONG_WORD = 10, 48
 #: Words whose scores a task remembers; beyond that it starts afresh.
 CACHE_WORDS = 200_000
@@ -32,7 +33,7 @@ LETTERS = regex.compile(r"\p{L}+")
 
 
 @lru_cache(2)
-def vocabulary(path: str, piece_bytes: int = PIECE_BYTES) -> tuple[dict[bytes, int], dict[bytes, int], int]:
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
     """Ids of the pieces inside a word and of those that end one, from a byte-level BPE file, and the number of ids.
 
     The file writes a byte that prints as itself and the others, in order, as the characters from U+0100 on. Id 0 is
@@ -50,16 +51,24 @@ def vocabulary(path: str, piece_bytes: int = PIECE_BYTES) -> tuple[dict[bytes, i
         own = piece.removesuffix("</w>")
         if own and all(c in byte for c in own):
             key = bytes(byte[c] for c in own)
-            if len(key) <= piece_bytes:
-                (ending if end else inside).setdefault(key, len(inside) + len(ending) + 1)
+            (ending if end else inside).setdefault(key, len(inside) + len(ending) + 1)
     for b in range(256):
         for one in (inside, ending):
             one.setdefault(bytes([b]), len(inside) + len(ending) + 1)
     return inside, ending, len(inside) + len(ending) + 1
 
 
-def _lattice(words: list[bytes], length: int, vocab: tuple) -> np.ndarray:
-    """ids[w, i, n-1]: the piece of n bytes at byte i of each word; all words have the same length."""
+def longest(vocab: tuple) -> int:
+    """Bytes in the vocabulary's longest piece."""
+    return max(max(map(len, one)) for one in vocab[:2])
+
+
+def _lattice(words: list[bytes], length: int, vocab: tuple) -> tuple[np.ndarray, list[tuple]]:
+    """The places of pieces in words of the same length.
+
+    ids[w, i, n-1] is the piece of n bytes at byte i, up to PIECE_BYTES; longer ones are listed as (i, n, words that
+    have one there, their pieces), by i.
+    """
     inside, ending, _ = vocab
     most = min(PIECE_BYTES, length)
     ids = np.zeros((len(words), length, most), np.int32)
@@ -67,7 +76,14 @@ def _lattice(words: list[bytes], length: int, vocab: tuple) -> np.ndarray:
         for n in range(1, min(most, length - i) + 1):
             known = (ending if i + n == length else inside).get
             ids[:, i, n - 1] = [known(w[i : i + n], 0) for w in words]
-    return ids
+    longer = []
+    for i in range(length - most):
+        for n in range(most + 1, length - i + 1):
+            known = (ending if i + n == length else inside).get
+            found = [(k, one) for k, w in enumerate(words) if (one := known(w[i : i + n]))]
+            if found:
+                longer.append((i, n, *np.array(found, np.int64).T))
+    return ids, longer
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
@@ -85,34 +101,38 @@ SCALE = 2.0**7
 
 def word_scores(words: list[bytes], odds: np.ndarray, vocab: tuple) -> np.ndarray:
     """log P(word | language) summed over all segmentations (forward algorithm); odds[piece, language]."""
-    out = np.zeros((len(words), odds.shape[1]))
+    out, most = np.zeros((len(words), odds.shape[1])), longest(vocab)
     for length, which in _by_length(words):
         own = [words[k] for k in which]
         if length > LONG_WORD:
             for k, w in zip(which, own):
-                out[k] = _long_word(w, odds, vocab)
+                out[k] = _long_word(w, odds, vocab, most)
             continue
-        ids = _lattice(own, length, vocab)
+        ids, longer = _lattice(own, length, vocab)
         ahead = [np.ones((len(own), odds.shape[1]))]
         for j in range(1, length + 1):
             total = np.zeros_like(ahead[0])
             for n in range(1, min(PIECE_BYTES, j) + 1):
                 total += ahead[j - n] * odds[ids[:, j - n, n - 1]] * SCALE**n
+            for i, n, at, piece in longer:
+                if i + n == j:
+                    total[at] += ahead[i][at] * odds[piece] * SCALE**n
             ahead.append(total)
         out[which] = np.log(ahead[length]) - length * np.log(SCALE)
     return out
 
 
-def _long_word(word: bytes, odds: np.ndarray, vocab: tuple) -> np.ndarray:
-    """The same for one word of any length, brought back to 1 at each byte and the factors added up as logs."""
+def _long_word(word: bytes, odds: np.ndarray, vocab: tuple, most: int | None = None) -> np.ndarray:
+    """The same for one word of any length, in logs; most: bytes in the vocabulary's longest piece."""
     inside, ending, _ = vocab
-    ahead, shift = [np.ones(odds.shape[1])], np.zeros(odds.shape[1])
+    most = most or longest(vocab)
+    ahead = deque([np.zeros(odds.shape[1])], most)
     for j in range(1, len(word) + 1):
         known = (ending if j == len(word) else inside).get
-        total = sum(ahead[-n] * odds[known(word[j - n : j], 0)] for n in range(1, min(len(ahead), PIECE_BYTES) + 1))
-        ahead = [a / total for a in ahead[1 - PIECE_BYTES :]] + [np.ones(odds.shape[1])]
-        shift += np.log(total)
-    return shift
+        ways = [(a, k) for n, a in enumerate(reversed(ahead), 1) if (k := known(word[j - n : j]))]
+        total = np.array([a for a, _ in ways]) + np.log(odds[[k for _, k in ways]])
+        ahead.append(np.logaddexp.reduce(total))
+    return ahead[-1]
 
 
 def expected_counts(words: list[bytes], counts: np.ndarray, langs: np.ndarray, odds: np.ndarray, vocab: tuple) -> np.ndarray:
@@ -122,20 +142,29 @@ def expected_counts(words: list[bytes], counts: np.ndarray, langs: np.ndarray, o
         if length > LONG_WORD:
             continue  # a model is fitted on words; a run of letters of this length is none
         own, lang, times = [words[k] for k in which], langs[which], counts[which]
-        ids = _lattice(own, length, vocab)
+        ids, longer = _lattice(own, length, vocab)
+        longer = [(i, n, at, piece, odds[piece, lang[at]] * SCALE**n) for i, n, at, piece in longer]
         p = odds[ids, lang[:, None, None]] * SCALE ** np.arange(1, ids.shape[2] + 1)
         ahead, back = np.zeros((length + 1, len(own))), np.zeros((length + 1, len(own)))
         ahead[0] = back[length] = 1
         for j in range(1, length + 1):
             for n in range(1, min(PIECE_BYTES, j) + 1):
                 ahead[j] += ahead[j - n] * p[:, j - n, n - 1]
+            for i, n, at, _, q in longer:
+                if i + n == j:
+                    ahead[j, at] += ahead[i, at] * q
         for i in range(length - 1, -1, -1):
             for n in range(1, min(PIECE_BYTES, length - i) + 1):
                 back[i] += p[:, i, n - 1] * back[i + n]
+            for start, n, at, _, q in longer:
+                if start == i:
+                    back[i, at] += q * back[i + n, at]
         for i in range(length):
             for n in range(1, min(PIECE_BYTES, length - i) + 1):
                 share = ahead[i] * p[:, i, n - 1] * back[i + n] / ahead[length] * times
                 np.add.at(used, ids[:, i, n - 1].astype(np.int64) * odds.shape[1] + lang, share)
+        for i, n, at, piece, q in longer:
+            np.add.at(used, piece * odds.shape[1] + lang[at], ahead[i, at] * q * back[i + n, at] / ahead[length, at] * times[at])
     return used.reshape(odds.shape)
 
 

@@ -44,6 +44,32 @@ def test_expected_counts_cover_each_byte():
     assert np.allclose(size @ used, [10, 15])
 
 
+def test_pieces_of_any_length():
+    vocab = langid.vocabulary(PATH)
+    inside, ending, size = vocab
+    assert b"international" in ending and langid.longest(vocab) > langid.PIECE_BYTES
+    odds = np.random.default_rng(2).random((size, 2))
+    odds[0] = 0
+    odds /= odds.sum(axis=0)
+    words = [b"international", b"internationally", b"performance"]
+
+    def ways(word, i, lang):  # over the whole vocabulary, whatever a piece's length
+        if i == len(word):
+            return [(1.0, ())]
+        steps = [(j, (ending if j == len(word) else inside).get(word[i:j])) for j in range(i + 1, len(word) + 1)]
+        return [(odds[k, lang] * p, (k, *rest)) for j, k in steps if k for p, rest in ways(word, j, lang)]
+
+    every = [[ways(w, 0, k) for k in range(2)] for w in words]
+    want = [[math.log(sum(p for p, _ in e)) for e in pair] for pair in every]
+    assert np.allclose(langid.word_scores(words, odds, vocab), want)
+    assert np.allclose([langid._long_word(w, odds, vocab) for w in words], want)
+    used = np.zeros((size, 2))
+    for pair, lang in zip(every, (0, 1, 0)):
+        for p, pieces in pair[lang]:
+            np.add.at(used[:, lang], list(pieces), 2 * p / sum(q for q, _ in pair[lang]))
+    assert np.allclose(langid.expected_counts(words, np.full(3, 2.0), np.array([0, 1, 0]), odds, vocab), used)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
