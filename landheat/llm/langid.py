@@ -135,12 +135,32 @@ def _long_word(word: bytes, odds: np.ndarray, vocab: tuple, most: int | None = N
     return ahead[-1]
 
 
+def _long_counts(word: bytes, odds: np.ndarray, vocab: tuple, most: int) -> Iterator[tuple[int, float]]:
+    """(piece, expected uses) at each place of one word of any length, in logs; odds[piece] of its language."""
+    inside, ending, _ = vocab
+    size = len(word)
+    ahead, back = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    ahead[0] = back[size] = 0
+    for j in range(1, size + 1):
+        known = (ending if j == size else inside).get
+        ways = [(i, k) for i in range(max(0, j - most), j) if (k := known(word[i:j]))]
+        ahead[j] = np.logaddexp.reduce(ahead[[i for i, _ in ways]] + np.log(odds[[k for _, k in ways]]))
+    for i in range(size - 1, -1, -1):
+        ways = [(j, k) for j in range(i + 1, min(size, i + most) + 1) if (k := (ending if j == size else inside).get(word[i:j]))]
+        parts = back[[j for j, _ in ways]] + np.log(odds[[k for _, k in ways]])
+        back[i] = np.logaddexp.reduce(parts)
+        yield from zip([k for _, k in ways], np.exp(ahead[i] + parts - ahead[size]).tolist())
+
+
 def expected_counts(words: list[bytes], counts: np.ndarray, langs: np.ndarray, odds: np.ndarray, vocab: tuple) -> np.ndarray:
     """Expected uses of each piece in each language over all segmentations of the words (forward and backward)."""
-    used = np.zeros(odds.size)
+    used, most = np.zeros(odds.size), longest(vocab)
     for length, which in _by_length(words):
         if length > LONG_WORD:
-            continue  # a model is fitted on words; a run of letters of this length is none
+            for k in which:
+                for piece, share in _long_counts(words[k], odds[:, langs[k]], vocab, most):
+                    used[piece * odds.shape[1] + langs[k]] += share * counts[k]
+            continue
         own, lang, times = [words[k] for k in which], langs[which], counts[which]
         ids, longer = _lattice(own, length, vocab)
         longer = [(i, n, at, piece, odds[piece, lang[at]] * SCALE**n) for i, n, at, piece in longer]

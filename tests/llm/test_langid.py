@@ -70,6 +70,25 @@ def test_pieces_of_any_length():
     assert np.allclose(langid.expected_counts(words, np.full(3, 2.0), np.array([0, 1, 0]), odds, vocab), used)
 
 
+def test_long_runs_count(monkeypatch):
+    vocab = langid.vocabulary(PATH)
+    odds = np.random.default_rng(3).random((vocab[2], 2))
+    odds[0] = 0
+    odds /= odds.sum(axis=0)
+    words = [("今日は良い天気ですね" * 20).encode(), b"international", b"thereof" * 9]
+    size = np.zeros(vocab[2])
+    for one in vocab[:2]:
+        for piece, k in one.items():
+            size[k] = len(piece)
+    args = np.array([2.0, 3.0, 1.0]), np.array([0, 1, 1]), odds, vocab
+    used = langid.expected_counts(words, *args)
+    assert np.allclose(size @ used, [2 * 600, 3 * 13 + 63])
+    monkeypatch.setattr(langid, "LONG_WORD", 5)
+    alike = langid.expected_counts(words, *args)
+    monkeypatch.setattr(langid, "LONG_WORD", 63)
+    assert np.allclose(langid.expected_counts(words, *args), used) and np.allclose(alike, used)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null")
