@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from landheat.ml import train as ml
 from landheat.operators import encode, filters, sample, spatial, split
 from landheat.functions import geometry
-from landheat.plans import tables
+from landheat.plans import queries, tables
 from tests.conftest import SF
 
 
@@ -88,3 +88,24 @@ def test_training(spark, tmp_path):
     assert ml.permutation_importance(model, df, ["a", "b"], ["doy"]).first().feature == "a"
     ml.save(model, str(tmp_path / "m"))
     assert ml.evaluation(ml.saved(str(tmp_path / "m")), df).first().rmse == ml.evaluation(model, df).first().rmse
+
+
+def test_training_goes_on_while_validation_gains(spark):
+    assert ml.stopped([5.0, 4.0, 4.5, 3.0, 3.1, 3.2, 3.3], 3) == 7 and ml.stopped([3.0, 2.0, 2.1], 2) is None
+    rows = [(float(i % 20), float(i % 7), 300.0 + i % 20 + 0.1 * (i % 7), "train", i % 6 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, lst double, split string, is_val boolean")
+    model = ml.fit(df, ["a", "b"], ml.TrainConfig(depth=3, rounds=24, rate=0.05, patience=8))
+    assert model.stages[-1].getNumTrees == 24
+
+
+def test_training_query_is_whole(spark, monkeypatch):
+    asked, fit = [], ml.fit
+
+    def small(df, features, cfg):
+        asked.append((set(features), cfg))
+        assert set(features) == set(ml.feature_names(df))
+        return fit(df, features, ml.TrainConfig(depth=2, rounds=2))
+
+    monkeypatch.setattr(ml, "fit", small)
+    found = queries.QUERIES["train_and_evaluate"](spark, SF).first()
+    assert found.rmse > 0 and asked[0][1] == ml.TrainConfig() and set(tables.LINE_BANDS[:3]) <= asked[0][0]
