@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -24,8 +25,10 @@ CACHE_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Punctuation that, at a word's end, is a token run of its own.
-MARKS = ".,;:!?"
+#: ASCII marks and signs; at the end of a word of letters they are a run of characters of their own.
+MARKS = string.punctuation
+#: How the vocabulary marks a token that ends a word; words that are encoded as one text.
+WORD_END, LINE_WORDS = "</w>", 2048
 
 
 class WordTokenizer:
@@ -40,7 +43,11 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = partial(Tokenizer.from_file(path).encode_batch_fast, add_special_tokens=False)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = partial(tokenizer.encode_batch_fast, add_special_tokens=False)
+        #: By token id: whether it ends a word.
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(WORD_END)]] = True
         self.cache_words, self.young, self.old = cache_words, {"": b""}, {}
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -55,31 +62,61 @@ class WordTokenizer:
 
     def _learn(self, new: set[str]) -> None:
         young, old = self.young, self.old
-        parts = {}
+        letters, others = set(), set()
+        joined = []
         for w in new:
             if w in old:
                 young[w] = old[w]
+                continue
+            core = w.rstrip(MARKS)
+            if not plain(core):
+                others.add(w)
+                continue
+            low, mark = core.lower(), w[len(core) :]
+            if low in old:
+                young.setdefault(low, old[low])
+            elif low not in young:
+                letters.add(low)
+            if mark and mark not in young:
+                others.add(mark)
+            if mark or low != w:
+                joined.append((w, low, mark))
+        for some in _lists(letters):
+            own = self._line(some)
+            if own is None:
+                others.update(some)
             else:
-                parts[w] = self._parts(w)
-        fresh = {p for own in parts.values() for p in own if p not in young}
-        young.update((p, old[p]) for p in fresh if p in old)
-        fresh = [p for p in fresh if p not in young]
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
+                young.update(zip(some, own))
+        for some in _lists(others):
             young.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.encode(some)))
-        young.update((w, b"".join(young[p] for p in own)) for w, own in parts.items() if len(own) > 1 or own[0] != w)
+        young.update((w, young[low] + young[mark]) for w, low, mark in joined)
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Parts that are encoded on their own: letters and the marks after them, where that gives the same ids.
+    def _line(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of letters, encoded as one text: each is one run of characters, and so has one token that ends it.
 
-        The tokenizer starts a new run of characters where letters end, and reads letters in lower case; beyond
-        U+00FF a character's case can depend on its neighbours, so such words stay as they are.
+        One long text costs half of many short ones. None if the ends do not match the words one by one.
         """
-        core = word.rstrip(MARKS)
-        if core and core.isalpha() and max(core) < "\u0100":
-            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-        return (word,)
+        ids = np.array(self.encode([" ".join(words)])[0].ids, "<u4")
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(stops) != len(words) or stops[-1] != 4 * len(ids):
+            return None
+        line = ids.tobytes()
+        return [line[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+
+def _lists(words: set[str]) -> Iterator[list[str]]:
+    every = list(words)
+    for k in range(0, len(every), LINE_WORDS):
+        yield every[k : k + LINE_WORDS]
+
+
+def plain(word: str) -> bool:
+    """Letters whose case no neighbour changes: one run of characters, with the same ids in lower case and by itself.
+
+    The tokenizer starts a new run where letters end, and reads letters in lower case; beyond U+00FF a character's case
+    can depend on its neighbours.
+    """
+    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
 
 @lru_cache(1)
