@@ -1,150 +1,185 @@
-"""Toxicity by nearest labelled examples: TF-IDF cosine over selected terms and a block-max inverted index, distance-weighted votes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosines from a block-max inverted index, and calibrated votes."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landheat.llm import simhash
 from landheat.llm.common import held_out, slices, written
 
-#: Labelled examples of each class that are learned from, at most; terms in the index, at most.
-EXAMPLES, TERMS = 3000, 4096
-#: How unlike, in standard errors, a term's shares among toxic and other examples must be, and its least examples.
+#: Labelled examples of each class that are learned from, at most.
+EXAMPLES = 3000
+#: A term weighs FLOOR, and SLOPE more for each standard error beyond CHANCE that toxic examples have it more often.
+FLOOR, SLOPE, CHANCE = 0.05, 0.1, 2.0
+#: Standard errors, and examples that are not near-copies, from which a term is called telling (in reports only).
 LEAST_Z, LEAST_DOCS = 5.0, 3
-#: Characters of the word beginnings that count as terms beside whole words.
-STEMS = (4, 5, 6)
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 15, 2.0, 64
+NEIGHBOURS, BLOCK, FOLDS = 15, 64, 5
 THRESHOLD = 0.7
-CACHE_WORDS = 100_000
+#: Terms: runs of word characters other than digits and underscores, in lower case.
+LETTERS = re.compile(r"[^\W\d_]+")
 
-LETTERS = regex.compile(r"\p{L}+")
 
+def terms_of(text: str | None) -> list[str]:
+    return LETTERS.findall(text.lower()) if text else []
 
-def terms_of(word: str) -> list[str]:
-    """Terms of one run of characters: its words in lower case, and their beginnings."""
-    out = []
-    for w in LETTERS.findall(word.lower()):
-        out.append("=" + w)
-        out += ["^" + w[:n] for n in STEMS if len(w) >= n]
-    return out
 
+class Finder:
+    """Counts the terms of a vocabulary in whole texts."""
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other documents have each term."""
-    cache: dict[str, list[str]] = {}
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own: set[str] = set()
-            for w in set((text or "").split()):
-                if w not in cache:
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
-                    cache[w] = terms_of(w)
-                own.update(cache[w])
-            counts[toxic].update(own)
-        every = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([counts[1][t] for t in every], pa.int64()), pa.array([counts[0][t] for t in every], pa.int64())], names=["term", "toxic", "other"])
-
-
-def _unlike(rows: DataFrame) -> DataFrame:
-    """A bounded set of documents without near-copies: of each group that SimHash links the smallest id stays."""
-    found = simhash.fingerprints(rows).toPandas()
-    ids = found["doc_id"].to_numpy()
-    prints, group = np.unique(found["fingerprint"].to_numpy(np.int64), return_inverse=True)
-    label = np.arange(len(prints))
-    for third in range(len(simhash.THIRDS)):
-        links = simhash.node_links(pd.DataFrame({"third": third, "node": 0, "fingerprint": prints}), depth=0, budget=4) if len(prints) else pd.DataFrame({"a": [], "b": []})
-        label = simhash.unite(label, np.searchsorted(prints, links["a"]), np.searchsorted(prints, links["b"]))
-    first = pd.Series(ids).groupby(label[group]).min().tolist()
-    kept = rows.sparkSession.createDataFrame([(i,) for i in first], rows.select("doc_id").schema)
-    return rows.join(F.broadcast(kept), "doc_id").dropDuplicates(["doc_id"])
+    def __init__(self, terms: list[str]):
+        self.place = {t: k for k, t in enumerate(terms)}
 
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the text's terms, ascending, and how often it has them."""
+        terms = terms_of(text)
+        found = np.sort(np.fromiter(map(self.place.get, terms, repeat(-1)), np.int64, len(terms)))
+        found = found[np.searchsorted(found, 0) :]
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[first], np.diff(first, append=len(found))
 
-class Terms:
-    """Finds the index terms of texts; remembers which words have any."""
 
-    def __init__(self, terms: tuple[str, ...]):
-        self.place = {t: k for k, t in enumerate(terms)}
-        self.heads = {t[1 : 1 + STEMS[0]] for t in terms}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _find(self, word: str) -> tuple[int, ...]:
-        word = word.lower()
-        core = word.strip(".,;:!?")
-        runs = (core,) if core.isalpha() else LETTERS.findall(word)
-        return tuple(self.place[t] for w in runs if w[: STEMS[0]] in self.heads for t in terms_of(w) if t in self.place)
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        words, known = (text or "").split(), self.known
-        new = set(words).difference(known)
-        if new and len(known) > CACHE_WORDS:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = self._find(w)
-        found: dict[int, int] = {}
-        for hit in filter(None, map(known.__getitem__, words)):
-            for k in hit:
-                found[k] = found.get(k, 0) + 1
-        return found
-
-
-@lru_cache(1)
-def finder(terms: tuple[str, ...]) -> Terms:
-    """One for all tasks of a Python worker."""
-    return Terms(terms)
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    find = finder(terms)
-    for batch in slices(batches):
-        found = [find.counts(t) for t in batch.column(1).to_pylist()]
-        columns = [batch.column(0), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terms", "counts"])
+@lru_cache(2)
+def finder(sent) -> Finder:
+    """One per broadcast vocabulary for all tasks of a Python worker."""
+    return Finder(sent.value)
+
 
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 100):
+        texts = batch.column(2).to_pylist()
+        prints = np.fromiter((simhash.fingerprint((t or "").encode()) for t in texts), np.uint64, len(texts)).view(np.int64)
+        words = [terms_of(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(prints), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "fingerprint", "words"])
 
-def term_counts(docs: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """(doc_id, terms, counts): the index terms of every whole text; most texts have few or none."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(partial(_term_counts, terms=terms), f"doc_id {kind}, terms array<int>, counts array<int>")
+
+def copy_groups(prints: np.ndarray) -> np.ndarray:
+    """A number for each of a bounded set of fingerprints, shared by those that SimHash links."""
+    distinct, group = np.unique(prints, return_inverse=True)
+    label = np.arange(len(distinct))
+    for third in range(len(simhash.THIRDS)):
+        if len(distinct):
+            links = simhash.node_links(pd.DataFrame({"third": third, "node": 0, "fingerprint": distinct}), depth=0, budget=4)
+            label = simhash.unite(label, np.searchsorted(distinct, links["a"]), np.searchsorted(distinct, links["b"]))
+    return np.unique(label[group], return_inverse=True)[1]
 
 
-def _term_docs(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    find, seen = finder(terms), np.zeros(len(terms), np.int64)
+def _term_docs(batches: Iterator[pa.RecordBatch], vocab) -> Iterator[pa.RecordBatch]:
+    find = finder(vocab)
+    seen = np.zeros(len(find.place), np.int64)
     for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            seen[list(find.counts(text))] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms), dtype=np.int32)), pa.array(seen)], names=["term", "docs"])
+        own = [find.counts(t)[0] for t in batch.column(0).to_pylist()]
+        seen += np.bincount(np.concatenate(own) if own else np.zeros(0, np.int64), minlength=len(seen))
+    which = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(seen[which])], names=["term", "docs"])
 
 
-def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and their unit-length TF-IDF weights, (1 + log tf) * idf."""
-    which = np.array(sorted(counts), np.int64)
-    value = np.array([1 + math.log(counts[k]) for k in which.tolist()]) * idf[which]
-    length = math.sqrt(float(value @ value))
-    return (which, value / length) if length else (which[:0], value[:0])
+@dataclass
+class Examples:
+    """Distinct term vectors of the labelled examples: `terms` and `counts` of example i lie at starts[i] .. starts[i+1]-1.
+
+    Near-copies have the same `group`, and each counts 1/n of its group of n in a term's relevance. Those with equal
+    vectors are one example, under their least id; `labels` is the toxic share among them, `rows` how many there are.
+    """
+
+    ids: list[str]
+    labels: np.ndarray
+    rows: np.ndarray
+    group: np.ndarray
+    starts: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, found: pa.Table) -> tuple["Examples", list[str]]:
+        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, words)."""
+        found = found.sort_by("doc_id")
+        lists = pa.concat_arrays(found["words"].chunks) if len(found) else pa.array([], pa.list_(pa.string()))
+        words = lists.flatten().dictionary_encode()
+        names = words.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        every = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+        ids, toxic, groups = found["doc_id"].to_pylist(), found["toxic"].to_pylist(), copy_groups(found["fingerprint"].to_numpy())
+        same: dict[tuple, int] = {}
+        first, labels, vectors = [], [], []
+        for i in range(len(ids)):
+            own = np.unique(every[ends[i] : ends[i + 1]], return_counts=True)
+            if not len(own[0]):
+                continue
+            k = same.setdefault((int(groups[i]), own[0].tobytes(), own[1].tobytes()), len(first))
+            if k == len(first):
+                first.append(i)
+                labels.append([])
+                vectors.append(own)
+            labels[k].append(toxic[i])
+        none = np.zeros(0, np.int64)
+        return cls(
+            [ids[i] for i in first], np.array([np.mean(x) for x in labels]), np.array([len(x) for x in labels], float), groups[first] if first else none,
+            np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]) if vectors else none, np.concatenate([n for _, n in vectors]) if vectors else none,
+        ), [names[k] for k in order]
+
+    def shares(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each of the examples `which` counts as a toxic one and as another; a group of near-copies counts 1."""
+        size = np.bincount(self.group[which], minlength=int(self.group.max(initial=-1)) + 1)
+        own = np.zeros(len(self.ids))
+        own[which] = 1 / size[self.group[which]]
+        return own * self.labels, own * (1 - self.labels)
+
+    def standard_errors(self, n_terms: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By term: by how many standard errors toxic ones among the examples `which` have it more often; how many have it."""
+        toxic, other = self.shares(which)
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        with_t, with_o = (np.bincount(self.terms, x[owner], n_terms) for x in (toxic, other))
+        n1, n0 = max(1.0, toxic.sum()), max(1.0, other.sum())
+        share = (with_t + with_o) / (n1 + n0)
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+        return (with_t / n1 - with_o / n0) / spread, with_t + with_o
+
+    def weights(self, idf: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """A term's idf times its relevance by the examples `which`; above 0 for all terms."""
+        return idf * (FLOOR + SLOPE * np.maximum(0, self.standard_errors(len(idf), which)[0] - CHANCE))
+
+    def indexed(self, weight: np.ndarray, which: np.ndarray) -> "BlockMaxIndex":
+        parts = [(i, self.terms[self.starts[i] : self.starts[i + 1]], self.counts[self.starts[i] : self.starts[i + 1]]) for i in which.tolist()]
+        return BlockMaxIndex.build([(self.ids[i], float(self.labels[i]), t, unit(t, n, weight)) for i, t, n in parts], len(weight))
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The TF-IDF weights (1 + log tf) * weight of a text's terms, to length 1."""
+    value = (1 + np.log(counts)) * weight[terms]
+    return value / math.sqrt(float(value @ value)) if len(value) else value
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. last[i]-1 of all i in turn."""
+    n = last - first
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term, each term's largest weight in every block of examples, and where each block's postings begin."""
+    """Postings by term, cut into cells of one block of examples each; a cell has its largest weight beside it."""
 
     ids: list
     labels: np.ndarray
-    starts: np.ndarray  # [term, block]
-    most: np.ndarray  # [term, block]
+    n_blocks: int
+    cells: np.ndarray  # first cell of each term
+    block: np.ndarray  # of a cell
+    most: np.ndarray  # of a cell
+    starts: np.ndarray  # first posting of each cell
     examples: np.ndarray
     values: np.ndarray
 
@@ -154,27 +189,17 @@ class BlockMaxIndex:
         examples = [e for e in examples if len(e[2])]
         examples.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), -float(e[3].max()), str(e[0])))
         n_blocks = max(1, -(-len(examples) // block))
-        if not examples:
-            return cls([], np.zeros(0), np.zeros((n_terms, 2), np.int64), np.zeros((n_terms, 1)), np.zeros(0, np.int64), np.zeros(0))
-        term = np.concatenate([e[2] for e in examples])
-        owner = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-        value = np.concatenate([e[3] for e in examples])
+        none = np.zeros(0, np.int64)
+        term = np.concatenate([none, *(e[2] for e in examples)])
+        owner = np.repeat(np.arange(len(examples), dtype=np.int64), [len(e[2]) for e in examples])
+        value = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
         order = np.lexsort((owner, term))
         term, owner, value = term[order], owner[order], value[order]
-        cell = term * n_blocks + owner // block
-        starts = np.searchsorted(cell, np.arange(n_terms)[:, None] * n_blocks + np.arange(n_blocks + 1))
-        most = np.zeros(n_terms * n_blocks)
-        np.maximum.at(most, cell, value)
-        return cls([e[0] for e in examples], np.array([e[1] for e in examples], float), starts, most.reshape(n_terms, n_blocks), owner, value)
-
-    def scores(self, terms: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all examples, right in the given blocks and 0 elsewhere."""
-        out = np.zeros(len(self.ids))
-        first, last = self.starts[terms][:, blocks].ravel(), self.starts[terms][:, blocks + 1].ravel()
-        n = last - first
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        np.add.at(out, self.examples[at], self.values[at] * np.repeat(np.repeat(values, len(blocks)), n))
-        return out
+        key = term * n_blocks + owner // block
+        cell, starts = np.unique(key, return_index=True)
+        most = np.maximum.reduceat(value, starts) if len(starts) else np.zeros(0)
+        cells = np.searchsorted(cell, np.arange(n_terms + 1) * n_blocks)
+        return cls([e[0] for e in examples], np.array([e[1] for e in examples], float), n_blocks, cells, cell % n_blocks, most, np.append(starts, len(term)), owner, value)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines; ties go to the first in the index.
@@ -184,143 +209,196 @@ class BlockMaxIndex:
         """
         if not len(terms) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = values @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        lead = order[: 2 + k // BLOCK]
-        score = self.scores(terms, values, np.sort(lead))
+        first, last = self.cells[terms], self.cells[terms + 1]
+        cell, weight = ranges(first, last), np.repeat(values, last - first)
+        block = self.block[cell]
+        bound = np.bincount(block, self.most[cell] * weight, self.n_blocks)
+        lead = np.zeros(self.n_blocks, bool)
+        lead[np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]] = True
+        score = self._scores(cell, weight, lead[block])
         kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        rest = np.sort(order[len(lead) :][bound[order[len(lead) :]] >= max(kth - 1e-12, 1e-12)])
-        if len(rest):
-            score += self.scores(terms, values, rest)
-        best = np.argsort(-score, kind="stable")[:k]
+        rest = ~lead & (bound >= max(kth - 1e-12, 1e-12))
+        wanted = rest[block]
+        if 4 * np.count_nonzero(wanted) > len(cell):  # cheaper to add up whole terms than to pick cells
+            score = self._all_scores(terms, values)
+        elif wanted.any():
+            score += self._scores(cell, weight, wanted)
+        best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
         best = best[score[best] > 0]
+        best = best[np.argsort(-score[best], kind="stable")][:k]
         return best, score[best]
 
+    def _scores(self, cell: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Cosines of all examples, right in the blocks of the wanted cells and 0 elsewhere."""
+        cell = cell[wanted]
+        first, last = self.starts[cell], self.starts[cell + 1]
+        at = ranges(first, last)
+        return np.bincount(self.examples[at], self.values[at] * np.repeat(weight[wanted], last - first), len(self.ids))
+
+    def _all_scores(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Cosines of all examples."""
+        first, last = self.starts[self.cells[terms]], self.starts[self.cells[terms + 1]]
+        at = ranges(first, last)
+        return np.bincount(self.examples[at], self.values[at] * np.repeat(values, last - first), len(self.ids))
+
+
+def vote(index: BlockMaxIndex, which: np.ndarray, cosine: np.ndarray) -> float | None:
+    """The toxic share of the neighbours, each with its cosine as weight; None without neighbours."""
+    return float(cosine @ index.labels[which] / cosine.sum()) if len(which) else None
+
+
+def calibration(votes: np.ndarray, labels: np.ndarray, rows: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points (vote, probability) of a rising line: pool-adjacent-violators over weighted rows, one prior row in each pool."""
+    pools: list[list[float]] = []  # weight, toxic weight, sum of votes
+    for v, y, w in sorted(zip(votes.tolist(), labels.tolist(), rows.tolist())):
+        pools.append([w, w * y, w * v])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0] or pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    if not pools:
+        return np.zeros(1), np.full(1, prior)
+    at, sums, toxic = (np.array(x) for x in zip(*((v / w, w, y) for w, y, v in pools)))
+    return at, np.maximum.accumulate((toxic + prior) / (sums + 1))
+
+
+def _cross_votes(batches: Iterator[pa.RecordBatch], sent, folds: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Votes for the examples of a fold by those of the other folds, with term weights learned from these alone."""
+    own, idf = sent.value
+    for batch in batches:
+        for fold in batch.column(0).to_pylist():
+            mine = own.group % folds == fold
+            rest = np.flatnonzero(~mine)
+            weight = own.weights(idf, rest)
+            index = own.indexed(weight, rest)
+            rows, votes = [], []
+            for i in np.flatnonzero(mine).tolist():
+                t, n = own.terms[own.starts[i] : own.starts[i + 1]], own.counts[own.starts[i] : own.starts[i + 1]]
+                v = vote(index, *index.nearest(t, unit(t, n, weight), k))
+                if v is not None:
+                    rows.append(i)
+                    votes.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(votes, pa.float64())], names=["row", "vote"])
+
 
 class ToxicityModel:
-    """Examples, their terms and the share of toxic labels; scores whole texts."""
+    """Labelled examples in an index over all of their terms; scores whole texts by calibrated votes of the nearest."""
 
-    def __init__(self, terms: tuple[str, ...], idf: np.ndarray, index: BlockMaxIndex, prior: float, counted: DataFrame | None = None):
-        self.terms, self.idf, self.index, self.prior = terms, idf, index, prior
-        #: The corpus's term counts, if they were kept.
-        self.counted = counted
+    def __init__(self, vocab, weight: np.ndarray, index: BlockMaxIndex, prior: float, points: tuple[np.ndarray, np.ndarray], terms: tuple[str, ...], k: int):
+        #: The vocabulary, broadcast; the number of a term is its place there.
+        self.vocab, self.weight, self.index, self.prior, self.points, self.k = vocab, weight, index, prior, points, k
+        #: The terms that tell the classes apart, each with "=" before it, for reports; the index holds all others too.
+        self.terms = terms
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, corpus: DataFrame, examples: int = EXAMPLES, most_terms: int = TERMS, keep_counts: bool = False) -> "ToxicityModel":
+    def fit(cls, docs: DataFrame, labels: DataFrame, corpus: DataFrame, examples: int = EXAMPLES, folds: int = FOLDS, k: int = NEIGHBOURS) -> "ToxicityModel":
         """Learns from the labelled rows handed over: labels (doc_id, toxic) of docs (doc_id, text).
 
-        At most `examples` rows of each class are taken, by a hash of their ids; they, the terms that tell the classes
-        apart (at most most_terms) and one count per term come to the driver. Of examples that are near-copies one
-        stays, lest a text that was copied often make its chance words look telling. Term weights rest on the counts
-        of all of corpus. Null ids and labels are left out; where an id has several labels the largest holds.
+        At most `examples` ids of each class are taken, by a hash of the id, and one text of each (the least by its
+        hash). All their terms are indexed; only they, and one count per term, come to the driver, so what it holds and
+        sends is bounded by the text of 2 * examples documents. A term's weight is its idf over all documents of
+        corpus, times a factor above 0 that rises with how much more often toxic examples have it, where near-copies
+        count as one. Votes are calibrated on votes across folds, near-copies in the same fold, weighted back to the
+        classes' shares. Null ids and labels are left out; where an id has several labels the largest holds; without
+        labels every score is 0.
         """
+        spark = docs.sparkSession
         known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
         known = written(known, "labels")
         sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
         picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(examples) for c in (0, 1)]
         rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
-        rows = written(_unlike(rows), "examples")
-        n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n1, n0 = max(1, n.get(1, 0)), max(1, n.get(0, 0))
-        counts = rows.select("toxic", "text").mapInArrow(_class_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        share = (F.col("toxic") + F.col("other")) / F.lit(float(n1 + n0))
-        spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-        z = F.abs(F.col("toxic") / float(n1) - F.col("other") / float(n0)) / spread
-        counts = counts.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("toxic") + F.col("other") >= LEAST_DOCS))
-        terms = tuple(sorted(r.term for r in counts.orderBy(F.desc("z"), "term").limit(most_terms).collect()))
-        total, have, counted = corpus.count(), np.zeros(len(terms)), None
-        if keep_counts:
-            counted = written(term_counts(corpus, terms), "term-counts")
-            sums = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-        else:
-            sums = corpus.select("text").mapInArrow(partial(_term_docs, terms=terms), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-        for r in sums.collect():
-            have[r.term] = r.docs
-        idf = np.log((1 + total) / (1 + have)) + 1
-        vectors = rows.mapInArrow(partial(_vectors, terms=terms, idf=idf), "doc_id string, toxic int, terms array<long>, weights array<double>").collect()
-        index = BlockMaxIndex.build([(r.doc_id, r.toxic, np.array(r.terms, np.int64), np.array(r.weights)) for r in vectors], len(terms))
-        return cls(terms, idf, index, prior, counted)
-
-    def score(self, docs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-        """(doc_id, score, evidence): the share of toxic votes of the k nearest examples, each with its cosine as weight.
-
-        The prior share has a small vote, and is the score of empty and null texts and of those without an index
-        term. evidence lists the neighbours (id as text, label, cosine), nearest first. Repeated rows stay.
+        rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+        found = rows.mapInArrow(_examples, "doc_id string, toxic int, fingerprint long, words array<string>").toArrow()
+        own, terms = Examples.of(found)
+        vocab = spark.sparkContext.broadcast(terms)
+        counts = corpus.select("text").mapInArrow(partial(_term_docs, vocab=vocab), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
+        have = np.zeros(len(terms))
+        have[counts["term"]] = counts["docs"]
+        idf = np.log((1 + corpus.count()) / (1 + have)) + 1
+        every = np.arange(len(own.ids))
+        weight = own.weights(idf, every)
+        sent = spark.sparkContext.broadcast((own, idf))
+        votes = spark.range(0, folds, 1, folds).mapInArrow(partial(_cross_votes, sent=sent, folds=folds, k=k), "row int, vote double").toPandas().sort_values("row")
+        sent.destroy()
+        at, toxic = votes["row"].to_numpy(), own.labels * own.rows
+        # examples stand for their class: as many rows as the class has for each that was taken
+        stand = [max(1, sizes.get(c, 0)) / max(1.0, x) for c, x in ((1, toxic.sum()), (0, (own.rows - toxic).sum()))]
+        rows_for = (toxic * stand[0], (own.rows - toxic) * stand[1])
+        weigh = (rows_for[0] + rows_for[1]) / own.rows
+        points = calibration(votes["vote"].to_numpy(), (rows_for[0] / (rows_for[0] + rows_for[1]))[at] if len(at) else at, weigh[at] if len(at) else at, prior)
+        z, n = own.standard_errors(len(terms), every)
+        telling = np.flatnonzero((np.abs(z) >= LEAST_Z) & (n >= LEAST_DOCS - 1e-9))
+        return cls(vocab, weight, own.indexed(weight, every), prior, points, tuple("=" + terms[j] for j in telling), k)
+
+    def sent(self, spark: SparkSession):
+        return spark.sparkContext.broadcast((self.weight, self.index, self.prior, self.points, self.k))
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, score, evidence): the calibrated toxic share of the nearest examples, each with its cosine as weight.
+
+        The prior share is the score of empty and null texts and of those that share no term with any example. evidence
+        lists the neighbours (id as text, label, cosine), nearest first. Repeated rows and null ids stay; a text of any
+        length is counted whole; ties of cosines go to the first example in the index, whose order is fixed.
         """
-        return self.score_counts(term_counts(docs, self.terms), k)
+        kind = dict(docs.dtypes)["doc_id"]
+        out = f"doc_id {kind}, score double, evidence array<struct<doc_id: string, label: double, cosine: double>>"
+        return docs.select("doc_id", "text").mapInArrow(partial(_scores, vocab=self.vocab, model=self.sent(docs.sparkSession)), out)
 
-    def score_counts(self, counted: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-        """The same from a table of term_counts."""
-        sent = counted.sparkSession.sparkContext.broadcast((self.idf, self.index, self.prior))
-        kind = dict(counted.dtypes)["doc_id"]
-        return counted.select("doc_id", "terms", "counts").mapInArrow(partial(_scores, model=sent, k=k), f"doc_id {kind}, score double, evidence array<struct<doc_id: string, label: int, cosine: double>>")
-
-    def score_column(self, spark: SparkSession, k: int = NEIGHBOURS):
+    def score_column(self, spark: SparkSession):
         """A function of a text column that gives the score alone, for filters that keep a row's other columns."""
-        sent = spark.sparkContext.broadcast((self.terms, self.idf, self.index, self.prior))
+        vocab, sent = self.vocab, self.sent(spark)
 
         @F.pandas_udf("double")
         def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            terms, idf, index, prior = sent.value
-            find = finder(terms)
+            find = finder(vocab)
             for part in texts:
-                yield pd.Series([scored(find, idf, index, prior, t, k) for t in part], dtype=float)
+                yield pd.Series([scored(find, sent.value, t)[0] for t in part], dtype=float)
 
         return score
 
 
-def scored(find: Terms, idf: np.ndarray, index: BlockMaxIndex, prior: float, text: str | None, k: int) -> float:
-    counts = find.counts(text)
-    return vote(index, prior, *index.nearest(*weights(counts, idf), k)) if counts else prior
-
-
-def vote(index: BlockMaxIndex, prior: float, which: np.ndarray, cosine: np.ndarray) -> float:
-    return float((PRIOR_WEIGHT * prior + cosine @ index.labels[which]) / (PRIOR_WEIGHT + cosine.sum()))
-
-
-def _vectors(batches: Iterator[pa.RecordBatch], terms: tuple[str, ...], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    find = finder(terms)
-    for batch in batches:
-        columns = dict(zip(batch.schema.names, batch.columns))
-        found = [weights(find.counts(t), idf) for t in columns["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [columns["doc_id"].cast(pa.string()), columns["toxic"].cast(pa.int32()), pa.array([w.tolist() for w, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))],
-            names=["doc_id", "toxic", "terms", "weights"],
-        )
+def scored(find: Finder, model: tuple, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """The score of a text, its nearest examples and their cosines."""
+    weight, index, prior, points, k = model
+    terms, counts = find.counts(text)
+    which, cosine = index.nearest(terms, unit(terms, counts, weight), k)
+    raw = vote(index, which, cosine)
+    return prior if raw is None else float(np.interp(raw, *points)), which, cosine
 
 
-EVIDENCE = pa.list_(pa.struct([("doc_id", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
-
-
-def _scores(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.RecordBatch]:
-    idf, index, prior = model.value
-    for batch in batches:
-        scores, evidence = [], []
-        for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if not terms:  # as nearest() would find, without asking it
-                scores.append(prior)
-                evidence.append([])
-                continue
-            which, cosine = index.nearest(*weights(dict(zip(terms, counts)), idf), k)
-            scores.append(vote(index, prior, which, cosine))
-            evidence.append([{"doc_id": index.ids[i], "label": int(index.labels[i]), "cosine": float(c)} for i, c in zip(which, cosine)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, EVIDENCE)], names=["doc_id", "score", "evidence"])
+def _scores(batches: Iterator[pa.RecordBatch], vocab, model) -> Iterator[pa.RecordBatch]:
+    find, index = finder(vocab), model.value[1]
+    ids = pa.array(index.ids, pa.string())
+    for batch in slices(batches):
+        found = [scored(find, model.value, t) for t in batch.column(1).to_pylist()]
+        which = np.concatenate([np.zeros(0, np.int64), *(w for _, w, _ in found)])
+        cosine = np.concatenate([np.zeros(0), *(c for _, _, c in found)])
+        near = pa.StructArray.from_arrays([ids.take(pa.array(which)), pa.array(index.labels[which]), pa.array(cosine)], names=["doc_id", "label", "cosine"])
+        evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(w) for _, w, _ in found)]), pa.int32()), near)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
 
 
-def trained(docs: DataFrame, labels: DataFrame, keep_counts: bool = False) -> ToxicityModel:
+def trained(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """A model of all documents that learns from the labels that are not held out."""
-    return ToxicityModel.fit(docs, labels.filter(~held_out(3, 1)), docs, keep_counts=keep_counts)
+    return ToxicityModel.fit(docs, labels.filter(~held_out(3, 1)), docs)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence), one row per document."""
-    model = trained(docs, labels, keep_counts=True)
-    rows = model.score_counts(model.counted)
+    """(doc_id, held_out, score, predicted, evidence), one row per document; see ToxicityModel for odd rows.
+
+    An empty table of documents gives no rows. Columns of docs and labels other than doc_id, text and toxic are ignored,
+    whatever their names.
+    """
+    rows = trained(docs, labels).score(docs)
     return rows.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score stays below the threshold, as they are."""
+    """The documents whose score stays below the threshold, with all columns as they are.
+
+    Each row is judged by its own text: repeated rows go or stay together, null and empty texts have the prior share of
+    toxic labels as score, an empty table stays empty, and columns of any name are kept.
+    """
     score = trained(docs, labels).score_column(docs.sparkSession)
-    return docs.withColumn("__toxicity", score("text")).filter(F.col("__toxicity") < THRESHOLD).select(docs.columns)
+    return docs.filter(score("text") < THRESHOLD)
