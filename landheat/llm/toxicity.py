@@ -26,6 +26,8 @@ FLOOR, SLOPE, CHANCE = 0.05, 0.1, 2.0
 LEAST_Z, LEAST_DOCS = 5.0, 3
 NEIGHBOURS, BLOCK, FOLDS = 15, 64, 5
 THRESHOLD = 0.7
+#: A term of over one in so many examples is frequent; texts whose frequent terms are multiplied at once.
+FREQUENT, TEXTS = 16, 128
 #: Terms: runs of word characters other than digits and underscores, in lower case.
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -153,8 +155,11 @@ class Examples:
         return idf * (FLOOR + SLOPE * np.maximum(0, self.standard_errors(len(idf), which)[0] - CHANCE))
 
     def indexed(self, weight: np.ndarray, which: np.ndarray) -> "BlockMaxIndex":
-        parts = [(i, self.terms[self.starts[i] : self.starts[i + 1]], self.counts[self.starts[i] : self.starts[i + 1]]) for i in which.tolist()]
-        return BlockMaxIndex.build([(self.ids[i], float(self.labels[i]), t, unit(t, n, weight)) for i, t, n in parts], len(weight))
+        return BlockMaxIndex.build([(self.ids[i], float(self.labels[i]), *self.vector(i, weight)) for i in which.tolist()], len(weight))
+
+    def vector(self, i: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        terms, counts = self.terms[self.starts[i] : self.starts[i + 1]], self.counts[self.starts[i] : self.starts[i + 1]]
+        return terms, unit(terms, counts, weight)
 
 
 def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -171,75 +176,101 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings by term, cut into cells of one block of examples each; a cell has its largest weight beside it."""
+    """Postings of rare terms, cut into cells of one block of examples each with the largest weight beside it.
+
+    The terms of over one in FREQUENT examples have a full row each instead, so what they add to the cosines of all
+    examples is one matrix product for many texts.
+    """
 
     ids: list
     labels: np.ndarray
     n_blocks: int
+    row: np.ndarray  # of a frequent term in `dense`, -1 of a rare one
+    dense: np.ndarray  # [frequent term, example]
     cells: np.ndarray  # first cell of each term
     block: np.ndarray  # of a cell
     most: np.ndarray  # of a cell
     starts: np.ndarray  # first posting of each cell
     examples: np.ndarray
     values: np.ndarray
+    edges: np.ndarray  # first example of each block
 
     @classmethod
     def build(cls, examples: list[tuple], n_terms: int, block: int = BLOCK) -> "BlockMaxIndex":
         """examples: (id, label, terms, values). Those alike in their strongest term share blocks, so bounds are tight."""
         examples = [e for e in examples if len(e[2])]
         examples.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), -float(e[3].max()), str(e[0])))
-        n_blocks = max(1, -(-len(examples) // block))
+        n = len(examples)
+        n_blocks = max(1, -(-n // block))
         none = np.zeros(0, np.int64)
         term = np.concatenate([none, *(e[2] for e in examples)])
-        owner = np.repeat(np.arange(len(examples), dtype=np.int64), [len(e[2]) for e in examples])
+        owner = np.repeat(np.arange(n, dtype=np.int64), [len(e[2]) for e in examples])
         value = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) * FREQUENT > n)
+        row = np.full(n_terms, -1)
+        row[often] = np.arange(len(often))
+        dense, full = np.zeros((len(often), n)), row[term] >= 0
+        dense[row[term[full]], owner[full]] = value[full]
+        term, owner, value = term[~full], owner[~full], value[~full]
         order = np.lexsort((owner, term))
         term, owner, value = term[order], owner[order], value[order]
-        key = term * n_blocks + owner // block
-        cell, starts = np.unique(key, return_index=True)
+        cell, starts = np.unique(term * n_blocks + owner // block, return_index=True)
         most = np.maximum.reduceat(value, starts) if len(starts) else np.zeros(0)
         cells = np.searchsorted(cell, np.arange(n_terms + 1) * n_blocks)
-        return cls([e[0] for e in examples], np.array([e[1] for e in examples], float), n_blocks, cells, cell % n_blocks, most, np.append(starts, len(term)), owner, value)
-
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        labels = np.array([e[1] for e in examples], float)
+        return cls([e[0] for e in examples], labels, n_blocks, row, dense, cells, cell % n_blocks, most, np.append(starts, len(term)), owner, value, np.arange(0, n, block))
+
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """[vector, example]: what the frequent terms add to each cosine."""
+        own = np.zeros((len(vectors), len(self.dense)))
+        for x, (terms, values) in zip(own, vectors):
+            at = self.row[terms]
+            x[at[at >= 0]] = values[at >= 0]
+        return own @ self.dense
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines; ties go to the first in the index.
 
-        The blocks with the highest bounds are scored first; then all whose bound reaches the k-th best cosine found.
-        What is left can't hold a nearer example, so the answer is exact.
+        A block's bound is the most that its examples have from frequent terms, and its cells' largest weights for the
+        rare ones. The blocks with the highest bounds are scored first; then all whose bound reaches the k-th best cosine
+        found. What is left can't hold a nearer example, so the answer is exact. frequent: this vector's row of that.
         """
         if not len(terms) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
+        score = self.frequent([(terms, values)])[0] if frequent is None else frequent
+        rare = self.row[terms] < 0
+        terms, values = terms[rare], values[rare]
         first, last = self.cells[terms], self.cells[terms + 1]
         cell, weight = ranges(first, last), np.repeat(values, last - first)
         block = self.block[cell]
-        bound = np.bincount(block, self.most[cell] * weight, self.n_blocks)
-        lead = np.zeros(self.n_blocks, bool)
-        lead[np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]] = True
-        score = self._scores(cell, weight, lead[block])
-        kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        rest = ~lead & (bound >= max(kth - 1e-12, 1e-12))
-        wanted = rest[block]
-        if 4 * np.count_nonzero(wanted) > len(cell):  # cheaper to add up whole terms than to pick cells
-            score = self._all_scores(terms, values)
-        elif wanted.any():
-            score += self._scores(cell, weight, wanted)
-        best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
-        best = best[score[best] > 0]
+        bound = np.maximum.reduceat(score, self.edges) + np.bincount(block, self.most[cell] * weight, self.n_blocks)
+        lead = np.argsort(-bound, kind="stable")[: 2 + k // BLOCK]
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[lead] = True
+        score = score + self._rare(cell, weight, wanted[block])
+        ends = np.append(self.edges, len(score))
+        best = np.concatenate([score[ends[b] : ends[b + 1]] for b in lead])
+        least = max(np.partition(best, -k)[-k] - 1e-12 if len(best) > k else 0.0, 1e-9)
+        rest = ~wanted & (bound >= least)
+        if rest.any():
+            score += self._rare(cell, weight, rest[block])
+        best = np.flatnonzero(score >= least)
         best = best[np.argsort(-score[best], kind="stable")][:k]
         return best, score[best]
 
-    def _scores(self, cell: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Cosines of all examples, right in the blocks of the wanted cells and 0 elsewhere."""
+    def _rare(self, cell: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """What rare terms add to the cosines, in the blocks of the wanted cells."""
         cell = cell[wanted]
         first, last = self.starts[cell], self.starts[cell + 1]
         at = ranges(first, last)
         return np.bincount(self.examples[at], self.values[at] * np.repeat(weight[wanted], last - first), len(self.ids))
 
-    def _all_scores(self, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Cosines of all examples."""
-        first, last = self.starts[self.cells[terms]], self.starts[self.cells[terms + 1]]
-        at = ranges(first, last)
-        return np.bincount(self.examples[at], self.values[at] * np.repeat(values, last - first), len(self.ids))
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each vector in turn."""
+        for i in range(0, len(vectors), TEXTS):
+            some = vectors[i : i + TEXTS]
+            for (terms, values), frequent in zip(some, self.frequent(some)):
+                yield self.nearest(terms, values, k, frequent)
 
 
 def vote(index: BlockMaxIndex, which: np.ndarray, cosine: np.ndarray) -> float | None:
@@ -270,13 +301,9 @@ def _cross_votes(batches: Iterator[pa.RecordBatch], sent, folds: int, k: int) ->
             rest = np.flatnonzero(~mine)
             weight = own.weights(idf, rest)
             index = own.indexed(weight, rest)
-            rows, votes = [], []
-            for i in np.flatnonzero(mine).tolist():
-                t, n = own.terms[own.starts[i] : own.starts[i + 1]], own.counts[own.starts[i] : own.starts[i + 1]]
-                v = vote(index, *index.nearest(t, unit(t, n, weight), k))
-                if v is not None:
-                    rows.append(i)
-                    votes.append(v)
+            rows = np.flatnonzero(mine).tolist()
+            votes = [vote(index, *near) for near in index.nearest_of([own.vector(i, weight) for i in rows], k)]
+            rows, votes = [i for i, v in zip(rows, votes) if v is not None], [v for v in votes if v is not None]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(votes, pa.float64())], names=["row", "vote"])
 
 
@@ -353,25 +380,26 @@ class ToxicityModel:
         def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             find = finder(vocab)
             for part in texts:
-                yield pd.Series([scored(find, sent.value, t)[0] for t in part], dtype=float)
+                yield pd.Series([s for s, _, _ in scored(find, sent.value, part.tolist())], dtype=float)
 
         return score
 
 
-def scored(find: Finder, model: tuple, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-    """The score of a text, its nearest examples and their cosines."""
+def scored(find: Finder, model: tuple, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """The score of each text, its nearest examples and their cosines."""
     weight, index, prior, points, k = model
-    terms, counts = find.counts(text)
-    which, cosine = index.nearest(terms, unit(terms, counts, weight), k)
-    raw = vote(index, which, cosine)
-    return prior if raw is None else float(np.interp(raw, *points)), which, cosine
+    for i in range(0, len(texts), TEXTS):
+        counted = [find.counts(t) for t in texts[i : i + TEXTS]]
+        for which, cosine in index.nearest_of([(t, unit(t, n, weight)) for t, n in counted], k):
+            raw = vote(index, which, cosine)
+            yield prior if raw is None else float(np.interp(raw, *points)), which, cosine
 
 
 def _scores(batches: Iterator[pa.RecordBatch], vocab, model) -> Iterator[pa.RecordBatch]:
     find, index = finder(vocab), model.value[1]
     ids = pa.array(index.ids, pa.string())
     for batch in slices(batches):
-        found = [scored(find, model.value, t) for t in batch.column(1).to_pylist()]
+        found = list(scored(find, model.value, batch.column(1).to_pylist()))
         which = np.concatenate([np.zeros(0, np.int64), *(w for _, w, _ in found)])
         cosine = np.concatenate([np.zeros(0), *(c for _, _, c in found)])
         near = pa.StructArray.from_arrays([ids.take(pa.array(which)), pa.array(index.labels[which]), pa.array(cosine)], names=["doc_id", "label", "cosine"])
