@@ -12,13 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landheat.llm.common import slices, written
+from landheat.llm.common import slices, text_key, written
 
 BITS = 64
 #: First bit of each third of a fingerprint. Four differing bits leave at most one in some third.
 THIRDS = (0, 21, 42)
 #: Distinct fingerprints that one trie node should hold, and the most that one task takes at once.
 NODE_ROWS, CELL_ROWS = 2048, 65536
+#: Rows of one fingerprint from which its group's id is broadcast to them.
+HOT_ROWS = 1_000_000
 #: Node pairs and fingerprint pairs that are looked at together.
 FRONTIER, LEAF_PAIRS = 1 << 17, 32
 
@@ -45,16 +47,16 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
         prints = np.fromiter((fingerprint(t or b"", words, seed) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(prints.view(np.int64))], names=[*batch.schema.names[1:], "fingerprint"])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint long) of every whole text; A-Z are lower-cased, words end at ASCII white space."""
-    rows = docs.select("doc_id", "text")
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(partial(_fingerprints, words=words, seed=seed), f"doc_id {kind}, fingerprint long")
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*carried, fingerprint long) of every whole text; A-Z are lower-cased, words end at ASCII white space."""
+    rows = docs.select("text", *carried)
+    kinds = [f"{c} {dict(rows.dtypes)[c]}" for c in carried]
+    return rows.mapInArrow(partial(_fingerprints, words=words, seed=seed), ", ".join([*kinds, "fingerprint long"]))
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,28 +213,51 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fingerprint string, component_id): one row per document, with the smallest doc_id it is linked to.
 
     Null and empty texts have fingerprint zero and link like any other; a null doc_id keeps its row and never becomes
-    an id of a group that has others; repeated rows give repeated rows; other columns are ignored.
+    an id of a group that has others; repeated rows give repeated rows; texts of any length are read whole; ties of
+    bits (set in exactly half of the hashes) count as not set; an empty table gives no rows; other columns are ignored,
+    whatever their names. Fingerprints of over hot_rows rows, of which there can't be many, are broadcast; so no task
+    has to join all rows of one group of copies.
     """
     prints = written(fingerprints(docs, words, seed), "fingerprints")
-    one = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(trie_self_join(one.select("fingerprint"), budget))
-    one = one.join(roots, one.fingerprint == roots.node, "left").select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
+    one = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    one = rooted(one, budget)
     lowest = one.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = one.join(lowest, "root").select("fingerprint", "component_id")
-    found = prints.join(known, "fingerprint")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    known = written(one.join(lowest, "root").select("fingerprint", "component_id", "n"), "known")
+    hot, others = known.filter(F.col("n") > hot_rows), known.filter(F.col("n") <= hot_rows).select("fingerprint", "component_id")
+    of_hot = prints.join(F.broadcast(hot), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    found = prints.join(F.broadcast(hot), "fingerprint", "left_anti").join(others, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return found.unionByName(of_hot).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the smallest doc_id stays, once.
+def rooted(one: DataFrame, budget: int) -> DataFrame:
+    """Adds root to a written table of distinct fingerprints: the smallest one of each one's component."""
+    roots = components(trie_self_join(one.select("fingerprint"), budget)).withColumnRenamed("node", "fingerprint")
+    return one.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
-    Documents without an id can't be named as a group's first; they stay as they are.
+
+def deduplicated(docs: DataFrame, budget: int = 4, words: int = 4, seed: int = 42, keep_unnamed: bool = True) -> DataFrame:
+    """The documents without near-duplicates: one row of each group stays, as it is, and every group has one.
+
+    With keep_unnamed, rows without a doc_id all stay, since nothing else can name them, and each group among the others
+    has one; without it they are judged like any other.
+
+    That is the row with the smallest doc_id (null last), then the smallest hash of its text, then the smallest values;
+    so rows that share a doc_id are judged each by its own text, and those without one are no exception. Null and empty
+    texts are one group; an empty table stays empty; columns of any name are kept, but must be of kinds that Spark can
+    order. Fingerprints and repeated rows are reduced in each partition first, so copies never meet in one task.
     """
-    found = near_duplicates(docs, budget, words, seed)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    if keep_unnamed:
+        named = deduplicated(docs.filter("doc_id is not null"), budget, words, seed, keep_unnamed=False)
+        return named.unionByName(docs.filter("doc_id is null"))
+    mark = F.xxhash64("text").alias("__mark")
+    prints = fingerprints(docs.select("text", F.col("doc_id").alias("__id"), mark), words, seed, ("__id", "__mark"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__mark")).alias("first")
+    one = rooted(written(prints.groupBy("fingerprint").agg(first), "distinct-fingerprints"), budget)
+    keep = one.groupBy("root").agg(F.min("first").alias("first")).select(text_key("first.__id").alias("__key"), "first.__mark").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), text_key("doc_id").alias("__key"), mark)
+    rows = rows.groupBy("__key", "__mark").agg(F.min("__row").alias("__row"))
+    return rows.join(keep, ["__key", "__mark"], "left_semi").select("__row.*")

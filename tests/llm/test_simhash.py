@@ -75,3 +75,22 @@ def test_edges(spark):
     kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 4, 7, 8] and kept.count(None) == 1
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_hot_fingerprints(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six" if i % 3 else f"text {i} of its own {i * 7919} words") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    assert sorted(map(tuple, simhash.near_duplicates(docs, hot_rows=5).collect())) == want and len(want) == 60
+
+
+def test_no_text_is_lost(spark):
+    a, b = "the quick brown fox jumps over the lazy dog by the river", "entirely other words stand in this second text of ours"
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (None, b, 1), (None, "a third text that no other row has at all", 2), (None, "a third text that no other row has at all", 2), (7, None, 1), (8, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint int").withColumn("__key", F.lit("clash"))
+    got = simhash.deduplicated(docs, keep_unnamed=False)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(3, a), (5, b), (0, rows[4][1]), (7, "")])
+    assert sorted((r.doc_id or 0, r.text or "") for r in simhash.deduplicated(docs).collect()) == sorted([(3, a), (5, b), (0, b), *2 * [(0, rows[4][1])], (7, "")])
+    two = docs.filter("doc_id = 5")
+    assert sorted(r.text for r in simhash.deduplicated(two).collect()) == sorted([a, b])
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
