@@ -17,8 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.deduplicated(docs)
+    """Of each group of near-duplicates the document with the smallest id stays; rows without an id count as the last.
+
+    Rows that share an id are judged each by its own text.
+    """
+    return simhash.deduplicated(docs, keep_unnamed=False)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
