@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import string
 from collections import Counter, deque
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landheat.llm.common import held_out, written
+from landheat.llm.common import held_out, slices, written
 
 #: Documents per language that a model is fitted on, at most about.
 TRAIN_DOCS = 1500
@@ -32,8 +33,54 @@ PRIOR = 0.01
 LETTERS = regex.compile(r"\p{L}+")
 
 
+class Vocabulary(tuple):
+    """Ids of the pieces inside a word, of those that end one, and the number of ids."""
+
+    @cached_property
+    def trie(self) -> "Trie":
+        return Trie(self)
+
+
+class Trie:
+    """The beginnings of pieces as numbered nodes in flat arrays, so that many words go down it together.
+
+    An edge is a key node * 256 + byte in a sorted array; `top` holds the nodes of beginnings of two bytes. inside and
+    ending hold a node's piece, 0 for none.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        nodes: dict[bytes, int] = {b"": 0}
+        for one in vocab[:2]:
+            for piece in one:
+                for n in range(1, len(piece) + 1):
+                    nodes.setdefault(piece[:n], len(nodes))
+        self.inside, self.ending = (np.array([one.get(x, 0) for x in nodes], np.int32) for one in vocab[:2])
+        edges = sorted((nodes[x[:-1]] * 256 + x[-1], k) for x, k in nodes.items() if x)
+        self.keys, self.to = (np.array(x, np.int64) for x in zip(*edges))
+        self.first = np.array([nodes[bytes([b])] for b in range(256)])
+        self.top = np.array([nodes.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
+
+    def walk(self, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, rows, nodes): the rows of raw whose first n bytes begin a piece, as long as there are any."""
+        rows = np.arange(len(raw))
+        yield 1, rows, self.first[raw[:, 0]]
+        for n in range(2, raw.shape[1] + 1):
+            if n == 2:
+                node = self.top[raw[:, 0].astype(np.int64) * 256 + raw[:, 1]]
+                known = node >= 0
+                rows, node = rows[known], node[known]
+            else:
+                key = node * 256 + raw[rows, n - 1]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[at] == key
+                rows, node = rows[known], self.to[at[known]]
+            if not len(rows):
+                return
+            yield n, rows, node
+
+
 @lru_cache(2)
-def vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
+def vocabulary(path: str) -> Vocabulary:
     """Ids of the pieces inside a word and of those that end one, from a byte-level BPE file, and the number of ids.
 
     The file writes a byte that prints as itself and the others, in order, as the characters from U+0100 on. Id 0 is
@@ -55,7 +102,7 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
     for b in range(256):
         for one in (inside, ending):
             one.setdefault(bytes([b]), len(inside) + len(ending) + 1)
-    return inside, ending, len(inside) + len(ending) + 1
+    return Vocabulary((inside, ending, len(inside) + len(ending) + 1))
 
 
 def longest(vocab: tuple) -> int:
@@ -63,26 +110,23 @@ def longest(vocab: tuple) -> int:
     return max(max(map(len, one)) for one in vocab[:2])
 
 
-def _lattice(words: list[bytes], length: int, vocab: tuple) -> tuple[np.ndarray, list[tuple]]:
+def _lattice(words: list[bytes], length: int, vocab: Vocabulary) -> tuple[np.ndarray, list[tuple]]:
     """The places of pieces in words of the same length.
 
     ids[w, i, n-1] is the piece of n bytes at byte i, up to PIECE_BYTES; longer ones are listed as (i, n, words that
     have one there, their pieces), by i.
     """
-    inside, ending, _ = vocab
     most = min(PIECE_BYTES, length)
+    raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), length)
     ids = np.zeros((len(words), length, most), np.int32)
-    for i in range(length):
-        for n in range(1, min(most, length - i) + 1):
-            known = (ending if i + n == length else inside).get
-            ids[:, i, n - 1] = [known(w[i : i + n], 0) for w in words]
     longer = []
-    for i in range(length - most):
-        for n in range(most + 1, length - i + 1):
-            known = (ending if i + n == length else inside).get
-            found = [(k, one) for k, w in enumerate(words) if (one := known(w[i : i + n]))]
-            if found:
-                longer.append((i, n, *np.array(found, np.int64).T))
+    for i in range(length):
+        for n, rows, node in vocab.trie.walk(raw[:, i:]):
+            piece = (vocab.trie.ending if i + n == length else vocab.trie.inside)[node]
+            if n <= most:
+                ids[rows, i, n - 1] = piece
+            elif piece.any():
+                longer.append((i, n, rows[piece > 0], piece[piece > 0].astype(np.int64)))
     return ids, longer
 
 
@@ -189,7 +233,10 @@ def expected_counts(words: list[bytes], counts: np.ndarray, langs: np.ndarray, o
 
 
 def letter_runs(text: str | None) -> list[bytes]:
-    return [w.encode() for w in LETTERS.findall(text.lower())] if text else []
+    low = text.lower().strip(string.punctuation) if text else ""
+    if low.isalpha():
+        return [low.encode()]
+    return [w.encode() for w in LETTERS.findall(low)]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +312,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model, path: str, cache_words: i
     prior = np.log(shares) if langs else np.zeros(0)
     place: dict[str, int] = {}
     table = np.zeros((1024, len(langs) + 1))  # a word's score for each language, and its number of letter runs
-    for batch in batches:
+    for batch in slices(batches, CHUNK_DOCS):
         preds, scores = [], []
-        texts = batch.column(1).to_pylist()
-        for k in range(0, len(texts), CHUNK_DOCS):
-            split = [t.split() if t else [] for t in texts[k : k + CHUNK_DOCS]]
+        if batch.num_rows:
+            split = [t.split() if t else [] for t in batch.column(1).to_pylist()]
             if len(place) > cache_words:
                 place.clear()
             new = list({w for words in split for w in words if w not in place})
