@@ -21,6 +21,8 @@ BLOCK_WORDS, SHARD_SLOTS, MOST_PASSES = 64, 1024, 3
 SEED = 17
 #: Shards whose running counts meet in one window.
 SHARD_GROUP = 4096
+#: Slots that a task should make, and tasks at most.
+TASK_SLOTS, MOST_TASKS = 65_536, 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -118,9 +120,14 @@ def permuted(index: Column, pass_: Column, key: Column, size: Column, seed: int
     return F.aggregate(F.array(*map(F.lit, range(rounds))), index, swapped)
 
 
-def draws(counts: DataFrame, seed: int = SEED) -> DataFrame:
-    """(shard, slot, key, pass, block): the block that each slot of an output shard holds."""
-    slots = counts.select("shard", "key", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+def draws(counts: DataFrame, seed: int = SEED, slots: int = SHARD_SLOTS, tasks: int = 1) -> DataFrame:
+    """(shard, slot, key, pass, block): the block that each slot of an output shard holds.
+
+    Runs of slots are cut to at most `slots` and dealt over `tasks`, so no task makes them all, whatever the counts.
+    """
+    last = F.col("first") + F.col("n") - 1
+    runs = counts.select("shard", "key", "blocks", F.explode(F.sequence(F.col("first"), last, F.lit(slots).cast("long"))).alias("from"), last.alias("last")).repartition(tasks, "key", "from")
+    slots = runs.select("shard", "key", "blocks", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + slots - 1, F.col("last")))).alias("slot"))
     slots = slots.select("shard", "slot", "key", "blocks", F.floor(F.col("slot") / F.col("blocks")).alias("pass"), (F.col("slot") % F.col("blocks")).alias("at"))
     return slots.select("shard", "slot", "key", "pass", permuted(F.col("at"), F.col("pass"), F.col("key"), F.col("blocks"), seed).alias("block"))
 
@@ -137,21 +144,25 @@ def fragments(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 class Mix:
     """A mix of whole documents: block by block, reproducible from its seed whatever the partitions.
 
-    Null texts have no words and are never taken; a null source is a source of its own; repeated rows are documents of
-    their own; other columns are ignored. Only one row per source comes to the driver, and more than most_sources of
-    them are refused, so what is broadcast is bounded.
+    Null, empty and blank texts have no words and are never taken; long texts are cut into blocks like any other; a null
+    source is a source of its own; repeated rows are documents of their own, and rows that tie in id and text take the
+    adjoining places in their source in no fixed order, which changes none of the sums; an empty table mixes to nothing;
+    other columns are ignored, whatever their names. Only one row per source comes to the driver, and more than
+    most_sources of them are refused before any window runs over them, so what is broadcast is bounded.
     """
 
     def __init__(self, docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, slots: int = SHARD_SLOTS, passes: int = MOST_PASSES, seed: int = SEED, most_sources: int = 100_000):
         spark = docs.sparkSession
         self.block_words, self.seed = block_words, seed
         sizes = written(sized(docs), "sizes")
-        self.shares = written(targets(sizes, weights, passes), "targets")
-        if self.shares.count() > most_sources:
+        if sizes.select("key").distinct().limit(most_sources + 1).count() > most_sources:
             raise ValueError(f"over {most_sources} sources")
+        self.shares = written(targets(sizes, weights, passes), "targets")
         #: One row per document: doc_id, source, key, mark, size, and where its words begin in its source.
         self.placed = written(running_total(sizes, ["key"], ["doc_id", "mark"], F.col("size"), "at"), "placed")
-        self.draws = draws(shard_counts(spark, quotas(self.shares, block_words, passes).collect(), slots, seed), seed)
+        sources = quotas(self.shares, block_words, passes).collect()
+        tasks = min(MOST_TASKS, -(-sum(r.quota for r in sources) // TASK_SLOTS))
+        self.draws = draws(shard_counts(spark, sources, slots, seed), seed, slots, max(1, tasks))
 
     def slots(self) -> DataFrame:
         """(shard, slot, source, block, pass, doc_id, start, stop): the mix itself, as word ranges of documents."""
@@ -171,6 +182,8 @@ class Mix:
         """The mixed documents, with the columns of docs: a row per document and pass that took any of its words.
 
         Where all words were taken the text stays as it is; else it holds the runs of taken words, joined by a space.
+        Rows without words do not appear; repeated rows pair off with their places in turn; n_chars, if there, follows the
+        text; an empty table gives no rows; all other columns are kept as they are.
         """
         parts = fragments(self.placed, self.block_words).join(self.draws, ["key", "block"])
         spans = parts.groupBy("key", "at", "pass").agg(F.first("doc_id").alias("id"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
