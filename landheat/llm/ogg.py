@@ -22,6 +22,8 @@ MAGIC, NOTES = b"\x7fSAMPLES8", b"\x7fNOTES"
 CONTINUED, FIRST, LAST = 1, 2, 4
 #: Granule position of a page on which no packet ends.
 NO_END = (1 << 64) - 1
+#: What reading a damaged container can raise.
+DAMAGE = (ValueError, KeyError, IndexError, StopIteration, TypeError)
 
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -79,13 +81,26 @@ def encode(text: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """A logical stream as read: its packets, the granule position of the page each ends on, and page counts."""
+    """A logical stream as read: its packets, the page each ends on and that page's granule position, and page counts."""
 
     packets: list[bytes]
     granules: list[int]
     pages: int
     continued: int
     closed: bool
+    ends_on: list[int]
+
+    def spans(self, lengths: list[int]) -> list[tuple[int, int]]:
+        """Begin and end of each packet in samples, if packet i holds lengths[i] of them.
+
+        A page's granule position is the end of the last packet that ends on it; a packet before that ends earlier by
+        what the later ones of the page hold.
+        """
+        out, after = [], 0
+        for k in range(len(lengths) - 1, -1, -1):
+            after = 0 if k + 1 == len(lengths) or self.ends_on[k] != self.ends_on[k + 1] else after + lengths[k + 1]
+            out.append((self.granules[k] - after - lengths[k], self.granules[k] - after))
+        return out[::-1]
 
 
 def decode(media: bytes) -> dict[int, Stream]:
@@ -123,8 +138,14 @@ def _stream(pages: list) -> Stream:
     last = np.flatnonzero(lacing < 255)
     stops = ends[last].tolist()
     packets = [body[a:b] for a, b in zip([0, *stops[:-1]], stops)]
-    granule = np.repeat(np.array([p[1] for p in pages], np.uint64), [len(p[2]) for p in pages])
-    return Stream(packets, granule[last].tolist(), len(pages), sum(p[0] & CONTINUED for p in pages), bool(pages[-1][0] & LAST))
+    page = np.repeat(np.arange(len(pages)), [len(p[2]) for p in pages])[last].tolist()
+    return Stream(packets, [pages[k][1] for k in page], len(pages), sum(p[0] & CONTINUED for p in pages), bool(pages[-1][0] & LAST), page)
+
+
+def packet_lengths(stream: Stream) -> list[int]:
+    """Samples in each packet: a byte each, but none in heads and notes."""
+    sounds = stream.packets[0].startswith(MAGIC)
+    return [len(p) if sounds and k else 0 for k, p in enumerate(stream.packets)]
 
 
 def read_back(media: bytes) -> tuple[bytes, int, str]:
@@ -137,16 +158,17 @@ def read_back(media: bytes) -> tuple[bytes, int, str]:
     payload = b"".join(samples.packets[1:])
     if len(payload) != total or samples.granules[-1] != total or not (samples.closed and notes.closed):
         raise ValueError("samples are missing")
-    # a packet's time is that of its page's end, less what later packets of that page hold
+    spans = samples.spans(packet_lengths(samples))
+    if any(a[1] != b[0] for a, b in zip(spans, spans[1:])):
+        raise ValueError("packets leave gaps in time")
     values = np.frombuffer(payload, np.uint8)
-    stamps = [g / rate for g in dict.fromkeys(samples.granules[1:])]
     features = {
         "streams": len(streams),
         "pages": samples.pages + notes.pages,
         "packets": len(samples.packets) + len(notes.packets),
         "continued": samples.continued,
         "seconds": f"{total / rate:.3f}",
-        "first_page_end": f"{stamps[0]:.3f}",
+        "last_packet": f"{spans[-1][0] / rate:.3f}-{spans[-1][1] / rate:.3f}",
         "mean": f"{values.mean():.3f}",
         "peak": int(values.max()),
         "turns": int((np.diff(values.astype(np.int16)) < 0).sum()),
@@ -161,28 +183,64 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
     for batch in slices(batches, 512):
         rows = []
         for media in batch.column(1).to_pylist():
-            payload, n, feature = read_back(media)
-            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            known = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+            try:
+                payload, n, feature = read_back(media or b"")
+                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *known, feature, None))
+            except DAMAGE as e:
+                rows.append((None, None, None, None, *known, None, "no media" if media is None else f"{type(e).__name__}: {e}"))
         columns = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=names)
 
 
+def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+    for batch in slices(batches, 64):
+        ids, rows = [], []
+        for doc_id, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                for serial, stream in decode(media or b"").items():
+                    head = stream.packets[0]
+                    rate = int.from_bytes(head[len(MAGIC) : len(MAGIC) + 4], "little") if head.startswith(MAGIC) else RATE
+                    for k, ((a, b), packet) in enumerate(zip(stream.spans(packet_lengths(stream)), stream.packets)):
+                        ids.append(doc_id)
+                        rows.append((serial, k, len(packet), a / rate, b / rate, packet))
+            except DAMAGE:
+                continue
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["doc_id", "stream", "packet", "bytes", "begin_s", "end_s", "content"])
+
+
 def media_column(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each whole text (null: empty) as UTF-8, padded with spaces, in a container of its own.
 
-    Equal texts give equal bytes; null ids and repeated rows keep their rows; other columns are ignored.
+    Equal texts give equal bytes, of any length; null ids and repeated rows keep their rows; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(_encoded, f"doc_id {kind}, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Verifies and reads each container of (doc_id, media); damage raises ValueError."""
+    """Verifies and reads each container of (doc_id, media), one row each; `error` tells what is damaged, else null.
+
+    Damaged and null media have no features and end no job; repeated rows, null ids and long media keep their rows; an
+    empty table gives no rows; other columns are ignored, whatever their names.
+    """
     kind = dict(media.dtypes)["doc_id"]
-    out = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     return media.select("doc_id", "media").mapInArrow(_measured, out)
+
+
+def media_packets(media: DataFrame) -> DataFrame:
+    """(doc_id, stream, packet, bytes, begin_s, end_s, content): the packets of every logical stream with their times.
+
+    Media that are null or damaged give no rows; media_features tells which those are.
+    """
+    kind = dict(media.dtypes)["doc_id"]
+    return media.select("doc_id", "media").mapInArrow(_packets, f"doc_id {kind}, stream long, packet int, bytes long, begin_s double, end_s double, content binary")

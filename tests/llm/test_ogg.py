@@ -69,3 +69,24 @@ def test_edges(spark):
     same = {tuple(r)[1:] for r in got if r.doc_id in (4, None)}
     assert len(same) == 1 and {r.payload_bytes for r in got if r.doc_id in (1, 2)} == {192}
     assert ogg.media_features(ogg.media_column(docs.limit(0))).count() == 0
+
+
+def test_packet_times(spark):
+    text = "some words " * 30000
+    rows = ogg.media_packets(ogg.media_column(spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string"))).collect()
+    sounds = sorted((r.packet, r.begin_s, r.end_s, bytes(r.content)) for r in rows if r.doc_id == 1 and r.bytes and not bytes(r.content).startswith((b"\x7f", b"{")))
+    payload = ogg.payload_of(text.encode())
+    assert b"".join(s[3] for s in sounds) == payload
+    for k, (packet, begin, end, _) in enumerate(sounds):
+        assert packet == k + 1 and begin == k * ogg.PACKET / ogg.RATE and end == min((k + 1) * ogg.PACKET, len(payload)) / ogg.RATE
+    assert {r.stream for r in rows if r.doc_id == 2} and {r.end_s for r in rows if r.doc_id == 2} == {0.0, 192 / ogg.RATE}
+
+
+def test_damaged_rows_end_no_job(spark):
+    good = ogg.encode(b"fine")
+    broken = good[:40] + b"x" + good[41:]
+    media = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(broken)), (3, None), (4, bytearray(b"")), (5, bytearray(good[:-3]))], "doc_id long, media binary")
+    got = {r.doc_id: r for r in ogg.media_features(media).collect()}
+    assert got[1].error is None and got[1].n_bytes == 4
+    assert all(got[k].error and got[k].n_bytes is None for k in (2, 3, 4, 5))
+    assert {r.doc_id for r in ogg.media_packets(media).collect()} == {1}
