@@ -201,12 +201,14 @@ class BoostedTrees:
 def fitted(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> BoostedTrees:
     """Trees learned from a bounded sample of the labels: the train_docs ids that come first by a hash.
 
-    Null ids and labels are left out; where an id has several labels the lowest holds. Only the sample's features come
-    to the driver. Without labels the score is 0.5 everywhere, which keeps all.
+    Null ids and labels are left out; where an id has several labels the lowest holds, and of its rows the text with the
+    least hash. Only the sample's features, train_docs rows at most, come to the driver. Without labels the score is
+    0.5 everywhere, which keeps all.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(train_docs)
-    rows = measured(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = measured(texts)
     rows = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "features").orderBy("doc_id", "features").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     return BoostedTrees.fit(x, (rows["quality"].to_numpy() > 0).astype(float), list(FEATURES.values()))
@@ -224,7 +226,12 @@ def good_column(spark: SparkSession, model: BoostedTrees):
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The base counts, base_failed, kept and the trees' score; one row per document."""
+    """The base counts, base_failed, kept and the trees' score; one row per document.
+
+    Null and empty texts have counts of 0 and fail; texts of any length are read whole; a score that ties with the
+    threshold keeps; repeated rows and null ids keep their rows; an empty table gives no rows; other columns are ignored,
+    whatever their names.
+    """
     model = fitted(docs, labels)
     rows = measured(docs).withColumn("score", good_column(docs.sparkSession, model)("features"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
