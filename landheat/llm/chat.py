@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landheat.llm.common import slices
+
 ASSISTANT = "assistant"
 #: The template: "### role: text </turn>\n" a turn. A backslash goes before each of its control characters in texts.
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
@@ -34,8 +36,10 @@ def examples(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, text, trainable, mask_start, mask_end): one row per assistant turn, by its place in the order.
 
     Turns go by turn number, null first, then role and text; null roles and texts are empty; null conv_ids are one
-    conversation; repeated rows are turns of their own; other columns are ignored. Turns after the last reply make one
-    more example without a mask, so no turn is lost. Only what a turn needs of its own conversation meets in one row.
+    conversation; repeated rows are turns of their own, and tie without effect; other columns are ignored; an empty table
+    gives no rows. Turns after the last reply make one more example without a mask, so no turn is lost. A conversation
+    is held in one row, and its examples repeat its turns, so texts of any length are formatted whole as long as the
+    conversation and its longest example fit in a task's memory and in 2 GB.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escaped(F.col("role"), r"\\#<:"), F.lit(COLON))
@@ -73,7 +77,7 @@ def parsed(text: str) -> list[tuple[str, str]]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 64):
         n, digests, trained, sizes = [], [], [], []
         for text, start, end in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
             turns = parsed(text)

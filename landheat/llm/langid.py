@@ -19,6 +19,8 @@ from landheat.llm.common import held_out, slices, written
 
 #: Documents per language that a model is fitted on, at most about.
 TRAIN_DOCS = 1500
+#: Languages at most: a model holds a number per piece and language.
+MOST_LANGS = 500
 #: Bytes of a piece up to which a table holds all places of a word (the few longer ones are listed one by one), and bytes
 #: of a word from which it is scored on its own.
 PIECE_BYTES, LONG_WORD = 10, 48
@@ -263,16 +265,18 @@ class LanguageModel:
         self.langs, self.odds, self.shares, self.path = langs, odds, shares, path
 
     @classmethod
-    def fit(cls, docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> "LanguageModel":
+    def fit(cls, docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, most_langs: int = MOST_LANGS) -> "LanguageModel":
         """Expectation maximisation over the distinct words of a bounded sample: about train_docs documents a language.
 
         docs: the rows to learn from, with text and lang; null texts and langs are left out. A document is in the
         sample by a hash of its id, at a rate that each language's count sets. Only sums per piece and language,
-        bounded by the vocabulary, come to the driver.
+        bounded by the vocabulary, come to the driver; more than most_langs languages are refused.
         """
         spark, path = docs.sparkSession, path or public_tokenizers.path("word_bpe_49k.json")
         docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+        if len(counts) > most_langs:
+            raise ValueError(f"over {most_langs} languages")
         langs = sorted(counts)
         size = vocabulary(path)[2]
         if not langs:
@@ -298,7 +302,8 @@ class LanguageModel:
         """(doc_id, held_out, lang_pred, score): the likeliest language of each whole text and its posterior.
 
         `und` with score 0 where the text is null or has no letter (or nothing was learned); ties go to the first
-        language by name; other columns are ignored.
+        language by name; texts and letter runs of any length are scored whole; repeated rows and null ids keep their
+        rows; an empty table gives no rows; other columns are ignored, whatever their names.
         """
         sent = docs.sparkSession.sparkContext.broadcast((self.langs, self.odds, self.shares))
         kind = dict(docs.dtypes)["doc_id"]

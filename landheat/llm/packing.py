@@ -206,7 +206,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def best_fit(docs: DataFrame, vocab_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Packs whole documents into sequences of at most `capacity` tokens; one row per piece.
 
-    A null or empty text is the end id alone; a null doc_id keeps its row; repeated rows get places of their own; an
-    empty table gives no rows; other columns are ignored.
+    A null or empty text is the end id alone; a text of over `capacity` tokens is cut into whole pieces and a rest; a
+    null doc_id keeps its row; repeated rows get places of their own, and rows that tie in id, piece and ids take
+    adjoining ranks in no fixed order; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     return packed(written(pieces(docs, vocab_path, capacity, end_id), "pieces"), capacity)

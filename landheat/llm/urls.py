@@ -78,8 +78,9 @@ def rule_index(urls: DataFrame, rules: tuple[UrlRule, ...]) -> DataFrame:
 def judged(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, most_rules: int = 100_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, words): the longest base rule decides, else the method's rules, else allow.
 
-    Null and odd URLs have an empty host and path and are allowed; null ids and repeated rows keep their rows; other
-    columns are ignored. Rules, at most most_rules, are broadcast; a URL's tokens fetch its candidates and only those
+    Null and odd URLs have an empty host and path and are allowed; URLs of any length are matched whole; rules that tie
+    in length go by name; null ids and repeated rows keep their rows; an empty table gives no rows; other columns are
+    ignored, whatever their names. Rules, at most most_rules, are broadcast; a URL's tokens fetch its candidates and only those
     are matched. Each distinct URL is judged once.
     """
     if len(rules) > most_rules:
