@@ -50,6 +50,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_rules, op6_toxicity, op7_packing, op8_ogg_media, op9_chat_format, op10_simhash)}
 
+
+
+def _spans_sql(place: int, rule: secrets.Rule) -> str:
+    """Places of a rule's matches: from the lengths of the matches and of the text between them."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+            SELECT r, {place} AS place, '{rule.kind}' AS kind, {rule.base} AS base, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+                stop := list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))), size := length(m[i]), counted := length(c[i])))) AS s
+            FROM (SELECT r, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS c FROM d WHERE regexp_matches(text, '{pattern}'))
+            """
+
+
 _PATTERN_TOKENS = "adult|ads|bets|casino|pills|spam"
 
 ORACLE_SQL = {
@@ -68,6 +80,15 @@ ORACLE_SQL = {
         SELECT page_id, p.host, p.path, rule, CASE WHEN v IS NOT NULL THEN v WHEN len(found) > 0 THEN 'block' ELSE 'allow' END AS verdict,
                list_sort(list_transform(list_distinct(found), lambda x: 'word:' || x)) AS words
         FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path LEFT JOIN w ON p.host = w.host AND p.path = w.path""",
+    "op3_secret_scans": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        e AS ({"UNION ALL".join(_spans_sql(k, r) for k, r in enumerate(secrets.RULES))}),
+        h AS (SELECT r, place, kind, base, CAST(s.stop - s.size AS BIGINT) AS b, concat(kind, ':', CAST(s.stop - s.size AS BIGINT), ':', CAST(s.stop AS BIGINT)) AS span
+              FROM e WHERE s.counted >= CASE kind {" ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secrets.RULES)} END),
+        f AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(span, ',' ORDER BY b, place) FILTER (base) AS base, string_agg(span, ',' ORDER BY b, place) AS spans FROM h GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN f ON d.r = f.r""",
     "op9_chat_format": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landheat.llm.common import joined, text_key, written
+from landheat.llm.common import text_key, written
 
 
 @dataclass(frozen=True)
@@ -73,8 +74,6 @@ def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     hits = blobs.select("blob", F.explode(F.array_compact(F.array(*(parts(k, r) for k, r in enumerate(rules))))).alias("rule"))
     hits = hits.select("blob", "rule.place", "rule.kind", "rule.least", F.posexplode("rule.lengths").alias("turn", "one"))
-    # rows that repeat a path are one blob; dealt out as the window needs them, they meet without a further shuffle
-    hits = hits.repartition("blob", "place").dropDuplicates(["blob", "place", "turn"])
     so_far = Window.partitionBy("blob", "place").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("one.gap") + F.coalesce("one.long", F.lit(0))).over(so_far).cast("int")
     hits = hits.withColumn("end", end).filter("one.long is not null and one.counted >= least")
@@ -97,8 +96,18 @@ def updated_ledger(docs: DataFrame, known: DataFrame, ledger: DataFrame | None =
         todo = todo.filter(F.size("todo") > 0).drop("seen")
     todo = written(todo, "unseen-blobs")
     texts = docs.select(text_key("doc_id").alias("path"), blob_name("text").alias("blob"), F.coalesce("text", F.lit("")).alias("content"))
+    # rows that repeat a path and text are one version: each partition hands on one of them, already dealt for the join
+    texts = texts.groupBy("path", "blob").agg(F.first("content").alias("content"))
     found = scanned(texts.join(todo, ["path", "blob"]).select("blob", "content", "todo"), rules)
-    return joined(todo, written(found, "found"), ["blob"], "left").select("blob", F.col("todo").alias("rules"), F.coalesce("found", F.array().cast("array<struct<start: int, place: int, kind: string, end: int>>")).alias("found"))
+    return todo.join(written(found, "found"), "blob", "left").select("blob", F.col("todo").alias("rules"), F.coalesce("found", F.array().cast("array<struct<start: int, place: int, kind: string, end: int>>")).alias("found"))
+
+
+def kept_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that scans have appended to path; empty where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], LEDGER)
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -114,37 +123,56 @@ def spans_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, ledger_path: str | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row per document.
 
-    Null texts are empty; null ids and repeated rows keep their rows; other columns are ignored.
+    Null texts are empty; texts of any length are scanned whole; spans that begin together go by kind; null ids and
+    repeated rows keep their rows; an empty table gives no rows; other columns are ignored, whatever their names. With
+    ledger_path the ledger kept there is read, and what it lacks is scanned and appended to it, so a second run over
+    the same versions and rules scans nothing.
     """
+    if ledger_path is not None:
+        ledger = kept_ledger(docs.sparkSession, ledger_path)
     known = written(versions(docs), "versions")
     rows = written(updated_ledger(docs, known, ledger, rules), "ledger")
+    if ledger_path is not None:
+        rows.write.mode("append").parquet(ledger_path)
+        rows, ledger = kept_ledger(docs.sparkSession, ledger_path), None
     rows = rows if ledger is None else rows.unionByName(ledger)
     now = findings(rows, rules)
     count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     base = spans_text(F.filter("found", lambda x: x.kind.isin([r.kind for r in rules if r.base])))
     now = now.select("blob", *(count(r.kind) for r in rules if r.base), base.alias("base"), spans_text(F.col("found")).alias("spans"))
-    out = joined(known, written(now, "findings"), ["blob"], "left")
+    out = known.join(written(now, "findings"), "blob", "left")
     counts = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules if r.base]
     return out.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with each secret in their text replaced by a mark; the others as they are."""
-    rows = written(updated_ledger(docs, written(versions(docs), "versions"), None, rules), "ledger")
-    now = written(findings(rows, rules).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")), "findings")
-    out = joined(docs.withColumn("__blob", blob_name("text")), now, ["__blob"], "left")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    """The documents with each secret in their text replaced by a mark, those that overlap by one; the others as they are.
 
-    def step(done: Column, x: Column) -> Column:
-        gap = F.concat(F.substring(F.col("text"), done.at + 1, x.start - done.at), F.lit(MASK))
-        return F.struct(F.greatest(done.at, x.end).alias("at"), F.concat(done.text, F.when(x.start >= done.at, gap).otherwise(F.lit(""))).alias("text"))
-
-    rest = lambda done: F.concat(done.text, F.substring(F.col("text"), done.at + 1, F.length("text")))
-    text = F.when(F.col("__found").isNotNull(), F.aggregate("__found", begin, step, rest)).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
+    Null texts stay null; n_chars, if there, follows the text; repeated rows and null ids keep their rows; an empty table
+    stays empty; all other columns are kept as they are, whatever their names.
+    """
+    rows = written(updated_ledger(docs, written(versions(docs), "versions"), None, rules), "ledger")
+    cuts = written(kept_parts(findings(rows, rules)), "kept-parts").withColumnsRenamed({"blob": "__blob", "parts": "__parts"})
+    out = docs.withColumn("__blob", blob_name("text")).join(cuts, "__blob", "left")
+    part = lambda x: F.when(x.stop.isNull(), F.substring(F.col("text"), x.start + 1, F.length("text"))).otherwise(F.substring(F.col("text"), x.start + 1, x.stop - x.start))
+    hit = F.col("__parts").isNotNull()
+    out = out.withColumn("text", F.when(hit, F.array_join(F.transform("__parts", part), MASK)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
+
+
+def kept_parts(found: DataFrame) -> DataFrame:
+    """(blob, parts): the stretches of text between a blob's spans, in order; the last has no stop.
+
+    A span that begins before an earlier one ends adds no mark of its own.
+    """
+    spans = found.select("blob", F.explode("found").alias("x")).select("blob", "x.start", "x.end")
+    before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = spans.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    last = F.struct(F.max("end").alias("start"), F.lit(None).cast("int").alias("stop"))
+    inner = F.array_compact(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct(F.col("from").alias("start"), F.col("start").alias("stop")))))
+    return gaps.groupBy("blob").agg(F.concat(F.sort_array(inner), F.array(last)).alias("parts"))
