@@ -43,6 +43,7 @@ class Config:
         first, last = max(self.train_start, self.test_start), min(self.train_end, self.test_end)
         if first <= last and not self.allow_degenerate_split:
             shared = f"year {first}" if first == last else f"years {first}–{last}"
+            # fixed values: the message's wording, with its two spaces
             raise YearOverlapError(
                 f"train and test overlap in {shared} (train range {self.train_start}–{self.train_end}, test  range {self.test_start}–{self.test_end}); "
                 "pass --allow-degenerate-split to accept it"

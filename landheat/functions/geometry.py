@@ -107,8 +107,8 @@ def bbox_km2(box: tuple[float, float, float, float]) -> float:
     return abs(x1 - x0) * KM_PER_DEGREE * math.cos(math.radians((y0 + y1) / 2)) * abs(y1 - y0) * KM_PER_DEGREE
 
 
-def ring_crossings(ring: Column, x: Column, y: Column) -> Column:
-    """How many edges lie to the right of the point; -1 if the point is on an edge."""
+def crossings(items: Column, x: Column, y: Column) -> Column:
+    """How many of the edges lie to the right of the point; -1 if the point is on one."""
 
     def step(state: Column, e: Column) -> Column:
         cross = (e.b.x - e.a.x) * (y - e.a.y) - (e.b.y - e.a.y) * (x - e.a.x)
@@ -118,14 +118,54 @@ def ring_crossings(ring: Column, x: Column, y: Column) -> Column:
         right = spans & F.when(e.b.y > e.a.y, cross > 0).otherwise(cross < 0)
         return F.when((state < 0) | on, -1).otherwise(state + right.cast("int"))
 
-    return F.aggregate(edges(ring), F.lit(0), step)
+    return F.aggregate(items, F.lit(0), step)
+
+
+def edges_right_of(polygons: Column, x0: Column, y0: Column, y1: Column) -> Column:
+    """Edges of each polygon, all rings in one, that reach the heights y0 to y1 and don't end left of x0."""
+    near = lambda e: (F.greatest(e.a.x, e.b.x) >= x0) & (F.greatest(e.a.y, e.b.y) >= y0) & (F.least(e.a.y, e.b.y) <= y1)
+    return F.transform(polygons, lambda rings: F.flatten(F.transform(rings, lambda ring: F.filter(edges(ring), near))))
+
+
+def inside_edges(polygons: Column, x: Column, y: Column) -> Column:
+    """contains() for a point of a cell, from the edges that edges_right_of gives for it."""
+
+    def inside(items: Column) -> Column:
+        n = crossings(items, x, y)
+        return (n > 0) & (n % 2 == 1)
+
+    return F.exists(polygons, inside)
+
+
+def crosses_itself(ring: Column) -> Column:
+    """True where two edges of the closed ring cross, or touch other than neighbours do at their vertex.
+
+    Every edge is held against all later ones, so the work grows with the square of the ring's edges.
+    """
+    own = F.transform(edges(closed(ring)), lambda e, i: F.struct(e.a.alias("a"), e.b.alias("b"), i.alias("i")))
+    n = F.size(own)
+    side = lambda p, q, r: F.signum((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))
+    within = lambda p, q, r: r.x.between(F.least(p.x, q.x), F.greatest(p.x, q.x)) & r.y.between(F.least(p.y, q.y), F.greatest(p.y, q.y))
+
+    def meet(e: Column, f: Column) -> Column:
+        s = [side(e.a, e.b, f.a), side(e.a, e.b, f.b), side(f.a, f.b, e.a), side(f.a, f.b, e.b)]
+        touch = ((s[0] == 0) & within(e.a, e.b, f.a)) | ((s[1] == 0) & within(e.a, e.b, f.b)) | ((s[2] == 0) & within(f.a, f.b, e.a)) | ((s[3] == 0) & within(f.a, f.b, e.b))
+        return ((s[0] * s[1] < 0) & (s[2] * s[3] < 0)) | touch
+
+    def back(e: Column, f: Column) -> Column:  # neighbours: the later one turns back onto the earlier
+        return (side(e.a, e.b, f.b) == 0) & ((e.b.x - e.a.x) * (f.b.x - f.a.x) + (e.b.y - e.a.y) * (f.b.y - f.a.y) < 0)
+
+    def pair(e: Column, f: Column) -> Column:
+        return F.when(f.i == e.i + 1, back(e, f)).when((e.i == 0) & (f.i == n - 1), back(f, e)).otherwise(meet(e, f))
+
+    return F.exists(own, lambda e: F.exists(F.slice(own, e.i + 2, n), lambda f: pair(e, f)))
 
 
 def contains(polygons: Column, x: Column, y: Column) -> Column:
     """True strictly inside one of the polygons: an odd number of crossings over its rings, and on no edge."""
 
     def inside(rings: Column) -> Column:
-        counts = F.transform(rings, lambda r: ring_crossings(r, x, y))
+        counts = F.transform(rings, lambda r: crossings(edges(r), x, y))
         total = F.aggregate(counts, F.lit(0), lambda s, n: F.when((s < 0) | (n < 0), -1).otherwise(s + n))
         return (total > 0) & (total % 2 == 1)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landheat.functions.indices import season
-from landheat.operators import filters, report
+from landheat.operators import analysis, filters, report
 from landheat.sources.shared import written
 
 
@@ -120,7 +120,7 @@ def importances(model: PipelineModel) -> DataFrame:
 
     weights = model.stages[-1].featureImportances
     rows = [(name, float(weights[k])) for k, name in enumerate(model.stages[0].getInputCols())]
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(15)
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").transform(analysis.ranked_importance)
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], keys: list[str], rows: int = 10_000, target: str = "lst", seed: int = 42) -> DataFrame:

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def gridded_mean(df: DataFrame, value: str, box: tuple[float, float, float, float], size: int = 250) -> DataFrame:
-    """(year, ix, iy, mean, n) on a size x size grid over the box; rows without a year are the means over all years."""
+    """(year, ix, iy, mean, n) on a size x size grid over the box; rows without a year are the means over all years.
+
+    Pixels without a year count in these only.
+    """
     x0, y0, x1, y1 = box
     cell = lambda v, low, high: F.least(F.floor((F.col(v) - low) / ((high - low) / size)), F.lit(size - 1))
     rows = df.filter(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1) & F.col(value).isNotNull() & ~F.isnan(value))
     rows = rows.select("year", cell("lon", x0, x1).alias("ix"), cell("lat", y0, y1).alias("iy"), F.col(value).alias("v"))
     grouped = rows.groupingSets([["year", "ix", "iy"], ["ix", "iy"]], "year", "ix", "iy")
-    return grouped.agg(F.avg("v").alias("mean"), F.count("v").alias("n"))
+    grouped = grouped.agg(F.avg("v").alias("mean"), F.count("v").alias("n"), F.grouping("year").alias("all_years"))
+    return grouped.filter("all_years = 1 or year is not null").drop("all_years")
 
 
 def smoothed_grid(grid: DataFrame) -> DataFrame:

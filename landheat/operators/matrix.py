@@ -31,14 +31,14 @@ def assemble(df: DataFrame, cfg: Config) -> DataFrame:
     return out.na.drop(subset=["lst", "lat", "lon"])
 
 
-def write_matrix(df: DataFrame, path: str, files_per_split: int = 16) -> dict[str, int]:
+def write_matrix(df: DataFrame, path: str) -> dict[str, int]:
     """Overwrites the table under path, by year and split; gives its rows and columns, counted while it is written.
 
-    Each (year, split) is dealt over up to files_per_split tasks, so that one large year is no single task's.
+    Adaptive execution cuts a large (year, split) into tasks of spark.sql.adaptive.advisoryPartitionSizeInBytes, so
+    tasks and files grow in number with the rows, not in size.
     """
     seen = Observation("matrix")
-    deal = F.pmod(F.xxhash64("tile_id", "lat", "lon"), F.lit(files_per_split))
-    rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).repartition("year", "split", deal)
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", "year", "split")
     rows.sortWithinPartitions("year", "split", "lat", "lon").write.mode("overwrite").partitionBy("year", "split").option("compression", "zstd").parquet(path)
     return {"rows": seen.get["rows"], "columns": len(df.columns)}
 

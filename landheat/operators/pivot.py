@@ -26,8 +26,3 @@ def with_indices(df: DataFrame) -> DataFrame:
     ndvi = indices.ndvi() if {"B4_Red", "B5_NIR"} <= have else null
     ndbi = indices.ndbi() if {"B5_NIR", "B6_SWIR1"} <= have else null
     return df.withColumns({"year": F.year("timestamp"), "ndvi": ndvi, "ndbi": ndbi})
-
-
-def bands_present(df: DataFrame) -> list[str]:
-    """The bands that occur, in order; the number of bands bounds the rows that come back."""
-    return [r.band for r in df.select("band").distinct().orderBy("band").collect()]

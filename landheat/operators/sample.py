@@ -56,7 +56,8 @@ def stratified(df: DataFrame, rate: float, zone_columns: tuple[str, ...] = ZONE_
     # ranges of longitude of equal width: in order, whatever their fill
     width = 360.0 / (buckets * 4096)
     rows = df.withColumn("__range", F.floor(F.col("lon") / width))
-    key = [F.coalesce(F.col("year").cast("string"), F.lit("")).alias("__y"), F.coalesce(F.col(zone).cast("string"), F.lit("")).alias("__z")]
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))  # noqa: E731  null is a stratum of its own
+    key = [named("year").alias("__y"), named(zone).alias("__z")]
     rows = rows.select("*", *key)
     counts = rows.groupBy("__y", "__z", "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__y", "__z").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landheat.functions import geometry as g
+from landheat.sources.shared import written
 
-#: Side of a grid cell in degrees, and cells of zone covers that are sent to all executors.
-CELL, MOST_CELLS = 0.01, 500_000
+#: Side of a grid cell in degrees, and bytes of a zone cover that are sent to all executors.
+CELL, MOST_BYTES = 0.01, 64 << 20
+#: What a cell and an edge take in memory, about.
+CELL_BYTES, EDGE_BYTES = 96, 80
 
 
 def _index(x: Column, cell: float) -> Column:
@@ -16,10 +19,11 @@ def _index(x: Column, cell: float) -> Column:
 
 
 def zone_cover(zones: DataFrame, cell: float = CELL) -> DataFrame:
-    """(zone_id, zoning_category, polygons, ix, iy, full): the cells that a zone touches.
+    """(zone_id, zoning_category, edges, ix, iy, full): the cells that a zone touches.
 
     A cell that no edge meets lies inside as a whole or outside; those outside are left out, and those inside are
-    `full`, so their pixels need no further test and carry no polygons.
+    `full`, so their pixels need no further test. Other cells carry, polygon by polygon, just the edges at their
+    height that don't lie to their left: no other edge counts for a point in the cell.
     """
     box = g.bbox(F.col("polygons"))
     span = lambda low, high: F.sequence(_index(low, cell), _index(high, cell))
@@ -31,20 +35,23 @@ def zone_cover(zones: DataFrame, cell: float = CELL) -> DataFrame:
     met = g.any_edge_meets(F.col("polygons"), g.Box(x - hair, y - hair, x + cell + hair, y + cell + hair))
     inside = g.contains(F.col("polygons"), x + cell / 2, y + cell / 2)
     cells = cells.withColumn("full", ~met).filter(~F.col("full") | inside)
-    return cells.withColumn("polygons", F.when(~F.col("full"), F.col("polygons")))
+    near = g.edges_right_of(F.col("polygons"), x - hair, y - hair, y + cell + hair)
+    return cells.withColumn("edges", F.when(~F.col("full"), near)).select("zone_id", "zoning_category", "edges", "ix", "iy", "full")
 
 
-def join_zones(pixels: DataFrame, zones: DataFrame, how: str = "left", multi: str = "all", cell: float = CELL, keys: list[str] | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+def join_zones(pixels: DataFrame, zones: DataFrame, how: str = "left", multi: str = "all", cell: float = CELL, keys: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds zone_id and zoning_category of each zone that holds the pixel strictly inside; edges and vertices are out.
 
     Where zones overlap multi="all" repeats the pixel, multi="first" keeps the lowest zone_id (by `keys`, which must
     tell pixels apart). The test is part of the join condition, so with how="left" a pixel without a zone stays once.
+    The cover is written once, and broadcast if it takes most_bytes at most; else the join shuffles by cell.
     """
-    cover = zone_cover(zones, cell)
-    few = cover.select("zone_id").limit(most_cells + 1).count() <= most_cells
-    cover = cover.select(F.col("ix").alias("__zx"), F.col("iy").alias("__zy"), "zone_id", "zoning_category", F.col("polygons").alias("__polygons"), F.col("full").alias("__full"))
+    cover = written(zone_cover(zones, cell), "zone-cover")
+    size = cover.agg(F.coalesce(F.sum(CELL_BYTES + EDGE_BYTES * F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + F.size(e)), F.lit(0))), F.lit(0))).first()[0]
+    few = size <= most_bytes
+    cover = cover.select(F.col("ix").alias("__zx"), F.col("iy").alias("__zy"), "zone_id", "zoning_category", F.col("edges").alias("__edges"), F.col("full").alias("__full"))
     points = pixels.withColumns({"__ix": _index(F.col("lon"), cell), "__iy": _index(F.col("lat"), cell)})
-    on = (F.col("__ix") == F.col("__zx")) & (F.col("__iy") == F.col("__zy")) & (F.col("__full") | g.contains(F.col("__polygons"), F.col("lon"), F.col("lat")))
+    on = (F.col("__ix") == F.col("__zx")) & (F.col("__iy") == F.col("__zy")) & (F.col("__full") | g.inside_edges(F.col("__edges"), F.col("lon"), F.col("lat")))
     out = points.join(F.broadcast(cover) if few else cover, on, how).select(*pixels.columns, "zone_id", "zoning_category")
     if multi == "first":
         keys = keys or pixels.columns
@@ -111,9 +118,19 @@ def clipped_zones(zones: DataFrame, box: tuple[float, float, float, float], most
 
 
 def kept_zones(judged: DataFrame) -> DataFrame:
-    """The polygons without a reason to drop, numbered by zone and part."""
+    """The polygons without a reason to drop, each under a number made from its zone and part by a hash."""
     rows = judged.filter("reason is null")
-    return dedup_zones(rows.select((F.col("zone_id") * 1_000_000 + F.col("part")).alias("zone_id"), "zoning_category", "polygons"))
+    number = F.shiftrightunsigned(F.xxhash64("zone_id", "part"), 1)
+    return dedup_zones(rows.select(number.alias("zone_id"), "zoning_category", "polygons"))
+
+
+def crossing_counts(zones: DataFrame) -> DataFrame:
+    """(zoning_category, polygons, crossing): polygons, and those of them with a ring that crosses itself.
+
+    Such polygons are counted, not rebuilt; a point is inside them where an odd number of edges lies to its right.
+    """
+    rows = split_polygons(zones).select("zoning_category", F.exists(F.element_at("polygons", 1), g.crosses_itself).alias("crosses"))
+    return rows.groupBy("zoning_category").agg(F.count(F.lit(1)).alias("polygons"), F.count_if("crosses").alias("crossing"))
 
 
 def reason_counts(judged: DataFrame) -> DataFrame:

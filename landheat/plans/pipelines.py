@@ -12,6 +12,10 @@ from landheat.operators import analysis, encode, filters, matrix, pivot, report,
 from landheat.sources import osm, pixels, raster, scenes, vector, zones
 
 
+#: Variables that the analysis takes from a matrix, where it has them.
+ANALYSED = ("lat", "lon", "year", "ndvi", "lst", "bt10", "bt11", "zoning_category_encoded")
+
+
 def wide_pixels(spark: SparkSession, pixel_path: str, zoning_path: str, cfg: Config) -> DataFrame:
     """Sampled pixels in the box, one row each, with their indices and zones."""
     rows = filters.sampled(pixels.read_pixels(spark, pixel_path), cfg.sample_rate, pivot.PIXEL)
@@ -47,9 +51,10 @@ def discover_scenes(spark: SparkSession, page_path: str, out: str, cfg: Config,
     scenes.write_scene_metadata(found.select(*columns), out)
 
 
-def ingest_scenes(spark: SparkSession, raster_path: str, out: str, cfg: Config) -> None:
-    """Rasters of the scenes that the cloud gate accepts to the pixel table."""
+def ingest_scenes(spark: SparkSession, raster_path: str, out: str, cfg: Config) -> DataFrame:
+    """Rasters of the scenes that the cloud gate accepts to the pixel table; gives the files that can't be decoded."""
     pixels.write_pixels(raster.scene_pixels(spark, raster_path, cfg.bbox, cfg.max_aoi_cloud), out)
+    return raster.rejected_files(spark, raster_path)
 
 
 def prepare_zones(spark: SparkSession, element_path: str, out: str, cfg: Config, points: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -85,13 +90,15 @@ def quick_run(spark: SparkSession, pixel_path: str, cfg: Config = Config(), trai
     features = filters.numeric_features(rows.drop("B10_TIR", "ST_B10"))
     rows = filters.complete(rows, ["ndvi", "bt10"])
     known = [f for f in features if f not in ("lat", "lon")] + ["lat", "lon"]
-    model = ml.fit(split.with_validation(rows, keys), [f for f in known if rows.filter(F.col(f).isNotNull()).limit(1).count()], train)
+    filled = rows.agg(*(F.count(f).alias(f) for f in known)).first()
+    model = ml.fit(split.with_validation(rows, keys), [f for f in known if filled[f]], train)
     return {"metrics": ml.evaluation(model, rows), "importances": ml.importances(model), "latest": ml.inspection(model, rows.filter("split = 'test'"))}
 
 
 def analysis_tables(spark: SparkSession, matrix_path: str, box: tuple[float, float, float, float] = Config.bbox, size: int = 250) -> dict[str, DataFrame]:
     """Gridded means, trend, correlation, hexagons and a composite of the matrix."""
-    rows = matrix.read_matrix(spark, matrix_path)
+    stored = matrix.read_matrix(spark, matrix_path)
+    rows = filters.analysis_projection(stored, {c: c for c in ANALYSED})
     out = {f"grid_{v}": analysis.smoothed_grid(analysis.gridded_mean(rows, v, box, size)) for v in ("lst", "ndvi") if v in rows.columns}
     out |= {"trend": analysis.yearly_trend(rows, "lst"), "correlation": analysis.pearson(rows, "ndvi", "lst"), "hexbin": analysis.hexbin(rows, "ndvi", "lst", "zoning_category_encoded"), "years": report.distinct_values(rows, "year")}
     if {"bt10", "bt11"} <= set(rows.columns):

@@ -476,7 +476,28 @@ def band_scaling(spark, sf_dir):
     return rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).select("band", "n", _r("total", 2))
 
 
-@query()
+def _utm_sql() -> str:
+    """The inverse projection as published, with its series written out; constants are the ellipsoid's."""
+    e2 = reproject.FLATTENING * (2 - reproject.FLATTENING)
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    a, k0 = reproject.SEMI_MAJOR, reproject.SCALE
+    d = "::DOUBLE"
+    waves = (3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512)
+    foot = " + ".join(["mu", *(f"{w}{d} * sin({2 * k + 2} * mu)" for k, w in enumerate(waves))])
+    ep2 = f"{e2 / (1 - e2)}{d}"
+    return f"""
+        WITH p AS (SELECT event_id, 350000.0{d} + (event_id % 6000 + 0.5{d}) * 30 AS x, 1470000.0{d} - ((event_id * 7) % 6000 + 0.5{d}) * 30 AS y FROM events),
+        m AS (SELECT *, y / {k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)}{d} AS mu FROM p), f AS (SELECT *, {foot} AS f FROM m),
+        u AS (SELECT event_id, f, tan(f) AS tn, tan(f) ** 2 AS t, {ep2} * cos(f) ** 2 AS c, {a}{d} / sqrt(1 - {e2}{d} * sin(f) ** 2) AS n,
+                     {a * (1 - e2)}{d} / pow(1 - {e2}{d} * sin(f) ** 2, 1.5) AS r, x FROM f),
+        v AS (SELECT *, (x - {reproject.FALSE_EASTING}{d}) / (n * {k0}{d}) AS d FROM u),
+        w AS (SELECT event_id,
+                     degrees(f - n * tn / r * (d ** 2 / 2 - (5 + 3 * t + 10 * c - 4 * c ** 2 - 9 * {ep2}) * d ** 4 / 24 + (61 + 90 * t + 298 * c + 45 * t ** 2 - 252 * {ep2} - 3 * c ** 2) * d ** 6 / 720)) AS lat,
+                     degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c ** 2 + 8 * {ep2} + 24 * t ** 2) * d ** 5 / 120) / cos(f)) + 43 * 6 - 177 AS lon FROM v)
+        SELECT event_id, {r4('lat', 6)} AS lat, {r4('lon', 6)} AS lon FROM w"""
+
+
+@query(_utm_sql())
 def utm_to_lat_lon(spark, sf_dir):
     """Projected pixel centres in degrees (events as pixels of zone 44)."""
     k = F.col("event_id")
@@ -642,7 +663,12 @@ def vector_records(spark, sf_dir):
     return rows.select("tile_id", _r("lon"), _r("lat"), "lulc_class")
 
 
-@query()
+_LINE = '{"type":"Feature","properties":{"zoning_category":"~"},"geometry":{"type":"MultiPolygon","coordinates":[[[[~,~],[~,~],[~,~],[~,~]]]]}}'
+_LINE_PARTS = ("name", "x0", "y0", "x0 + w", "y0", "x0 + w", "y0 + h", "x0", "y0 + h")
+_LINE_SQL = " || ".join(x for pair in zip([f"'{part}'" for part in _LINE.split("~")], [*(f"({p})::VARCHAR" for p in _LINE_PARTS), "''"]) for x in pair)
+
+
+@query(f"WITH {_PART_SQL}, k AS (SELECT *, CASE c {' '.join(f'''WHEN {i} THEN '{c}' ''' for i, c in enumerate(t.CATEGORIES))} END AS name FROM parts) SELECT {_LINE_SQL} AS value FROM k")
 def zone_lines(spark, sf_dir):
     """Zones as lines of GeoJSON."""
     return zone_files.feature_lines(_part_zones(spark, sf_dir))

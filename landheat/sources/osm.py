@@ -71,9 +71,12 @@ def exclusion_reason(tags: str = "tags") -> Column:
 
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, points, missing): the ways' coordinates in order, and how many of their nodes are unknown."""
+    """(id, points, missing): the ways' coordinates in order, and how many of their nodes are unknown.
+
+    Of a node that occurs several times the least place holds.
+    """
     refs = ways.select("id", F.posexplode_outer("nodes").alias("pos", "node"))
-    places = nodes.groupBy(F.col("id").alias("node")).agg(F.first(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("p"))
+    places = nodes.groupBy(F.col("id").alias("node")).agg(F.min(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("p"))
     rows = refs.join(places, "node", "left")
     ordered = F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("pos", "p"))))
     missing = F.count_if(F.col("p").isNull())

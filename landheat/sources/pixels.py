@@ -16,8 +16,11 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pixels(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per scene. With mode "overwrite" only the scenes at hand are replaced."""
-    rows = df.repartition("tile_id", F.pmod(F.xxhash64("lat", "lon"), F.lit(8)))
+    """One folder per scene. With mode "overwrite" only the scenes at hand are replaced.
+
+    Adaptive execution cuts large scenes into tasks by size.
+    """
+    rows = df.hint("rebalance", "tile_id")
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").option("compression", "snappy").parquet(path)
 
 

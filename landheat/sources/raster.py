@@ -18,6 +18,7 @@ from landheat.operators.filters import finite, valid_numbers
 from landheat.schemas import PIXEL_LONG
 from landheat.sources.pixels import write_pixels
 from landheat.sources.scenes import read_scene_metadata
+from landheat.sources.shared import written
 
 PIXEL_BANDS = ("B4", "B5", "B6", "B10", "B11", "ST_B10")
 QA_BAND = "QA_PIXEL"
@@ -79,8 +80,26 @@ def _blocks(content: bytes, order: str, f: dict[int, tuple]) -> Iterator[tuple[i
         yield row, col, values[: height - row, : width - col, 0].astype(float)
 
 
+#: What decoding a damaged file can raise.
+DAMAGE = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, reason) of each file that can't be decoded."""
+    for files in batches:
+        found = []
+        for path, content in zip(files["path"], files["content"]):
+            try:
+                order, f = _fields(bytes(content))
+                for _ in _blocks(bytes(content), order, f):
+                    pass
+            except DAMAGE as e:
+                found.append((path, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(found, columns=["path", "reason"])
+
+
 def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pixel rows of each file; a file that can't be decoded gives none."""
+    """Pixel rows of each file; a file that can't be decoded gives none (see rejected_files)."""
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
             scene, name = path.split("/")[-2:]
@@ -99,18 +118,34 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         for place, (column, value) in enumerate(zip(("scene", "band", "width", "height", "x0", "y0", "dx", "dy", "citation"), head)):
                             out.insert(place, column, value)
                         yield out
-            except (ValueError, KeyError, struct.error, zlib.error):
+            except DAMAGE:
                 continue
 
 
-def read_grid(spark: SparkSession, path: str, bands: tuple[str, ...], scenes: list[str] | None = None) -> DataFrame:
-    """Pixels (see GRID) of `<scene>/<band>.tif` under path, of all scenes or the named ones; bands without a file are skipped."""
+def _files(spark: SparkSession, path: str, bands: tuple[str, ...], scenes: list[str] | DataFrame | None) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif").load(path)
     parts = F.split("path", "/")
     files = files.filter(F.element_at(parts, -1).isin([f"{b}.tif" for b in bands]))
-    if scenes is not None:
+    if isinstance(scenes, DataFrame):
+        files = files.join(scenes.select(F.col("scene").alias("__scene")), F.element_at(parts, -2) == F.col("__scene"), "left_semi")
+    elif scenes is not None:
         files = files.filter(F.element_at(parts, -2).isin(scenes))
-    return files.select("path", "content").mapInPandas(_decoded, GRID)
+    return files.select("path", "content")
+
+
+def read_grid(spark: SparkSession, path: str, bands: tuple[str, ...], scenes: list[str] | DataFrame | None = None) -> DataFrame:
+    """Pixels (see GRID) of `<scene>/<band>.tif` under path; bands without a file are skipped.
+
+    Of all scenes, those named in a list, or those in a table with a column scene.
+    """
+    return _files(spark, path, bands, scenes).mapInPandas(_decoded, GRID)
+
+
+def rejected_files(spark: SparkSession, path: str, bands: tuple[str, ...] = (*PIXEL_BANDS, QA_BAND), scenes: list[str] | DataFrame | None = None) -> DataFrame:
+    """(scene, band, path, reason) of the files that read_grid passes over because they can't be decoded."""
+    found = _files(spark, path, bands, scenes).mapInPandas(_judged, "path string, reason string")
+    parts = F.split("path", "/")
+    return found.select(F.element_at(parts, -2).alias("scene"), F.regexp_replace(F.element_at(parts, -1), r"\.tif$", "").alias("band"), "path", "reason")
 
 
 def pixel_rows(grid: DataFrame, times: DataFrame) -> DataFrame:
@@ -153,7 +188,7 @@ def scene_pixels(spark: SparkSession, path: str, box: tuple[float, float, float,
     if box is not None:
         clouds = quality.aoi_cloud(qa, box)
         judged = quality.gated(clouds.select("scene"), clouds, most_cloud)
-        scenes = [r.scene for r in judged.filter("accepted").select("scene").collect()]  # one name per scene
+        scenes = written(judged.filter("accepted").select("scene"), "accepted-scenes")  # a name per scene, read by each band
     grid = read_grid(spark, path, PIXEL_BANDS, scenes)
     clear = quality.clear_pixels(quality.join_qa(grid, qa.drop("lon", "lat")))
     meta = read_scene_metadata(spark, path)

@@ -23,9 +23,12 @@ CONSTANT_NAMES = ("k1_constant_band_10", "k2_constant_band_10", "k1_constant_ban
 
 
 def read_scene_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Every `<scene>/scene_metadata.json` under path; an empty frame with the same schema where there is none."""
+    """Every scene's metadata under path: a `scene_metadata.json` of its own, or the files of write_scene_metadata.
+
+    An empty frame with the same schema where there is none.
+    """
     try:
-        return spark.read.schema(SCENE_META).option("multiLine", True).json(f"{path}/*/scene_metadata.json")
+        return spark.read.schema(SCENE_META).option("multiLine", True).json(f"{path}/*/{{scene_metadata,part-*}}.json")
     except AnalysisException:
         return spark.createDataFrame([], SCENE_META)
 

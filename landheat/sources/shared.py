@@ -5,19 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once into a table under spark.checkpoint.dir and read back; survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where the setting is missing a folder of our own takes its place.
+    In local mode a temporary folder takes its place where it is unset; on a cluster that would be lost data, so
+    there the setting must be given.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written_folder(spark: SparkSession) -> str:
+    """Where this application's tables are."""
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: computed once, cut from its lineage, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{written_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Removes all tables that this application has written; call it once no result that rests on them is needed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(written_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

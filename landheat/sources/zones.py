@@ -48,11 +48,16 @@ def read_zones(spark: SparkSession, path: str, category: str = "zoning_category"
     return zones_of(read_features(spark, path), category)
 
 
-def feature_lines(zones: DataFrame) -> DataFrame:
-    """(value): each zone as one line of GeoJSON, a MultiPolygon with its category."""
+def feature_line() -> Column:
+    """A zone's columns as one line of GeoJSON, a MultiPolygon with its category."""
     coordinates = F.transform("polygons", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p.x, p.y))))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct("zoning_category").alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
-    return zones.select(F.to_json(feature).alias("value"))
+    return F.to_json(feature)
+
+
+def feature_lines(zones: DataFrame) -> DataFrame:
+    """(value): each zone as one line of GeoJSON."""
+    return zones.select(feature_line().alias("value"))
 
 
 def write_zones(zones: DataFrame, path: str) -> None:

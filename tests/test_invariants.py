@@ -3,10 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from landheat.config import Config
 from landheat.ml import train as ml
-from landheat.operators import encode, filters, sample, spatial, split
+from landheat.operators import analysis, encode, filters, sample, spatial, split
 from landheat.functions import geometry
 from landheat.plans import queries, tables
+from landheat.schemas import ZONE
+from landheat.sources import shared
 from tests.conftest import SF
 
 
@@ -109,3 +112,56 @@ def test_training_query_is_whole(spark, monkeypatch):
     monkeypatch.setattr(ml, "fit", small)
     found = queries.QUERIES["train_and_evaluate"](spark, SF).first()
     assert found.rmse > 0 and asked[0][1] == ml.TrainConfig() and set(tables.LINE_BANDS[:3]) <= asked[0][0]
+
+
+def ring_of(*points):
+    return [[[{"x": float(x), "y": float(y)} for x, y in points]]]
+
+
+@pytest.mark.parametrize(
+    "points, crossing",
+    [
+        ([(0, 0), (4, 0), (4, 4), (0, 4)], False),
+        ([(0, 0), (4, 4), (4, 0), (0, 4)], True),
+        ([(0, 0), (4, 0), (2, 0), (2, 4)], True),  # an edge turns back
+        ([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4)], True),  # a vertex on another edge
+        ([(0, 0), (2, 1), (4, 0), (4, 4), (0, 4)], False),
+        ([(0, 0), (4, 0), (2, 3)], False),
+    ],
+)
+def test_rings_that_cross_themselves(spark, points, crossing):
+    zones = spark.createDataFrame([(1, "c", ring_of(*points))], ZONE)
+    assert tuple(spatial.crossing_counts(zones).first()) == ("c", 1, int(crossing))
+
+
+def test_large_zone_ids_are_kept(spark):
+    square = ring_of((80.0, 12.9), (80.01, 12.9), (80.01, 12.91), (80.0, 12.91))
+    zones = spark.createDataFrame([(2 * 10**18, "a", square), (2 * 10**18 + 1, "b", square), (5, None, square), (5, None, [])], ZONE)
+    kept = spatial.kept_zones(spatial.clipped_zones(zones, Config.bbox)).collect()
+    assert len(kept) == 3 and len({r.zone_id for r in kept}) == 3 and all(r.zone_id >= 0 for r in kept)
+
+
+def test_pixels_without_a_year_are_no_year(spark):
+    rows = spark.createDataFrame([(2020, 0.5, 0.5, 3.0), (None, 0.5, 0.5, 5.0), (None, 2.5, 2.5, 7.0)], "year int, lon double, lat double, v double")
+    grid = analysis.gridded_mean(rows, "v", (0.0, 0.0, 3.0, 3.0), 3)
+    assert {(r.year, r.ix, r.iy): (r.mean, r.n) for r in grid.collect()} == {(2020, 0, 0): (3.0, 1), (None, 0, 0): (4.0, 2), (None, 2, 2): (7.0, 1)}
+    assert {(r.year, r.ix): r.mean for r in analysis.smoothed_grid(grid).collect()} == {(2020, 0): 3.0, (None, 0): 4.0, (None, 2): 7.0}
+
+
+def test_null_and_empty_zones_are_two_strata(spark):
+    rows = spark.createDataFrame([(2020, c, float(i), 0.0, "t", 1.0) for c in (None, "") for i in range(3)], "year int, zoning_category string, lon double, lat double, tile_id string, lst double")
+    assert {(r.zoning_category, r.lon) for r in sample.stratified(rows, 0.5).collect()} == {(None, 1.0), ("", 1.0)}
+
+
+def test_cover_beyond_the_broadcast_limit_joins_alike(spark):
+    zones = tables.zones(spark, SF)
+    pixels = tables.wide(spark, SF).select("lon", "lat")
+    few, none = (spatial.join_zones(pixels, zones, most_bytes=n) for n in (1 << 30, 0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, none.collect()))
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    rows = shared.written(spark.range(3), "some")
+    assert rows.count() == 3 and os.path.isdir(shared.written_folder(spark))

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from landheat.plans import queries
+from landheat.plans import file_queries, queries  # noqa: F401  file_queries registers its own
 from tests.conftest import SF
 
 TABLES = [n.removesuffix(".parquet") for n in sorted(os.listdir(SF))]

@@ -60,6 +60,8 @@ def test_raster(spark, scene_dir):
     gated = raster.scene_pixels(spark, scene_dir, box=(80.0, 12.9, 80.4, 13.2), most_cloud=50.0)
     assert {r.tile_id for r in gated.select("tile_id").distinct().collect()} == {"S1"}
     assert raster.scene_pixels(spark, scene_dir, scenes=["S2"]).count() == 0
+    rejected = raster.rejected_files(spark, scene_dir).collect()
+    assert sorted((r.scene, r.band) for r in rejected) == [("S1", "B5"), ("S2", "B5")] and all(r.reason for r in rejected)
 
 
 def test_reprocess_replaces_named_scenes(spark, scene_dir, tmp_path):
