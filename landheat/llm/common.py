@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landheat.sources.shared import written
+
+__all__ = ["SPACES", "held_out", "running_total", "slices", "table", "text_key", "written"]
+
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: computed once, cut from its lineage, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(column: str) -> Column:
     """A key column without nulls, so that plain equi-joins and windows treat null as a value of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
@@ -45,13 +30,15 @@ def held_out(modulus: int, remainder: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus == remainder
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, buckets: int = 256) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, bucket_rows: int = 1 << 20) -> DataFrame:
     """Adds `out`: the sum of value over the rows before this one within keys, in a fixed order.
 
-    The order is (hash bucket of `order`, `order`), so one key's rows are dealt over `buckets` windows, and only one
-    subtotal per (key, bucket) meets in a window per key. df is read twice: hand over a written table. keys must not
-    hold nulls (see text_key); rows that tie on `order` get adjoining places.
+    The order is (hash bucket of `order`, `order`), so one key's rows are dealt over many windows, and only one subtotal
+    per (key, bucket) meets in a window per key. There are as many buckets as give about bucket_rows rows each if all
+    rows had one key, 256 at least. df is read twice and counted: hand over a written table. keys must not hold nulls
+    (see text_key); rows that tie on `order` get adjoining places.
     """
+    buckets = max(256, -(-df.count() // bucket_rows))
     bucket, part, before = "__bucket", "__part", "__before"
     rows = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn(part, value)
     subtotal = rows.groupBy(*keys, bucket).agg(F.sum(part).alias(part))
@@ -62,11 +49,6 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return rows.join(subtotal, [*keys, bucket]).withColumn(out, F.col(out) + F.col(before)).drop(bucket, part, before)
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, most_rows: int = 100_000) -> DataFrame:
-    """left joined with a written table: broadcast where its count is small enough, else left to the planner."""
-    return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that few texts are Python objects at once."""
     for batch in batches:
