@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
@@ -61,8 +62,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 100):
         texts = batch.column(2).to_pylist()
         prints = np.fromiter((simhash.fingerprint((t or "").encode()) for t in texts), np.uint64, len(texts)).view(np.int64)
-        words = [terms_of(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(prints), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "fingerprint", "words"])
+        found = [Counter(terms_of(t)) for t in texts]
+        columns = [batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(prints), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "fingerprint", "terms", "counts"])
 
 
 def copy_groups(prints: np.ndarray) -> np.ndarray:
@@ -104,9 +106,11 @@ class Examples:
 
     @classmethod
     def of(cls, found: pa.Table) -> tuple["Examples", list[str]]:
-        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, words)."""
+        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, terms, counts)."""
         found = found.sort_by("doc_id")
-        lists = pa.concat_arrays(found["words"].chunks) if len(found) else pa.array([], pa.list_(pa.string()))
+        lists, counts = (found[c].combine_chunks() if len(found) else pa.array([], found.schema.field(c).type) for c in ("terms", "counts"))
+        lists, counts = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (lists, counts))
+        counts = counts.flatten().to_numpy()
         words = lists.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         order = sorted(range(len(names)), key=names.__getitem__)
@@ -118,9 +122,10 @@ class Examples:
         same: dict[tuple, int] = {}
         first, labels, vectors = [], [], []
         for i in range(len(ids)):
-            own = np.unique(every[ends[i] : ends[i + 1]], return_counts=True)
-            if not len(own[0]):
+            if ends[i] == ends[i + 1]:
                 continue
+            own = every[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]]
+            own = tuple(x[np.argsort(own[0])] for x in own)
             k = same.setdefault((int(groups[i]), own[0].tobytes(), own[1].tobytes()), len(first))
             if k == len(first):
                 first.append(i)
@@ -336,8 +341,9 @@ class ToxicityModel:
         picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(examples) for c in (0, 1)]
         rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
         rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-        found = rows.mapInArrow(_examples, "doc_id string, toxic int, fingerprint long, words array<string>").toArrow()
+        found = rows.mapInArrow(_examples, "doc_id string, toxic int, fingerprint long, terms array<string>, counts array<int>").toArrow()
         own, terms = Examples.of(found)
+        del found
         vocab = spark.sparkContext.broadcast(terms)
         counts = corpus.select("text").mapInArrow(partial(_term_docs, vocab=vocab), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
         have = np.zeros(len(terms))
