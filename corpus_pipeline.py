@@ -12,30 +12,45 @@ from landheat.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts have the labels' prior share as score and stay; each row is judged by its own text, whatever
+    rows share its id; an empty table stays empty; further columns are kept.
+    """
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; rows without an id count as the last.
 
-    Rows that share an id are judged each by its own text.
+    Rows that share an id are judged each by its own text; null and empty texts are one group; rows that repeat leave
+    one; an empty table stays empty; further columns are kept.
     """
     return simhash.deduplicated(docs, keep_unnamed=False)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; no document goes."""
+    """Secrets in texts are replaced by a mark, and n_chars follows; no document goes.
+
+    Null texts stay null; rows that repeat are masked alike; an empty table stays empty; further columns are kept.
+    """
     return secrets.masked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights: a row per document and pass, with the words that were drawn."""
+    """Sources are mixed to their target weights: a row per document and pass, with the words that were drawn.
+
+    Rows without words do not appear, null sources are one source, repeated rows are documents of their own; an empty
+    table mixes to nothing; further columns are kept.
+    """
     return mixing.Mix(docs).documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix is packed into sequences; a row per piece."""
+    """The mix is packed into sequences; a row per piece.
+
+    Null ids and repeated rows keep their rows, long texts are cut at the capacity, an empty table gives no rows.
+    """
     return packing.best_fit(docs)
 
 
