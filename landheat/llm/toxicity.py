@@ -106,17 +106,16 @@ class Examples:
 
     @classmethod
     def of(cls, found: pa.Table) -> tuple["Examples", list[str]]:
-        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, terms, counts)."""
-        found = found.sort_by("doc_id")
+        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, terms, counts) by doc_id."""
         lists, counts = (found[c].combine_chunks() if len(found) else pa.array([], found.schema.field(c).type) for c in ("terms", "counts"))
         lists, counts = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (lists, counts))
         counts = counts.flatten().to_numpy()
         words = lists.flatten().dictionary_encode()
         names = words.dictionary.to_pylist()
         order = sorted(range(len(names)), key=names.__getitem__)
-        place = np.empty(len(names), np.int64)
+        place = np.empty(len(names), np.int32)
         place[order] = np.arange(len(names))
-        every = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+        every = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
         ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
         ids, toxic, groups = found["doc_id"].to_pylist(), found["toxic"].to_pylist(), copy_groups(found["fingerprint"].to_numpy())
         same: dict[tuple, int] = {}
@@ -207,8 +206,7 @@ class BlockMaxIndex:
         examples.sort(key=lambda e: (int(e[2][np.argmax(e[3])]), -float(e[3].max()), str(e[0])))
         n = len(examples)
         n_blocks = max(1, -(-n // block))
-        none = np.zeros(0, np.int64)
-        term = np.concatenate([none, *(e[2] for e in examples)])
+        term = np.concatenate([np.zeros(0, np.int32), *(e[2] for e in examples)])
         owner = np.repeat(np.arange(n, dtype=np.int64), [len(e[2]) for e in examples])
         value = np.concatenate([np.zeros(0), *(e[3] for e in examples)])
         often = np.flatnonzero(np.bincount(term, minlength=n_terms) * FREQUENT > n)
@@ -219,7 +217,7 @@ class BlockMaxIndex:
         term, owner, value = term[~full], owner[~full], value[~full]
         order = np.lexsort((owner, term))
         term, owner, value = term[order], owner[order], value[order]
-        cell, starts = np.unique(term * n_blocks + owner // block, return_index=True)
+        cell, starts = np.unique(term.astype(np.int64) * n_blocks + owner // block, return_index=True)
         most = np.maximum.reduceat(value, starts) if len(starts) else np.zeros(0)
         cells = np.searchsorted(cell, np.arange(n_terms + 1) * n_blocks)
         labels = np.array([e[1] for e in examples], float)
@@ -341,9 +339,10 @@ class ToxicityModel:
         picked = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(examples) for c in (0, 1)]
         rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
         rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-        found = rows.mapInArrow(_examples, "doc_id string, toxic int, fingerprint long, terms array<string>, counts array<int>").toArrow()
+        found = rows.mapInArrow(_examples, "doc_id string, toxic int, fingerprint long, terms array<string>, counts array<int>").toArrow().sort_by("doc_id")
         own, terms = Examples.of(found)
         del found
+        pa.default_memory_pool().release_unused()
         vocab = spark.sparkContext.broadcast(terms)
         counts = corpus.select("text").mapInArrow(partial(_term_docs, vocab=vocab), "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toPandas()
         have = np.zeros(len(terms))
