@@ -383,23 +383,41 @@ def train_and_evaluate(spark, sf_dir):
 
 # --- analysis -----------------------------------------------------------------------------------------------------
 
-_GRID_N = 25
-_CELL = lambda v, a, b: f"least(floor(({v} - {a}) / (({b}::DOUBLE - {a}::DOUBLE) / {_GRID_N})), {_GRID_N - 1})::BIGINT"
-_GRID_SQL = f"WITH {_STATS_SQL}, cells AS (SELECT year, {_CELL('lon', t.BOX[0], t.BOX[2])} AS ix, {_CELL('lat', t.BOX[1], t.BOX[3])} AS iy, lst AS v FROM rows WHERE lst IS NOT NULL), grid AS (SELECT year, ix, iy, avg(v) AS mean, count(v) AS n FROM cells GROUP BY GROUPING SETS ((year, ix, iy), (ix, iy)))"
+def _grid_sql(size: int) -> str:
+    """Cells and grid of `size` x `size` over the box."""
+    cell = lambda v, a, b: f"least(floor(({v} - {a}) / (({b}::DOUBLE - {a}::DOUBLE) / {size})), {size - 1})::BIGINT"
+    return f"WITH {_STATS_SQL}, cells AS (SELECT year, {cell('lon', t.BOX[0], t.BOX[2])} AS ix, {cell('lat', t.BOX[1], t.BOX[3])} AS iy, lst AS v FROM rows WHERE lst IS NOT NULL), grid AS (SELECT year, ix, iy, avg(v) AS mean, count(v) AS n FROM cells GROUP BY GROUPING SETS ((year, ix, iy), (ix, iy)))"
 
 
-@query(f"{_GRID_SQL} SELECT year, ix, iy, {r4('mean')} AS mean, n FROM grid")
+_GRID_N, _FINE_N = 25, 250
+_GRID_MEANS = f"SELECT year, ix, iy, {r4('mean')} AS mean, n FROM grid"
+_SMOOTHED = f"SELECT a.year, a.ix, a.iy, {r4('sum(b.mean * b.n) / sum(b.n)')} AS mean FROM grid a JOIN grid b ON a.year IS NOT DISTINCT FROM b.year AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY a.year, a.ix, a.iy"
+
+
+@query(f"{_grid_sql(_GRID_N)} {_GRID_MEANS}")
 def gridded_mean(spark, sf_dir):
-    """Mean temperature on a grid, by year and over all years."""
+    """Mean temperature on a coarse grid, by year and over all years."""
     return analysis.gridded_mean(_by_row(spark, sf_dir), "lst", t.BOX, _GRID_N).select("year", "ix", "iy", _r("mean"), "n")
 
 
-@query(f"{_GRID_SQL} SELECT a.year, a.ix, a.iy, {r4('sum(b.mean * b.n) / sum(b.n)')} AS mean FROM grid a JOIN grid b ON a.year IS NOT DISTINCT FROM b.year AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY a.year, a.ix, a.iy")
+@query(f"{_grid_sql(_GRID_N)} {_SMOOTHED}")
 def smoothed_grid(spark, sf_dir):
-    """The grid averaged over neighbours."""
+    """The coarse grid averaged over neighbours."""
     return analysis.smoothed_grid(analysis.gridded_mean(_by_row(spark, sf_dir), "lst", t.BOX, _GRID_N)).select("year", "ix", "iy", _r("mean"))
 
 
+@query(f"{_grid_sql(_FINE_N)} {_GRID_MEANS}")
+def gridded_mean_fine(spark, sf_dir):
+    """Mean temperature on the operator's own 250 x 250 cells, by year and over all years."""
+    return analysis.gridded_mean(_by_row(spark, sf_dir), "lst", t.BOX).select("year", "ix", "iy", _r("mean"), "n")
+
+
+@query(f"{_grid_sql(_FINE_N)} {_SMOOTHED}")
+def smoothed_grid_fine(spark, sf_dir):
+    """The grid of 250 x 250 cells averaged over neighbours."""
+    return analysis.smoothed_grid(analysis.gridded_mean(_by_row(spark, sf_dir), "lst", t.BOX)).select("year", "ix", "iy", _r("mean"))
+
+
 @query(
     f"""{_KEPT}, p AS (SELECT ndvi AS x, lst AS y, zoning_category_encoded AS v FROM kept WHERE ndvi IS NOT NULL), s AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
         q AS (SELECT v, (x - x0) * 30 / (x1 - x0) AS a, (y - y0) * 17 / (y1 - y0) AS b FROM p, s),
