@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from landheat.llm import urls
@@ -50,3 +51,64 @@ def test_rules_are_found_by_their_rarest_token(spark):
     assert index["example.org/es/"] == "es" and index["org/"] == "org"
     free = urls.UrlRule("digits", "block", r"^[^/]*[0-9]{3}", ())
     assert urls.rule_index(us, (free,)).first().token == "*"
+
+
+LINES = ["||example.org^", "@@||good.example.org/en/*", "|b.example.org/|", "/tracker/*/pixel", "banner", "||shop.*/de/", "@@/tracker/1/", "^track^", "-win.", "||É.com^", "! a comment", "", "||EXAMPLE.net/Path|", "*ad*"]
+
+
+def fits(line, key):
+    """Whether a filter-list line fits, by walking the line beside the text."""
+    low = lambda s: "".join(c.lower() if "A" <= c <= "Z" else c for c in s)
+    body, key = low(line.removeprefix("@@")), low(key)
+    host = body.startswith("||")
+    start = not host and body.startswith("|")
+    body = body[2 if host else 1 if start else 0 :]
+    end = body.endswith("|")
+    body = body.removesuffix("|")
+
+    def walk(i, j):
+        if i == len(body):
+            return not end or j == len(key)
+        if body[i] == "*":
+            return any(walk(i + 1, k) for k in range(j, len(key) + 1))
+        if body[i] == "^":
+            return (j == len(key) and walk(i + 1, j)) or (j < len(key) and not (key[j].isascii() and (key[j].isalnum() or key[j] in "_.%-")) and walk(i + 1, j + 1))
+        return j < len(key) and key[j] == body[i] and walk(i + 1, j + 1)
+
+    size = len(key.split("/", 1)[0])
+    begins = [0] if start else [0, *(k + 1 for k in range(size) if key[k] == ".")] if host else range(len(key) + 1)
+    return any(walk(0, k) for k in begins)
+
+
+KEYS = ["example.org", "www.example.org/x", "notexample.org/", "good.example.org/en/1", "b.example.org/", "b.example.org/x", "a.com/tracker/7/x/pixel.gif", "a.com/Tracker/1/pixel", "a.com/mybanners/1", "shop.fr/de/1", "a.shop.co.uk/DE/", "x.com/track/", "x.com/tracks", "x.com/a-track", "casino-win.net/", "É.com/", "example.net/path", "example.net/path/2", "bad.com/\nad\n", "a.com/tracker/\n/pixel"]
+
+
+def test_list_rules_match_a_plain_walk(spark):
+    lines = spark.createDataFrame([(x,) for x in [*LINES, LINES[0], None]], "rule string")
+    rules = urls.list_rules(lines)
+    assert sorted(r.name for r in rules) == sorted(x for x in LINES if x and not x.startswith("!"))
+    pages = spark.createDataFrame(list(enumerate("x://" + k for k in KEYS)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judged(pages, rules).collect()}
+    for i, key in enumerate(KEYS):
+        want = sorted(r.name for r in rules if fits(r.name, key))
+        assert (key, got[i].words) == (key, want)
+        assert got[i].rule is None and got[i].verdict == ("block" if want and not any(x.startswith("@@") for x in want) else "allow")
+
+
+def test_base_rules_go_before_list_rules_and_few_patterns_run(spark):
+    many = (*urls.RULES, *(urls.list_rule(f"||h{i}.example.net/p{i}^") for i in range(3000)), urls.list_rule("||org^"))
+    pages = spark.createDataFrame([(i, f"x://www.h{i}.example.net/p{i}/1") for i in range(200)] + [(900, "x://a.org/1"), (901, None)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.words) for r in urls.judged(pages, many).collect()}
+    assert got == {i: (None, "block", [f"||h{i}.example.net/p{i}^"]) for i in range(200)} | {900: ("org/", "allow", ["||org^"]), 901: (None, "allow", [])}
+    assert {r.patterns: r.urls for r in urls.patterns_run(pages, many).collect()} == {0: 1, 1: 200, 2: 1}
+
+
+@pytest.mark.parametrize("line", ["||a.com^$third-party", "a.com##.ad", "@@", "*", "||^"])
+def test_lines_that_cannot_be_rules(line):
+    with pytest.raises(ValueError):
+        urls.list_rule(line)
+
+
+def test_too_many_rules(spark):
+    with pytest.raises(ValueError):
+        urls.list_rules(spark.createDataFrame([("a",), ("b",)], "rule string"), most_rules=1)
