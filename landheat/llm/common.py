@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landheat.sources.shared import written
 
-__all__ = ["SPACES", "held_out", "running_total", "slices", "table", "text_key", "written"]
+__all__ = ["SPACES", "held_out", "running_total", "sized_slices", "slices", "table", "text_key", "written"]
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,3 +56,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for k in range(0, max(1, batch.num_rows), rows):
             yield batch.slice(k, rows)
+
+
+def sized_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts in that column take up to most_bytes; a longer text is a part of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landheat.llm import chat, langid, mixing, ogg, packing, quality, secrets, simhash, toxicity, urls
+from landheat.llm import chat, counts, fim, langid, mixing, ogg, packing, quality, search, secrets, simhash, toxicity, urls
 from landheat.llm.common import table
 
 
@@ -48,9 +48,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_rules, op6_toxicity, op7_packing, op8_ogg_media, op9_chat_format, op10_simhash)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+_OPS = (op1_language_id, op2_url_filters, op3_secret_scans, op4_mixing, op5_quality_rules, op6_toxicity, op7_packing, op8_ogg_media, op9_chat_format, op10_simhash, op11_fill_in_middle, op12_lexical_search, op13_token_counts)
+QUERIES = {f.__name__: f for f in _OPS}
 
 def _spans_sql(place: int, rule: secrets.Rule) -> str:
     """Places of a rule's matches: from the lengths of the matches and of the text between them."""
@@ -104,4 +115,38 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+        c AS (
+            SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+                        WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        p AS (
+            SELECT doc_id, n, form, text, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS p,
+                   coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS m, coalesce(array_to_string(u[greatest(a, b) + 1:], ''), '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op12_lexical_search": r"""
+        WITH w AS (
+            SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+        p AS (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY r, doc_id, term),
+        d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY r),
+        t AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+        m AS (SELECT r, 25 + (75 * n * docs) // total AS m FROM d, t),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term),
+        q AS (
+            SELECT i, item_id, term, count(*) AS times
+            FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))
+            GROUP BY i, item_id, term),
+        s AS (
+            SELECT i, item_id, p.r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN f USING (term) JOIN m ON m.r = p.r GROUP BY i, item_id, p.r, doc_id)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
