@@ -155,14 +155,16 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     stays empty; all other columns are kept as they are, whatever their names.
     """
     rows = written(updated_ledger(docs, written(versions(docs), "versions"), None, rules), "ledger")
-    cuts = written(kept_parts(findings(rows, rules)), "kept-parts").withColumnsRenamed({"blob": "__blob", "parts": "__parts"})
-    out = docs.withColumn("__blob", blob_name("text")).join(cuts, "__blob", "left")
-    part = lambda x: F.when(x.stop.isNull(), F.substring(F.col("text"), x.start + 1, F.length("text"))).otherwise(F.substring(F.col("text"), x.start + 1, x.stop - x.start))
-    hit = F.col("__parts").isNotNull()
-    out = out.withColumn("text", F.when(hit, F.array_join(F.transform("__parts", part), MASK)).otherwise(F.col("text")))
+    cuts = written(kept_parts(findings(rows, rules)), "kept-parts")
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # no column of theirs meets one of ours
+    out = docs.select(doc, blob_name("text").alias("blob")).join(cuts, "blob", "left")
+    hit, text = F.col("parts").isNotNull(), F.col("doc")["text"]
+    part = lambda x: F.when(x.stop.isNull(), F.substring(text, x.start + 1, F.length(text))).otherwise(F.substring(text, x.start + 1, x.stop - x.start))
+    out = out.select("doc", hit.alias("hit"), F.when(hit, F.array_join(F.transform("parts", part), MASK)).otherwise(text).alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("hit"), F.length("text")).otherwise(F.col("doc")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def kept_parts(found: DataFrame) -> DataFrame:

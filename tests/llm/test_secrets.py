@@ -94,3 +94,15 @@ def test_sql_agrees(spark):
     columns = [d[0] for d in found.description]
     want = sorted(found.fetchall())
     assert sorted(map(tuple, queries.op3_secret_scans(spark, sf).select(*columns).collect())) == want and any(r[-1] for r in want)
+
+
+def test_masking_with_any_column_names(spark):
+    """Columns named like the operator's own keep their values."""
+    names = ["__blob", "__parts", "blob", "parts", "doc", "hit", "path", "p.x"]
+    odd = spark.createDataFrame([(1, "token=abcdefghijklmnop x"), (2, "plain"), (None, None)], "doc_id long, text string")
+    odd = odd.withColumns({n: F.lit(f"keep {n}") for n in names})
+    got = secrets.masked(odd)
+    assert got.columns == odd.columns
+    rows = [r.asDict() for r in got.collect()]
+    assert all(r[n] == f"keep {n}" for r in rows for n in names)
+    assert {r["doc_id"]: r["text"] for r in rows} == {1: f"{secrets.MASK} x", 2: "plain", None: None}
