@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landheat.llm.common import running_total, text_key, written
+from landheat.llm.common import running_total, slices, text_key, written
 
 WEIGHTS = (5, 2, 1)
 #: Words in a block, slots in an output shard, and how often a source may be passed over.
@@ -21,6 +21,8 @@ BLOCK_WORDS, SHARD_SLOTS, MOST_PASSES = 64, 1024, 3
 SEED = 17
 #: Shards whose running counts meet in one window.
 SHARD_GROUP = 4096
+#: Rows of draws that a task makes at once.
+DRAWN_ROWS = 1 << 17
 #: Slots that a task should make, and tasks at most.
 TASK_SLOTS, MOST_TASKS = 65_536, 20_000
 
@@ -68,14 +70,27 @@ def quotas(shares: DataFrame, block_words: int, passes: int) -> DataFrame:
     return shares.filter("source_size > 0").select("key", blocks.cast("long").alias("blocks"), F.least(quota, blocks.cast("long") * passes).alias("quota"))
 
 
+def _drawn(seed: int, shard: int, odds: np.ndarray, slots: int) -> np.ndarray:
+    """How often a shard draws each source: a multinomial draw, slot by slot where sources outnumber slots."""
+    rng = np.random.default_rng([seed, shard])
+    if len(odds) <= slots:
+        return rng.multinomial(slots, odds)
+    return np.bincount(np.searchsorted(np.cumsum(odds)[:-1], rng.random(slots), side="right"), minlength=len(odds))
+
+
 def _draws(batches: Iterator[pa.RecordBatch], keys: list[str], odds: list[float], slots: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shards = batch.column(0).to_pylist()
-        counts = [np.random.default_rng([seed, s]).multinomial(slots, odds) for s in shards]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(shards, len(keys))), pa.array(keys * len(shards)), pa.array(np.concatenate(counts).astype(np.int64))] if shards else [pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())],
-            names=["shard", "key", "drawn"],
-        )
+    """(shard, key, drawn) of the sources that a shard draws at all, so at most a row per slot; a few shards at a time."""
+    names, odds = pa.array(keys, pa.string()), np.array(odds)
+    few = max(1, DRAWN_ROWS // max(1, min(slots, len(keys))))
+    for batch in slices(batches, few):
+        which, drawn, shard = [], [], []
+        for s in batch.column(0).to_pylist():
+            n = _drawn(seed, s, odds, slots)
+            which.append(np.flatnonzero(n))
+            drawn.append(n[which[-1]])
+            shard.append(np.full(len(which[-1]), s))
+        if shard:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard), pa.int64()), names.take(pa.array(np.concatenate(which))), pa.array(np.concatenate(drawn), pa.int64())], names=["shard", "key", "drawn"])
 
 
 def shard_counts(spark, sources: list, slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -183,7 +198,7 @@ class Mix:
 
         Where all words were taken the text stays as it is; else it holds the runs of taken words, joined by a space.
         Rows without words do not appear; repeated rows pair off with their places in turn; n_chars, if there, follows the
-        text; an empty table gives no rows; all other columns are kept as they are.
+        text; an empty table gives no rows; all other columns are kept as they are, whatever their names.
         """
         parts = fragments(self.placed, self.block_words).join(self.draws, ["key", "block"])
         spans = parts.groupBy("key", "at", "pass").agg(F.first("doc_id").alias("id"), F.first("mark").alias("mark"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
@@ -191,17 +206,20 @@ class Mix:
         same = ["row_id", "key", "mark"]
         turn = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
         passes = passes.select(text_key("id").alias("row_id"), "key", "mark", "at", "passes").withColumn("turn", turn("at")).alias("p")
-        whole = docs.select("*", F.struct(text_key("doc_id").alias("row_id"), text_key("source").alias("key"), F.xxhash64("text").alias("mark")).alias("__k"))
-        whole = whole.select("__k.*", F.struct(*docs.columns).alias("doc")).withColumn("turn", turn("mark")).alias("d")
+        doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # no column of theirs meets one of ours
+        whole = docs.select(doc, text_key("doc_id").alias("row_id"), text_key("source").alias("key"), F.xxhash64("text").alias("mark"))
+        whole = whole.withColumn("turn", turn("mark")).alias("d")
         # repeated rows pair off in turn; written as two bounds so that the join needs no further shuffle of the texts
         on = (F.col("d.row_id") == F.col("p.row_id")) & (F.col("d.key") == F.col("p.key")) & (F.col("d.mark") == F.col("p.mark")) & (F.col("d.turn") >= F.col("p.turn")) & (F.col("d.turn") <= F.col("p.turn"))
         rows = whole.join(passes, on).select("doc", F.explode("passes").alias("one"))
         full = (F.size("one.spans") > 0) & (F.aggregate("one.spans", F.lit(0).cast("long"), lambda n, x: n + x.stop - x.start) == F.col("one.size"))
-        rows = rows.select("doc.*", F.when(~full, F.col("one.spans")).alias("__spans"))
-        rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_taken_words("text", F.col("__spans.start"), F.col("__spans.stop"))))
+        rows = rows.select("doc", F.when(~full, F.col("one.spans")).alias("spans"))
+        text = F.col("doc")["text"]
+        rows = rows.select("doc", F.when(F.col("spans").isNull(), text).otherwise(_taken_words(text, F.col("spans.start"), F.col("spans.stop"))).alias("text"))
+        changed = {"text": F.col("text")}
         if "n_chars" in docs.columns:
-            rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-        return rows.select(docs.columns)
+            changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        return rows.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 @F.pandas_udf(T.StringType())

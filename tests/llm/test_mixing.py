@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,34 @@ def test_edges(spark):
     words = sum(len(WORDS.findall(r.text)) for r in mixed.collect())
     assert words == sum(r.taken for r in got)
     assert mixing.Mix(docs.limit(0)).taken().count() == 0
+
+
+def test_any_column_names(spark):
+    """Columns named like the operator's own keep their values and change nothing."""
+    names = ["__spans", "__k", "spans", "doc", "turn", "mark", "row_id", "one", "p.x", "passes"]
+    rows = [(k, f"w{k} " * (40 * k + 3), "ab"[k % 2]) for k in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = plain.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    got = mixing.Mix(odd).documents(odd)
+    assert got.columns == odd.columns
+    found = [r.asDict() for r in got.collect()]
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)
+    want = mixing.Mix(plain).documents(plain).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted((r.doc_id, r.text) for r in want)
+
+
+def test_many_sources_make_few_rows():
+    """A shard has at most a row per slot, however many sources there are, and a task makes few at once."""
+    n, slots = 100_000, 1024
+    shards = pa.RecordBatch.from_arrays([pa.array(range(200))], names=["id"])
+    batches = list(mixing._draws(iter([shards]), [f"s{k}" for k in range(n)], [1 / n] * n, slots, 42))
+    assert max(b.num_rows for b in batches) <= mixing.DRAWN_ROWS
+    drawn = defaultdict(int)
+    for b in batches:
+        for shard, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            assert k > 0
+            drawn[shard] += k
+    assert dict(drawn) == dict.fromkeys(range(200), slots)
+    odds = [0.5, 0.0, 0.25, 0.25]
+    alike = mixing._drawn(1, 2, np.repeat(odds, 500) / 500, 1000).reshape(4, 500).sum(axis=1)
+    assert alike[1] == 0 and abs(alike - 1000 * np.array(odds)).max() < 90
