@@ -242,7 +242,7 @@ def letter_runs(text: str | None) -> list[bytes]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         seen: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen.update((lang, w) for w in letter_runs(text))
@@ -268,21 +268,23 @@ class LanguageModel:
     def fit(cls, docs: DataFrame, path: str | None = None, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, most_langs: int = MOST_LANGS) -> "LanguageModel":
         """Expectation maximisation over the distinct words of a bounded sample: about train_docs documents a language.
 
-        docs: the rows to learn from, with text and lang; null texts and langs are left out. A document is in the
-        sample by a hash of its id, at a rate that each language's count sets. Only sums per piece and language,
-        bounded by the vocabulary, come to the driver; more than most_langs languages are refused.
+        docs: the rows to learn from, with text and lang; null texts and langs are left out. A text is in the sample by
+        a hash of itself, at a rate that the language's number of distinct texts (within a few percent) sets, and counts
+        once however many rows repeat it; ids have no part in it. Only sums per piece and language, bounded by the
+        vocabulary, come to the driver; more than most_langs languages are refused.
         """
         spark, path = docs.sparkSession, path or public_tokenizers.path("word_bpe_49k.json")
         docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
+        texts = F.approx_count_distinct(F.xxhash64("text")).alias("texts")
+        counts = {r.lang: (r.n, r.texts) for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), texts).limit(most_langs + 1).collect()}
         if len(counts) > most_langs:
             raise ValueError(f"over {most_langs} languages")
         langs = sorted(counts)
         size = vocabulary(path)[2]
         if not langs:
             return cls([], np.zeros((size, 0)), np.zeros(0), path)
-        rate = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, train_docs / counts[k])))), F.col("lang"))
-        sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+        rate = F.element_at(F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, train_docs / max(1, counts[k][1]))))), F.col("lang"))
+        sample = docs.filter(F.pmod(F.xxhash64("text", F.lit("lang")), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text").distinct()
         words = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words = written(words, "lang-words")
         odds = np.full((size, len(langs)), 1.0 / size)
@@ -295,7 +297,7 @@ class LanguageModel:
             odds[used["piece"], used["which"]] += used["used"]
             odds[0] = 0
             odds /= odds.sum(axis=0)
-        shares = np.array([counts[k] for k in langs], float)
+        shares = np.array([counts[k][0] for k in langs], float)
         return cls(langs, odds, shares / shares.sum(), path)
 
     def predict(self, docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from landheat.llm import langid
@@ -107,3 +109,41 @@ def test_edges(spark):
     assert by[4].lang_pred == "en" and by[None].lang_pred == "fr" and by[8].lang_pred == "fr" and by[7].lang_pred == "en"
     assert langid.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.LanguageModel.fit(docs.limit(0)).predict(docs).collect()} == {"und"}
+
+
+def test_rows_without_an_id_are_learned_from(spark):
+    """The sample goes by texts: ids that are null or shared neither hide a language nor let all its rows in."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('de', 'en')")
+    blank = docs.withColumn("doc_id", F.when(F.col("lang") == "de", F.lit(None)).otherwise(F.lit(7)).cast("long"))
+    fitted = langid.LanguageModel.fit(blank, train_docs=20)
+    assert all(fitted.odds[:, k].max() > 0.02 for k in range(2))
+    got = fitted.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert got > 0.9
+    repeated = blank.filter("lang = 'de'").limit(1).crossJoin(spark.range(5000)).drop("id").unionByName(blank.filter("lang = 'en'"))
+    assert langid.LanguageModel.fit(repeated, train_docs=20).odds[:, 0].max() > 0.02
+
+
+def test_scores_match_brute_force(spark):
+    """The query's score, from sums over all segmentations of each run of letters, one by one."""
+    rows = list(enumerate(["the of and", "und die der", "", None, "12 !", "Straße über", "a", "la casa de", "international-information"]))
+    model = langid.LanguageModel.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), rounds=2)
+    inside, ending, _ = langid.vocabulary(model.path)
+
+    def likelihood(run, lang):
+        total = [1.0] + [0.0] * len(run)
+        for stop in range(1, len(run) + 1):
+            known = ending if stop == len(run) else inside
+            total[stop] = sum(total[k] * model.odds[known[run[k:stop]], lang] for k in range(stop) if run[k:stop] in known)
+        return total[-1]
+
+    got = model.predict(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        runs = [x.encode() for x in regex.findall(r"\p{L}+", (rows[r.doc_id][1] or "").lower())]
+        if not runs:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = np.log(model.shares) + [sum(math.log(likelihood(x, k)) for x in runs) for k in range(len(model.langs))]
+        odds = np.exp(logs - logs.max())
+        assert r.lang_pred == model.langs[int(odds.argmax())]
+        assert r.score == pytest.approx(odds.max() / odds.sum(), rel=1e-9)
