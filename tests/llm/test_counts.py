@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,23 +53,21 @@ def test_counts_match_the_tokenizer(spark, monkeypatch, shares):
     assert lines(got) == lines(brute(*r) for r in rows)
 
 
-def test_small_holds_agree(spark, monkeypatch):
-    """Tasks that hand their counts on after every text add up to the same."""
-    import pyarrow as pa
-
-    texts = [t for t in TEXTS if t]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
-
-    def found():
-        total = {}
-        for part in counts._seen(iter([batch]), PATH):
-            for k, n in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
-                total[k] = total.get(k, 0) + n
-        return total
-
-    whole = found()
-    monkeypatch.setattr(counts, "UNITS", 0)
-    assert found() == whole
+def test_units_part_as_whole_texts():
+    """Pre-tokens of units are those of the whole text, word by word or by the tokenizer."""
+    pre = counts.PreTokenizer(PATH)
+    rng = random.Random(4)
+    pool = [" ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "B", "é", "ñ", "×", "÷", "ª", "漢", "'s", "'", ".", "~", "7", "²", "\x7f", "—", "”"]
+    for _ in range(3000):
+        text = "".join(rng.choices(pool, k=rng.randrange(0, 12)))
+        units, codes, _, _ = pre.units(pa.array([text]))
+        unit, found = pre.pre_tokens(units)
+        by = {}
+        for k, p in zip(unit.tolist(), found.to_pylist()):
+            by.setdefault(k, []).append(p)
+        got = [p for c in codes.tolist() for p in sorted(by.get(c, []), key=units[c].as_py().find)]
+        want = [text[a:b].encode() for _, (a, b) in pre.parts(text)]
+        assert sorted(got) == sorted(want), text
 
 
 def test_each_pre_token_is_counted_once(spark):
