@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from landheat.functions import geometry, indices
 from landheat.operators import encode, filters, matrix, report, spatial
 from landheat.plans import pipelines, queries as q, tables as t
 from landheat.plans.queries import query
-from landheat.sources import osm, pixels, scenes, zones as zone_files
+from landheat.sources import osm, pixels, raster, scenes, zones as zone_files
 from landheat.sources.shared import written_folder
 
 r4 = t.r4
@@ -204,3 +206,100 @@ def kept_polygons(spark, sf_dir):
     write_collections(rows.select(F.floor(F.col("zone_id") / PAGE).alias("part"), zone_files.feature_line().alias("value")), path)
     kept = spatial.kept_zones(spatial.clipped_zones(zone_files.read_zones(spark, path), t.BOX))
     return kept.groupBy("zoning_category").agg(F.countDistinct("zone_id").alias("n"))
+
+
+# --- binary rasters ------------------------------------------------------------------------------------------------
+
+#: Orders of a raster scene, by rows of so many pixels; its quality band has half as many each way.
+_SIDE = 32
+_RASTER_BANDS = {k: b for k, b in enumerate(raster.PIXEL_BANDS, 1)}
+_RASTER_CLOUD = 25.0
+
+
+def _encode(group: pd.DataFrame) -> pd.DataFrame:
+    """One band file of a scene; every thirteenth scene's B6 is damaged."""
+    one = group.iloc[0]
+    scene, band, side = int(one["scene"]), one["band"], _SIDE // int(one["every"])
+    values = np.zeros((side, side), np.uint16)
+    values[group["row"], group["col"]] = group["dn"]
+    origin, step = (one["x0"], one["y0"]), (0.001 * int(one["every"]),) * 2
+    content = raster.encoded(values, origin, step, strip_rows=5, deflate=scene % 2 == 0, order="<>"[scene % 3 == 0])
+    return pd.DataFrame({"scene": [f"S{scene}"], "band": [band], "content": [b"damaged" if band == "B6" and scene % 13 == 5 else content]})
+
+
+def raster_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Scenes of 1,024 orders each: a pixel an order, a band a line number, and a quality cell for four orders."""
+    path, o, lines = folder(spark, "rasters"), t.read(spark, sf_dir, "orders"), t.read(spark, sf_dir, "lineitem")
+    k, size = F.col("o_orderkey").cast("long"), _SIDE * _SIDE
+    scene = F.floor(k / size)
+    place = o.select(
+        "o_orderkey", "o_custkey", scene.alias("scene"), F.floor(k % size / _SIDE).alias("row"), (k % _SIDE).alias("col"),
+        ((799500 + scene % 10 * 300).cast("double") / 10000.0).alias("x0"), (F.when(scene % 11 == 10, 133000).otherwise(132000 - scene % 7 * 500).cast("double") / 10000.0).alias("y0"),
+    )
+    at = ["scene", "x0", "y0", "row", "col"]
+    names = F.create_map(*(F.lit(v) for kv in _RASTER_BANDS.items() for v in kv))
+    dn = lines.filter(F.col("l_linenumber") <= len(_RASTER_BANDS)).join(place, F.col("l_orderkey") == F.col("o_orderkey"))
+    dn = dn.groupBy(*at, F.try_element_at(names, F.col("l_linenumber").cast("int")).alias("band")).agg((F.min(F.col("l_quantity").cast("int")) * 100).alias("dn"))
+    cloudy = F.col("o_custkey") % F.when(F.col("scene") % 5 == 0, 2).otherwise(16) == 0
+    cells = place.withColumns({"row": F.floor(F.col("row") / 2), "col": F.floor(F.col("col") / 2)}).groupBy(*at).agg(F.min(F.when(cloudy, 8).otherwise(64)).alias("dn"))
+    rows = dn.withColumn("every", F.lit(1)).unionByName(cells.withColumns({"band": F.lit(raster.QA_BAND), "every": F.lit(2)}))
+    raster.write_rasters(rows.groupBy("scene", "band").applyInPandas(_encode, "scene string, band string, content binary"), path)
+    return path
+
+
+_RASTER_SQL = f"""
+    o AS (SELECT o_orderkey, o_custkey, o_orderkey // 1024 AS s, o_orderkey % 1024 // 32 AS r, o_orderkey % 32 AS c,
+                 CAST(799500 + o_orderkey // 1024 % 10 * 300 AS DOUBLE) / 10000.0 AS x0,
+                 CAST(CASE WHEN o_orderkey // 1024 % 11 = 10 THEN 133000 ELSE 132000 - o_orderkey // 1024 % 7 * 500 END AS DOUBLE) / 10000.0 AS y0 FROM orders),
+    g AS (SELECT s, x0, y0, r, c, CASE l_linenumber {' '.join(f"WHEN {k} THEN '{b}'" for k, b in _RASTER_BANDS.items())} END AS band, min(CAST(l_quantity AS INTEGER)) * 100 AS dn
+          FROM lineitem JOIN o ON l_orderkey = o_orderkey WHERE l_linenumber <= {len(_RASTER_BANDS)} GROUP BY ALL),
+    q AS (SELECT s, x0, y0, r // 2 AS qr, c // 2 AS qc, min(CASE WHEN o_custkey % CASE WHEN s % 5 = 0 THEN 2 ELSE 16 END = 0 THEN 8 ELSE 64 END) AS qa FROM o GROUP BY ALL),
+    cells AS (SELECT *, x0 + (qc + 0.5) * 0.002::DOUBLE AS lon, y0 + (qr + 0.5) * -0.002::DOUBLE AS lat FROM q),
+    seen AS (SELECT s, count(*) AS total, count(*) FILTER (qa & 31 = 0) AS clear FROM cells WHERE {t.IN_BOX_SQL} GROUP BY s),
+    gate AS (SELECT DISTINCT q.s, coalesce((total - clear) * 100.0::DOUBLE / total, -1) AS percent FROM q LEFT JOIN seen USING (s))"""
+
+
+@query(
+    f"""WITH {_RASTER_SQL}, v AS (
+            SELECT g.s, band, {r4('x0 + (c + 0.5) * 0.001::DOUBLE')} AS lon, {r4('y0 + (r + 0.5) * -0.001::DOUBLE')} AS lat,
+                   {r4("CASE WHEN band = 'ST_B10' THEN dn * 0.00341802::DOUBLE + 149.0 ELSE dn * 0.0000275::DOUBLE - 0.1 END", 6)} AS value
+            FROM g JOIN (SELECT s, qr, qc, qa FROM q) q ON g.s = q.s AND r // 2 = qr AND c // 2 = qc JOIN gate ON g.s = gate.s
+            WHERE qa & 31 = 0 AND percent <= {_RASTER_CLOUD} AND dn <> 0 AND NOT (band = 'B6' AND g.s % 13 = 5))
+        SELECT 'S' || s AS tile_id, CASE band WHEN 'B4' THEN 'B4_Red' WHEN 'B5' THEN 'B5_NIR' WHEN 'B6' THEN 'B6_SWIR1' WHEN 'B10' THEN 'B10_TIR' WHEN 'B11' THEN 'B11_TIR' ELSE band END AS band,
+               count(*) AS n, CAST(sum(CAST(round(value * 1e6) AS BIGINT)) AS BIGINT) AS millionths, min(lon) AS west, max(lat) AS north, TIMESTAMP '2000-01-01' AS timestamp FROM v GROUP BY s, band"""
+)
+def raster_files(spark, sf_dir):
+    """Binary rasters through the cloud gate to the pixel table, and back."""
+    path, out = raster_folder(spark, sf_dir), folder(spark, "raster-pixels")
+    pipelines.ingest_scenes(spark, path, out, t.Config(max_aoi_cloud=_RASTER_CLOUD))
+    rows = pixels.read_pixels(spark, out).groupBy("tile_id", "band", "timestamp")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 1e6).cast("long")).alias("millionths"), F.min("lon").alias("west"), F.max("lat").alias("north"))
+
+
+@query(f"WITH {_RASTER_SQL} SELECT DISTINCT 'S' || s AS scene, band, 'ValueError: not a raster file of this kind' AS reason FROM g WHERE band = 'B6' AND s % 13 = 5")
+def rejected_rasters(spark, sf_dir):
+    """The band files that can't be decoded."""
+    return raster.rejected_files(spark, raster_folder(spark, sf_dir)).drop("path")
+
+
+@query(f"""WITH {_RASTER_SQL} SELECT 'S' || s AS scene, r AS row, c AS col, dn::DOUBLE AS dn FROM g WHERE band = 'B4' AND r BETWEEN 7 AND 12 AND c < 9 AND s IN (1, 3)
+           UNION ALL SELECT 'S' || d.s, r, c, 0 FROM (SELECT DISTINCT s FROM g WHERE band = 'B4' AND s IN (1, 3)) d, range(7, 13) a(r), range(0, 9) b(c)
+           WHERE NOT EXISTS (SELECT 1 FROM g WHERE band = 'B4' AND g.s = d.s AND g.r = a.r AND g.c = b.c)""")
+def raster_window(spark, sf_dir):
+    """The pixels of one band of two scenes within a window; the conditions reach the source."""
+    rows = raster.read_grid(spark, raster_folder(spark, sf_dir), raster.PIXEL_BANDS)
+    return rows.filter("band = 'B4' and scene in ('S1', 'S3') and row >= 7 and row <= 12 and col < 9").select("scene", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "dn")
+
+
+@query(
+    f"""WITH {_RASTER_SQL} SELECT 'S' || g.s AS tile_id, count(*) FILTER (g.s = 2) AS decoded, count(*) FILTER (g.s <> 2) AS kept, {r4("sum(CASE WHEN g.s = 2 THEN 0 ELSE -1.5 END)", 1)} AS marks
+        FROM g JOIN (SELECT s, qr, qc, qa FROM q) q ON g.s = q.s AND r // 2 = qr AND c // 2 = qc WHERE qa & 31 = 0 AND g.s IN (1, 2, 3) AND NOT (band = 'B6' AND g.s % 13 = 5) GROUP BY g.s"""
+)
+def reprocessed_scenes(spark, sf_dir):
+    """One scene decoded again; its rows in the pixel table are replaced, the others' stay."""
+    path, out = raster_folder(spark, sf_dir), folder(spark, "raster-pixels")
+    pixels.write_pixels(raster.scene_pixels(spark, path, scenes=["S1", "S2", "S3"]).withColumn("value", F.lit(-1.5)), out)
+    raster.reprocess(spark, path, out, ["S2"])
+    old = F.col("value") == -1.5
+    rows = pixels.read_pixels(spark, out).groupBy("tile_id").agg(F.count_if(~old).alias("decoded"), F.count_if(old).alias("kept"), F.sum(F.when(old, F.col("value")).otherwise(0.0)).alias("marks"))
+    return rows.withColumn("marks", indices.rounded(F.col("marks"), 1))

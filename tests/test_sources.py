@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, IsNull, LessThanOrEqual
 
 from landheat.config import Config
 from landheat.operators import matrix, spatial
@@ -73,6 +74,58 @@ def test_reprocess_replaces_named_scenes(spark, scene_dir, tmp_path):
     assert pixels.file_inventory(spark, out).count() >= 1
 
 
+def test_raster_source_reads_what_is_asked(spark, tmp_path):
+    """Conditions reach the source: other scenes and bands are not listed, other strips not read, a file goes to many tasks."""
+    rng = np.random.default_rng(1)
+    big = rng.integers(1, 60000, (400, 300)).astype(np.uint16)
+    for scene in ("S1", "S2"):
+        for band in ("B4", "B5", "OTHER"):
+            (tmp_path / scene).mkdir(exist_ok=True)
+            (tmp_path / scene / f"{band}.tif").write_bytes(raster.encoded(big, (80.0, 13.0), strip_rows=16))
+    rows = raster.read_rasters(spark, str(tmp_path), ("B4",), ["S2"], part_bytes=20_000)
+    assert rows.rdd.getNumPartitions() == -(-len(raster.encoded(big, strip_rows=16)) // 20_000)
+    got = {(r.row, r.col): r.dn for r in rows.select("row", "col", "dn").collect()}
+    assert got == {(i, j): big[i, j] for i in range(400) for j in range(300)}
+
+    reader = raster.RasterReader(str(tmp_path), 20_000)
+    asked = [EqualTo(("band",), "B4"), In(("scene",), ("S2", "S3")), GreaterThan(("row",), 40), LessThanOrEqual(("row",), 47), IsNull(("error",)), IsNotNull(("dn",))]
+    assert list(reader.pushFilters(asked)) == [asked[2], asked[3], asked[5]]
+    parts = [p for p in reader.partitions()]
+    assert {(s.scene, s.band) for p in parts for s in p.files} == {("S2", "B4")}
+    found = [b for p in parts for b in reader.read(p)]
+    assert sorted({r for b in found for r in b.column(9).to_pylist()}) == list(range(32, 48))  # the one strip of 16 rows
+    plan = rows.filter("row between 41 and 47")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "scene IN" not in plan.split("BatchScan")[0]
+
+
+def test_damaged_strips_are_told(spark, tmp_path):
+    values = np.arange(64, dtype=np.uint16).reshape(8, 8) + 1
+    whole = raster.encoded(values, strip_rows=2, deflate=True)
+    (tmp_path / "S").mkdir()
+    broken = bytearray(whole)
+    broken[8:12] = b"\xff\xff\xff\xff"  # the head of the first strip
+    (tmp_path / "S" / "B4.tif").write_bytes(bytes(broken))
+    (tmp_path / "S" / "B5.tif").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "S" / "B6.tif").write_bytes(b"")
+    (tmp_path / "S" / "B10.tif").write_bytes(raster.encoded(values, order=">"))
+    (tmp_path / "S" / "B11.tif").write_bytes(raster.encoded(values.astype(np.float32), strip_rows=3))
+    rows = raster.read_grid(spark, str(tmp_path), raster.PIXEL_BANDS).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("dn").alias("total"))
+    assert {r.band: (r.n, r.total) for r in rows.collect()} == {"B4": (48, float(values[2:].sum())), "B10": (64, float(values.sum())), "B11": (64, float(values.sum()))}
+    told = {r.band: r.reason for r in raster.rejected_files(spark, str(tmp_path)).collect()}
+    assert set(told) == {"B4", "B5", "B6"} and told["B6"] == "ValueError: the file is empty" and "ends before" in told["B5"]
+    assert raster.read_grid(spark, str(tmp_path), ("B4",), ["none"]).count() == 0
+    assert raster.read_grid(spark, str(tmp_path / "absent"), ("B4",)).count() == 0
+    scenes_wanted = spark.createDataFrame([("S",), ("T",), ("S",)], "scene string")
+    assert raster.read_grid(spark, str(tmp_path), ("B10",), scenes_wanted).count() == 64
+
+
+def test_window_bounds():
+    w = raster.Window().cut("row", 5, None).cut("row", None, 9).cut("row", 7, 20)
+    assert (w.first_row, w.last_row) == (7, 9)
+    assert w.meets(0, 0, 8, 5) and not w.meets(0, 0, 7, 5) and w.meets(9, 0, 5, 5) and not w.meets(10, 0, 5, 5)
+    assert raster.Window().cut("col", 3, 3).meets(0, 3, 1, 1) and not raster.Window().cut("col", 3, 3).meets(0, 4, 1, 1)
+
+
 def test_scene_metadata(spark, scene_dir, tmp_path):
     meta = scenes.read_scene_metadata(spark, scene_dir)
     assert {r.scene_id: r.k1_constant_band_10 for r in meta.collect()} == {"S1": 700.5, "S2": 700.5}
