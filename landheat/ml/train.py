@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landheat.functions.indices import season
+from landheat.ml import boosting
+from landheat.ml.boosting import BoostConfig as TrainConfig
+from landheat.ml.boosting import BoostedTrees
 from landheat.operators import analysis, filters, report
-from landheat.sources.shared import written
-
-
-@dataclass(frozen=True)
-class TrainConfig:
-    depth: int = 8
-    rate: float = 0.05
-    rounds: int = 500
-    subsample: float = 0.8
-    columns: float = 0.8
-    least_rows: int = 5
-    seed: int = 42
-    patience: int = 50
 
 
 def with_season(df: DataFrame) -> DataFrame:
@@ -43,68 +28,21 @@ def feature_names(df: DataFrame, target: str = "lst") -> list[str]:
     return [n for n, k in clean.dtypes if k in ("double", "float", "int", "bigint") and n not in (target, "is_val")]
 
 
-def feature_matrix(features: list[str]) -> list:
-    """Stages that fill gaps with medians and gather the features in one vector.
+def fit(df: DataFrame, features: list[str], cfg: TrainConfig = TrainConfig(), target: str = "lst") -> BoostedTrees:
+    """Trees on the train rows with a target. Rows marked is_val are not learned from, but end the rounds (see boosting.fit).
 
-    The trees refuse NaN, so a column's gaps take its median.
+    Gaps in a feature are missing values, which each split sends to the side where they lose least.
     """
-    filled = [f"__{f}" for f in features]
-    return [Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features")]
+    held = F.col("is_val") if "is_val" in df.columns else None
+    return boosting.fit(df.filter(F.col("split") == "train"), features, target, cfg, held)
 
 
-def fit(df: DataFrame, features: list[str], cfg: TrainConfig = TrainConfig(), target: str = "lst") -> PipelineModel:
-    """Trees on the train rows; there is no L1 or L2 term in these trees.
-
-    Rows marked is_val are not learned from; the rounds end where their error has not fallen for cfg.patience rounds,
-    and all rounds up to there count. Spark's own rule would stop at the first gain of under 1 %, so rounds are fitted
-    without it, in numbers that double, and the errors of each are looked at; a seed gives the same trees again.
-    """
-    train = df.filter((F.col("split") == "train") & F.col(target).isNotNull())
-    doubles = [f for f in features if dict(train.dtypes)[f] not in ("double", "float")]
-    train = train.withColumns({f: F.col(f).cast("double") for f in doubles}) if doubles else train
-    prepared = Pipeline(stages=feature_matrix(features)).fit(train)
-    rows = prepared.transform(train).select("features", target, *(["is_val"] if "is_val" in df.columns else []))
-    rows = written(rows, "features")
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # cuts the lineage of many rounds
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    held = rows.filter("is_val") if "is_val" in rows.columns else rows.limit(0)
-    learned = rows.filter("not coalesce(is_val, false)") if "is_val" in rows.columns else rows
-    trees = GBTRegressor(
-        labelCol=target, featuresCol="features", predictionCol="pred", maxDepth=cfg.depth, stepSize=cfg.rate, subsamplingRate=cfg.subsample,
-        featureSubsetStrategy=str(cfg.columns), minInstancesPerNode=cfg.least_rows, seed=cfg.seed,
-    )
-    watched = not held.isEmpty()
-    rounds = min(cfg.rounds, 2 * cfg.patience) if watched else cfg.rounds
-    while True:
-        model = trees.copy({trees.maxIter: rounds}).fit(learned)
-        stop = stopped(model.evaluateEachIteration(held, "squared"), cfg.patience) if watched else None
-        if stop is not None or rounds >= cfg.rounds:
-            break
-        rounds = min(cfg.rounds, 2 * rounds)
-    if stop is not None and stop < rounds:
-        model = trees.copy({trees.maxIter: stop}).fit(learned)
-    return PipelineModel([*prepared.stages, model])
-
-
-def stopped(errors: list[float], patience: int) -> int | None:
-    """After how many rounds the error has not fallen for `patience` rounds; None if that doesn't happen."""
-    best = 0
-    for k, e in enumerate(errors):
-        if e < errors[best]:
-            best = k
-        elif k - best >= patience:
-            return k + 1
-    return None
-
-
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: BoostedTrees, df: DataFrame) -> DataFrame:
     """df with `pred`."""
-    inputs = model.stages[0].getInputCols()
-    return model.transform(df.withColumns({f: F.col(f).cast("double") for f in inputs})).drop("features", *model.stages[0].getOutputCols())
+    return df.withColumn("pred", model.column({f: F.col(f) for f in model.features}))
 
 
-def evaluation(model: PipelineModel, df: DataFrame, target: str = "lst") -> DataFrame:
+def evaluation(model: BoostedTrees, df: DataFrame, target: str = "lst") -> DataFrame:
     """Metrics on the test rows; all NaN without any."""
     return report.regression_metrics(predict(model, df.filter("split = 'test'")), target, "pred")
 
@@ -114,16 +52,13 @@ def baseline(df: DataFrame, target: str = "lst", single: str = "ST_B10") -> Data
     return report.regression_metrics(df.filter("split = 'test'"), target, single)
 
 
-def importances(model: PipelineModel) -> DataFrame:
+def importances(model: BoostedTrees) -> DataFrame:
     """(feature, importance), heaviest first, 15 at most; a row per feature is all that the driver holds."""
-    from pyspark.sql import SparkSession
-
-    weights = model.stages[-1].featureImportances
-    rows = [(name, float(weights[k])) for k, name in enumerate(model.stages[0].getInputCols())]
+    rows = [(name, float(share)) for name, share in zip(model.features, model.gains())]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double").transform(analysis.ranked_importance)
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], keys: list[str], rows: int = 10_000, target: str = "lst", seed: int = 42) -> DataFrame:
+def permutation_importance(model: BoostedTrees, df: DataFrame, features: list[str], keys: list[str], rows: int = 10_000, target: str = "lst", seed: int = 42) -> DataFrame:
     """(feature, rmse_rise): how much worse test rows are predicted when one feature is dealt anew among them.
 
     At most `rows` test rows are taken, by a hash of their keys; the feature's values, in another hash order, are
@@ -145,15 +80,16 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     return out.orderBy(F.desc("rmse_rise"), "feature")
 
 
-def inspection(model: PipelineModel, df: DataFrame, n: int = 5000, target: str = "lst") -> DataFrame:
+def inspection(model: BoostedTrees, df: DataFrame, n: int = 5000, target: str = "lst") -> DataFrame:
     """The last n rows by time with temperatures in Celsius and the error."""
     rows = report.latest(predict(model, df), n)
     return rows.select("timestamp", "lat", "lon", (F.col(target) - 273.15).alias("true_c"), (F.col("pred") - 273.15).alias("pred_c"), (F.col("pred") - F.col(target)).alias("error"))
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: BoostedTrees, path: str) -> None:
+    """The model as one line of JSON; its size is bounded by its rounds, not by rows."""
+    SparkSession.getActiveSession().createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def saved(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def saved(path: str) -> BoostedTrees:
+    return BoostedTrees.from_json(SparkSession.getActiveSession().read.text(path).first().value)

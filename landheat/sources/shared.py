@@ -28,15 +28,25 @@ def written_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path for a new table among them."""
+    return f"{written_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: computed once, cut from its lineage, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{written_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_written(spark: SparkSession) -> None:
     """Removes all tables that this application has written; call it once no result that rests on them is needed."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(written_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    removed(spark, written_folder(spark))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landheat.config import Config
-from landheat.ml import train as ml
+from landheat.ml import boosting, train as ml
 from landheat.operators import analysis, encode, filters, sample, spatial, split
 from landheat.functions import geometry
 from landheat.plans import queries, tables
@@ -94,11 +94,12 @@ def test_training(spark, tmp_path):
 
 
 def test_training_goes_on_while_validation_gains(spark):
-    assert ml.stopped([5.0, 4.0, 4.5, 3.0, 3.1, 3.2, 3.3], 3) == 7 and ml.stopped([3.0, 2.0, 2.1], 2) is None
+    errors = [5.0, 4.0, 4.5, 3.0, 3.1, 3.2, 3.3]
+    assert [boosting.stopped(errors[:k], 3) for k in range(8)] == [False] * 7 + [True] and not boosting.stopped([3.0, 2.0, 2.1], 2)
     rows = [(float(i % 20), float(i % 7), 300.0 + i % 20 + 0.1 * (i % 7), "train", i % 6 == 0) for i in range(300)]
     df = spark.createDataFrame(rows, "a double, b double, lst double, split string, is_val boolean")
     model = ml.fit(df, ["a", "b"], ml.TrainConfig(depth=3, rounds=24, rate=0.05, patience=8))
-    assert model.stages[-1].getNumTrees == 24
+    assert len(model.trees) == 24
 
 
 def test_training_query_is_whole(spark, monkeypatch):
