@@ -25,6 +25,8 @@ from landheat.sources.shared import removed, table_path
 BINS = 256
 #: Rows of a block, and rounds after which the predictions so far are stored with the blocks.
 BLOCK_ROWS, STORED_ROUNDS = 1 << 16, 10
+#: Tasks whose sums the driver adds up itself, as few as they are; those of more are added up in a shuffle.
+FEW_TASKS = 4
 #: Relative error of the quantiles that the edges are taken at.
 ACCURACY = 10_000
 #: A split has to gain more than this.
@@ -193,9 +195,11 @@ def shrunk(gradient: np.ndarray, l1: float) -> np.ndarray:
 def grown(level: Level, sums: dict[str, np.ndarray]) -> list[int]:
     """Splits the open nodes of level.tree where that gains something; the children that are open then."""
     cfg, columns = level.cfg, level.columns
-    g, h = np.zeros((2, len(level.open), len(columns), BINS))
+    whole = np.zeros((2, len(level.open), len(columns), BINS), np.int64)
     place = sums["node"], np.searchsorted(columns, sums["feature"]), sums["bin"]
-    g[place], h[place] = sums["gradient"] / 2.0**level.bits, sums["rows"]
+    np.add.at(whole[0], place, sums["gradient"])
+    np.add.at(whole[1], place, sums["rows"])
+    g, h = whole[0] / 2.0**level.bits, whole[1].astype(float)
     total_g, total_h = (x[:, :1].sum(axis=2, keepdims=True) for x in (g, h))  # each feature's bins add up to the node
     score = lambda a, b: shrunk(a, cfg.l1) ** 2 / (b + cfg.l2)
     ends = [x[:, :, 1:-1].cumsum(axis=2) for x in (g, h)]
@@ -276,7 +280,8 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
 
     Rows for which `held` is true are not learned from; the rounds end where their error has not fallen for
     cfg.patience rounds. Each round takes cfg.subsample of the rows, by a hash of their values, and cfg.columns of the
-    features. The driver holds sums per open node, feature and bin: 2 ** (depth - 1) * features * 256 of them at most.
+    features. The driver holds sums per open node, feature and bin: 2 ** (depth - 1) * features * 256 of them at most
+    (and of FEW_TASKS tasks, where there are no more).
     Predictions are stored with the rows every STORED_ROUNDS rounds, in the shared folder, so a lost executor costs at
     most that many trees' work; the table before goes.
     """
@@ -303,20 +308,24 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
     path = table_path(spark, "blocks")
     known.mapInArrow(partial(_as_blocks, edges=edges, base=base), BLOCK).write.parquet(path)
     removed(spark, source)
+    blocks = spark.read.schema(BLOCK).parquet(path)
     model, fresh = BoostedTrees(features, edges, base, [], []), []
+    few = blocks.rdd.getNumPartitions() <= FEW_TASKS
     for round_ in range(cfg.rounds + 1):
         rng = np.random.default_rng([cfg.seed, round_])
         columns = sorted(rng.choice(len(features), max(1, round(cfg.columns * len(features))), replace=False).tolist())
         tree, opened = Tree(), [0]
         for _ in range(cfg.depth):
             level = Level(fresh, tree, opened, len(features), columns, round_, bits, cfg)
-            sums = spark.read.schema(BLOCK).parquet(path).mapInArrow(partial(_sums, level=level), SUMS)
-            found = sums.groupBy("node", "feature", "bin").agg(F.sum("gradient").alias("gradient"), F.sum("rows").alias("rows")).toArrow()
+            sums = blocks.mapInArrow(partial(_sums, level=level), SUMS)
+            if not few:
+                sums = sums.groupBy("node", "feature", "bin").agg(F.sum("gradient").alias("gradient"), F.sum("rows").alias("rows"))
+            found = sums.toArrow()
             every = {c: found.column(c).to_numpy() for c in found.column_names}
             if opened == [0]:
                 told = every["node"] < 0
                 if round_ and told.any():
-                    model.errors.append(float(every["gradient"][told][0] / every["rows"][told][0] / 65536))
+                    model.errors.append(float(every["gradient"][told].sum() / every["rows"][told].sum() / 65536))
                 if round_ == cfg.rounds or stopped(model.errors, cfg.patience):
                     removed(spark, path)
                     return model
@@ -328,7 +337,8 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
         fresh = [*fresh, tree]
         if len(fresh) == STORED_ROUNDS:
             old, path = path, table_path(spark, "blocks")
-            spark.read.schema(BLOCK).parquet(old).mapInArrow(partial(_stored, features=len(features), trees=fresh), BLOCK).write.parquet(path)
+            blocks.mapInArrow(partial(_stored, features=len(features), trees=fresh), BLOCK).write.parquet(path)
+            blocks = spark.read.schema(BLOCK).parquet(path)
             removed(spark, old)
             fresh = []
     return model
