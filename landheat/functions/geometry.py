@@ -1,6 +1,6 @@
 """Geometry on ring arrays: a ring is an array of structs x, y; a polygon an array of rings, the outer one first.
 
-All but the clip are array expressions that run in the JVM.
+All but the clip and the cover by cells are array expressions that run in the JVM.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def cleaned(ring: Column) -> Column:
 def edges(ring: Column) -> Column:
     """Pairs of neighbouring vertices a, b."""
     n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b))
 
 
 def _sum(items: Column, f) -> Column:
@@ -121,20 +122,14 @@ def crossings(items: Column, x: Column, y: Column) -> Column:
     return F.aggregate(items, F.lit(0), step)
 
 
-def edges_right_of(polygons: Column, x0: Column, y0: Column, y1: Column) -> Column:
-    """Edges of each polygon, all rings in one, that reach the heights y0 to y1 and don't end left of x0."""
-    near = lambda e: (F.greatest(e.a.x, e.b.x) >= x0) & (F.greatest(e.a.y, e.b.y) >= y0) & (F.least(e.a.y, e.b.y) <= y1)
-    return F.transform(polygons, lambda rings: F.flatten(F.transform(rings, lambda ring: F.filter(edges(ring), near))))
+def inside_near(parts: Column, x: Column, y: Column) -> Column:
+    """contains() for a point of a cell, from the edges and odd numbers that cover_cells gives for it."""
 
+    def inside(p: Column) -> Column:
+        n = crossings(p.edges, x, y)
+        return (n >= 0) & ((n + p.odd) % 2 == 1)
 
-def inside_edges(polygons: Column, x: Column, y: Column) -> Column:
-    """contains() for a point of a cell, from the edges that edges_right_of gives for it."""
-
-    def inside(items: Column) -> Column:
-        n = crossings(items, x, y)
-        return (n > 0) & (n % 2 == 1)
-
-    return F.exists(polygons, inside)
+    return F.exists(parts, inside)
 
 
 def crosses_itself(ring: Column) -> Column:
@@ -172,17 +167,77 @@ def contains(polygons: Column, x: Column, y: Column) -> Column:
     return F.exists(polygons, inside)
 
 
-def edge_meets(e: Column, box: Box) -> Column:
-    """False only where the edge's own box misses the rectangle, or the rectangle lies on one side of its line."""
-    x0, y0, x1, y1 = box
-    apart = (F.greatest(e.a.x, e.b.x) < x0) | (F.least(e.a.x, e.b.x) > x1) | (F.greatest(e.a.y, e.b.y) < y0) | (F.least(e.a.y, e.b.y) > y1)
-    side = lambda x, y: (e.b.x - e.a.x) * (y - e.a.y) - (e.b.y - e.a.y) * (x - e.a.x)
-    corners = [side(x0, y0), side(x1, y0), side(x0, y1), side(x1, y1)]
-    return ~apart & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
-
-
-def any_edge_meets(polygons: Column, box: Box) -> Column:
-    return F.exists(F.flatten(polygons), lambda ring: F.exists(edges(ring), lambda e: edge_meets(e, box)))
+class Edges(NamedTuple):
+    """Edges of a zone's polygons in arrays, with the number of each one's polygon."""
+
+    ax: np.ndarray
+    ay: np.ndarray
+    bx: np.ndarray
+    by: np.ndarray
+    part: np.ndarray
+
+    @classmethod
+    def of(cls, polygons: list) -> "Edges":
+        rings = [(k, np.array([(p["x"], p["y"]) for p in ring], float)) for k, rings in enumerate(polygons) for ring in rings if len(ring) > 1]
+        if not rings:
+            return cls(*np.zeros((4, 0)), np.zeros(0, np.int64))
+        a, b = np.concatenate([r[:-1] for _, r in rings]), np.concatenate([r[1:] for _, r in rings])
+        return cls(a[:, 0], a[:, 1], b[:, 0], b[:, 1], np.concatenate([np.full(len(r) - 1, k) for k, r in rings]))
+
+    def near(self, own: np.ndarray, box: Box) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some edges: how many may meet a rectangle, those that tell its points apart, and those that count for all alike.
+
+        Edges that meet it tell its points apart. Of those to its right one that passes all its heights counts for
+        every point in it; one that ends within them tells. No other edge counts.
+        """
+        x0, y0, x1, y1 = box
+        ax, ay, bx, by = (v[own] for v in self[:4])
+        low, high, west, east = np.minimum(ay, by), np.maximum(ay, by), np.minimum(ax, bx), np.maximum(ax, bx)
+        side = lambda x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        corners = np.stack([side(x0, y0), side(x1, y0), side(x0, y1), side(x1, y1)])
+        level = (high >= y0) & (low <= y1)
+        meets = level & (east >= x0) & (west <= x1) & (corners.min(axis=0) <= 0) & (corners.max(axis=0) >= 0)
+        # of an edge that does not meet the rectangle all corners lie on one side
+        right = (west > x1) | ((east >= x0) & ((corners[0] > 0) == (by > ay)))
+        beyond, passes = level & ~meets & right, (low <= y0) & (high >= y1)
+        return int(meets.sum()), own[meets | (beyond & ~passes)], own[beyond & passes]
+
+    def odd_right_of(self, own: np.ndarray, x: float, y: float, odd: np.ndarray) -> bool:
+        """Whether an odd number of some polygon's edges, with those that were counted before, lies to the point's right."""
+        ax, ay, bx, by = (v[own] for v in self[:4])
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        hit = ((ay > y) != (by > y)) & np.where(by > ay, cross > 0, cross < 0)
+        return bool(((odd + np.bincount(self.part[own][hit], minlength=len(odd))) % 2).any())
+
+
+class Cell(NamedTuple):
+    level: int
+    ix: int
+    iy: int
+    met: int
+    edges: np.ndarray
+    odd: np.ndarray
+
+
+def cover_cells(e: Edges, polygons: int, cell: float, levels: int, few_edges: int) -> Iterator[Cell]:
+    """The cells that a zone touches, cut in quarters where edges meet them (see zone_cover)."""
+    if not len(e.ax):
+        return
+    ix0, ix1, iy0, iy1 = (math.floor(v / cell) for v in (min(e.ax.min(), e.bx.min()), max(e.ax.max(), e.bx.max()), min(e.ay.min(), e.by.min()), max(e.ay.max(), e.by.max())))
+    top = max(ix1 - ix0, iy1 - iy0, 1).bit_length() - 1
+    every, none = np.arange(len(e.ax)), np.zeros(polygons, np.int64)
+    todo = [(top, i, j, every, none) for i in range(ix0 >> top, (ix1 >> top) + 1) for j in range(iy0 >> top, (iy1 >> top) + 1)]
+    while todo:
+        level, ix, iy, own, odd = todo.pop()
+        side = cell * 2.0**level
+        # a hair wider than the cell, so that a pixel that rounding puts into the cell is never past its edge
+        hair, x, y = side * 1e-6, ix * side, iy * side
+        met, own, alike = e.near(own, Box(x - hair, y - hair, x + side + hair, y + side + hair))
+        odd = (odd + np.bincount(e.part[alike], minlength=polygons)) % 2
+        if met and level and (met > few_edges or top - level < levels):
+            todo += [(level - 1, 2 * ix + i, 2 * iy + j, own, odd) for i in (0, 1) for j in (0, 1)]
+        elif met or e.odd_right_of(own, x + side / 2, y + side / 2, odd):
+            yield Cell(level, ix, iy, met, own, odd)
 
 
 def _clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:

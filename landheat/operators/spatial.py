@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landheat.functions import geometry as g
 from landheat.sources.shared import written
 
-#: Side of a grid cell in degrees, and bytes of a zone cover that are sent to all executors.
-CELL, MOST_BYTES = 0.01, 64 << 20
+#: Side of the smallest grid cells in degrees, and bytes of a zone cover that are sent to all executors.
+CELL, MOST_BYTES = 0.0005, 64 << 20
+#: A cell that edges meet is cut in four until it is this many levels below its zone's largest, and beyond that as long
+#: as more edges meet it; the second keeps tests short, the first leaves most of a zone's area to cells without edges.
+LEVELS, FEW_EDGES = 4, 8
 #: What a cell and an edge take in memory, about.
 CELL_BYTES, EDGE_BYTES = 96, 80
 
@@ -18,59 +27,93 @@ def _index(x: Column, cell: float) -> Column:
     return F.floor(x / cell)
 
 
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_EDGES = pa.list_(pa.struct([("a", _POINT), ("b", _POINT)]))
+_PARTS = pa.list_(pa.struct([("edges", _EDGES), ("odd", pa.int32())]))
+#: Cells that are handed on at once.
+_CELLS_AT_ONCE = 2000
+
+
+def _parts(e: g.Edges, cells: list[g.Cell], polygons: int) -> pa.Array:
+    """Per cell and polygon the edges that tell its points apart; null for cells without."""
+    own = [c.edges[np.argsort(e.part[c.edges], kind="stable")] for c in cells if c.met]
+    flat = np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64)
+    sizes = np.array([np.bincount(e.part[o], minlength=polygons) for o in own], np.int64).ravel()
+    point = lambda x, y: pa.StructArray.from_arrays([pa.array(x[flat]), pa.array(y[flat])], fields=list(_POINT))
+    edges = pa.StructArray.from_arrays([point(e.ax, e.ay), point(e.bx, e.by)], fields=list(_EDGES.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), edges)
+    odd = pa.array(np.concatenate([*(c.odd for c in cells if c.met), np.zeros(0, np.int64)]), pa.int32())
+    held = np.array([c.met > 0 for c in cells])
+    ends = np.append(0, np.cumsum(held * polygons))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([lists, odd], fields=list(_PARTS.value_type)), mask=pa.array(~held))
+
+
+def _covered(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            zone_id, category, polygons = (batch.column(i).slice(k, 1) for i in range(3))
+            polygons = polygons[0].as_py()
+            e = g.Edges.of(polygons)
+            found = g.cover_cells(e, len(polygons), cell, LEVELS, FEW_EDGES)
+            while cells := list(islice(found, _CELLS_AT_ONCE)):
+                numbers = [pa.array([getattr(c, n) for c in cells], t) for n, t in (("level", pa.int32()), ("ix", pa.int64()), ("iy", pa.int64()))]
+                same = [v.take(pa.array([0] * len(cells))) for v in (zone_id, category)]
+                yield pa.RecordBatch.from_arrays([*same, *numbers, _parts(e, cells, len(polygons)), pa.array([not c.met for c in cells])], names=["zone_id", "zoning_category", "level", "ix", "iy", "parts", "full"])
+
+
 def zone_cover(zones: DataFrame, cell: float = CELL) -> DataFrame:
-    """(zone_id, zoning_category, edges, ix, iy, full): the cells that a zone touches.
+    """(zone_id, zoning_category, level, ix, iy, parts, full): cells of mixed size that a zone touches.
 
-    A cell that no edge meets lies inside as a whole or outside; those outside are left out, and those inside are
-    `full`, so their pixels need no further test. Other cells carry, polygon by polygon, just the edges at their
-    height that don't lie to their left: no other edge counts for a point in the cell.
+    A cell of a level is as wide as two of the level below; those of level 0 are `cell` wide. A zone starts at the
+    level where two or three cells span it and is cut in quarters only where its edges are, so it has cells in
+    proportion to its edges, not to its area. A cell that no edge meets lies inside as a whole or outside; those
+    outside are left out, and those inside are `full`, so their pixels need no further test. Other cells carry, polygon
+    by polygon, just the edges that tell their points apart, and whether an odd number of others lies to their right.
     """
-    box = g.bbox(F.col("polygons"))
-    span = lambda low, high: F.sequence(_index(low, cell), _index(high, cell))
-    cells = zones.filter(F.size("polygons") > 0).select("zone_id", "zoning_category", "polygons", F.explode(span(box.x0, box.x1)).alias("ix"), span(box.y0, box.y1).alias("__iys"))
-    cells = cells.withColumn("iy", F.explode("__iys")).drop("__iys")
-    # a hair wider than the cell, so that a pixel that rounding puts into the cell is never past its edge
-    hair = cell * 1e-6
-    x, y = F.col("ix") * cell, F.col("iy") * cell
-    met = g.any_edge_meets(F.col("polygons"), g.Box(x - hair, y - hair, x + cell + hair, y + cell + hair))
-    inside = g.contains(F.col("polygons"), x + cell / 2, y + cell / 2)
-    cells = cells.withColumn("full", ~met).filter(~F.col("full") | inside)
-    near = g.edges_right_of(F.col("polygons"), x - hair, y - hair, y + cell + hair)
-    return cells.withColumn("edges", F.when(~F.col("full"), near)).select("zone_id", "zoning_category", "edges", "ix", "iy", "full")
-
-
-def join_zones(pixels: DataFrame, zones: DataFrame, how: str = "left", multi: str = "all", cell: float = CELL, keys: list[str] | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+    kinds = dict(zones.dtypes)
+    schema = f"zone_id {kinds['zone_id']}, zoning_category {kinds['zoning_category']}, level int, ix long, iy long, parts array<struct<edges: array<struct<a: struct<x: double, y: double>, b: struct<x: double, y: double>>>, odd: int>>, full boolean"
+    return zones.filter(F.size("polygons") > 0).select("zone_id", "zoning_category", "polygons").mapInArrow(partial(_covered, cell=cell), schema)
+
+
+def join_zones(pixels: DataFrame, zones: DataFrame, how: str = "left", multi: str = "all", cell: float = CELL, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Adds zone_id and zoning_category of each zone that holds the pixel strictly inside; edges and vertices are out.
 
-    Where zones overlap multi="all" repeats the pixel, multi="first" keeps the lowest zone_id (by `keys`, which must
-    tell pixels apart). The test is part of the join condition, so with how="left" a pixel without a zone stays once.
-    The cover is written once, and broadcast if it takes most_bytes at most; else the join shuffles by cell.
+    Where zones overlap multi="all" repeats the pixel, multi="first" keeps the lowest zone_id. A pixel is looked up
+    once at each level of cells that the cover has, each time by an equi-join with one row a cell; what it finds is
+    tested then, so with how="left" a pixel without a zone stays once, and neither way needs a row number or a
+    shuffle of the pixels. The cover is broadcast if it takes most_bytes at most; else the joins shuffle by cell.
     """
     cover = written(zone_cover(zones, cell), "zone-cover")
-    size = cover.agg(F.coalesce(F.sum(CELL_BYTES + EDGE_BYTES * F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + F.size(e)), F.lit(0))), F.lit(0))).first()[0]
-    few = size <= most_bytes
-    cover = cover.select(F.col("ix").alias("__zx"), F.col("iy").alias("__zy"), "zone_id", "zoning_category", F.col("edges").alias("__edges"), F.col("full").alias("__full"))
-    points = pixels.withColumns({"__ix": _index(F.col("lon"), cell), "__iy": _index(F.col("lat"), cell)})
-    on = (F.col("__ix") == F.col("__zx")) & (F.col("__iy") == F.col("__zy")) & (F.col("__full") | g.inside_edges(F.col("__edges"), F.col("lon"), F.col("lat")))
-    out = points.join(F.broadcast(cover) if few else cover, on, how).select(*pixels.columns, "zone_id", "zoning_category")
+    edges = F.coalesce(F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p.edges)), F.lit(0))
+    sizes = cover.groupBy("level").agg(F.sum(CELL_BYTES + EDGE_BYTES * edges).alias("size")).collect()
+    few = sum(r["size"] for r in sizes) <= most_bytes
+    names, out = pixels.columns, pixels.withColumns({"__ix": _index(F.col("lon"), cell), "__iy": _index(F.col("lat"), cell)})
+    levels = sorted(r.level for r in sizes)
+    for level in levels:
+        own = cover.filter(F.col("level") == level).groupBy(F.col("ix").alias("__zx"), F.col("iy").alias("__zy")).agg(F.collect_list(F.struct("zone_id", "zoning_category", "full", "parts")).alias(f"__at{level}"))
+        on = (F.shiftright("__ix", level) == F.col("__zx")) & (F.shiftright("__iy", level) == F.col("__zy"))
+        out = out.join(F.broadcast(own) if few else own, on, "left").drop("__zx", "__zy")
+    lon, lat = F.col("lon"), F.col("lat")
+    kind = "array<struct<zone_id: {}, zoning_category: {}>>".format(*(dict(zones.dtypes)[c] for c in ("zone_id", "zoning_category")))
+    held = lambda cells: F.transform(F.filter(cells, lambda z: z.full | g.inside_near(z.parts, lon, lat)), lambda z: F.named_struct(F.lit("zone_id"), z.zone_id, F.lit("zoning_category"), z.zoning_category))
+    found = [F.coalesce(held(F.col(f"__at{level}")), F.array().cast(kind)) for level in levels]
+    found = F.concat(*found) if found else F.array().cast(kind)
     if multi == "first":
-        keys = keys or pixels.columns
-        rest = [c for c in pixels.columns if c not in keys]
-        best = F.min(F.struct("zone_id", "zoning_category")).alias("__best")
-        out = out.groupBy(*keys).agg(*(F.first(c).alias(c) for c in rest), best).select(*pixels.columns, "__best.zone_id", "__best.zoning_category")
-    return out
+        out = out.withColumn("__zone", F.array_min(found))
+        out = out if how == "left" else out.filter(F.col("__zone").isNotNull())
+    else:
+        out = out.withColumn("__zone", (F.explode_outer if how == "left" else F.explode)(found))
+    return out.select(*names, F.col("__zone.zone_id").alias("zone_id"), F.col("__zone.zoning_category").alias("zoning_category"))
 
 
 def check_points(points: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
     """(name, lon, lat, expected, found, status) of control points: the first zone that holds each, and how it fits."""
-    found = join_zones(points, zones, "left", "first", cell, ["name", "lon", "lat", "expected"])
+    found = join_zones(points, zones, "left", "first", cell)
     expected, got = F.col("expected"), F.col("zoning_category")
     status = F.when(expected.isNull(), "info").when(got.isNull(), "coverage_gap").when(got == expected, "match").otherwise("mismatch")
     return found.select("name", "lon", "lat", "expected", got.alias("found"), status.alias("status"))
 
 
-
-
 def area_stats(zones: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """(zoning_category, n, area_km2, percent_of_bbox), largest first."""
     area = F.aggregate("polygons", F.lit(0.0), lambda s, p: s + g.polygon_area(p)) * g.KM2_PER_DEGREE2

@@ -157,7 +157,7 @@ def test_zones_and_join(spark, tmp_path):
         assert got == {n: w for n, _, _, w in points}
     over = z.unionByName(z.withColumn("zone_id", F.col("zone_id") + 5).withColumn("zoning_category", F.lit("second")))
     assert spatial.join_zones(df, over, cell=1.0).count() == 8 + 3
-    first = spatial.join_zones(df, over, multi="first", cell=1.0, keys=["name"])
+    first = spatial.join_zones(df, over, multi="first", cell=1.0)
     assert {r.name: r.zoning_category for r in first.collect()} == {n: w for n, _, _, w in points}
     zones.write_zones(z, str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).count() == 2
