@@ -20,7 +20,7 @@ from landheat.llm.common import sized_slices, slices, written
 
 LIMIT = 512
 #: A pre-token that makes up more than one in so many is frequent; so there can't be more frequent ones than this.
-SHARES = 1 << 19
+SHARES = 1 << 20
 #: Longer pre-tokens (in bytes) are known by a digest, so that keys are short whatever the texts hold.
 KEY_BYTES = 32
 

@@ -42,7 +42,7 @@ def lines(rows):
     return sorted(repr(tuple(r)) for r in rows)
 
 
-@pytest.mark.parametrize("shares", [1, 8, 1 << 19])
+@pytest.mark.parametrize("shares", [1, 8, 1 << 20])
 def test_counts_match_the_tokenizer(spark, monkeypatch, shares):
     monkeypatch.setattr(counts, "SHARES", shares)
     rng = random.Random(3)
