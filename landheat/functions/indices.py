@@ -76,3 +76,26 @@ def celsius(kelvin: Column) -> Column:
 
 def pixel_centre(origin: Column, step: Column, index: Column) -> Column:
     return origin + (index + 0.5) * step
+
+
+#: Bits of each coordinate in a Morton code: steps of 2e-5 degrees of longitude, 1e-5 of latitude.
+MORTON_BITS = 24
+
+
+def morton(lon: Column, lat: Column) -> Column:
+    """The bits of both coordinates in turn, highest first, so that near places mostly have near codes; null if one is.
+
+    Each four bits are parted by a table of their sixteen values.
+    """
+    apart = F.array(*(F.lit(sum((v >> b & 1) << 2 * b for b in range(4))).cast("long") for v in range(16)))
+
+    def spread(share: Column) -> Column:
+        x = F.floor(share * float(1 << MORTON_BITS)).cast("long")
+        x = F.when(x < 0, 0).when(x >= 1 << MORTON_BITS, (1 << MORTON_BITS) - 1).otherwise(x)
+        parts = [F.shiftleft(F.get(apart, F.shiftright(x, 4 * k).bitwiseAND(F.lit(15)).cast("int")), 8 * k) for k in range(MORTON_BITS // 4)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.bitwiseOR(p)
+        return out
+
+    return spread((lon + 180) / 360).bitwiseOR(F.shiftleft(spread((lat + 90) / 180), 1))

@@ -25,13 +25,14 @@ def encode(df: DataFrame, target: str, categories: list[str], smoothing: float =
     """Adds <category>_encoded: the category's mean target, drawn to the overall mean by `smoothing`.
 
     Means come from all rows, or those of fit_filter. A null category, or one without targets, has null, or with
-    on_missing="mean" the overall mean. One pass over the rows gives the statistics of all categories and the overall
-    mean; they are written to the shared folder, so df is not computed once more for each of them. Statistics have a
-    row per category: the planner broadcasts small ones by their measured size and shuffles larger ones.
+    on_missing="mean" the overall mean. The rows are written to the shared folder once, so whatever gave them does not
+    run again for the statistics; one pass over two or three of their columns gives those of all categories and the
+    overall mean. Statistics have a row per category: the planner broadcasts small ones by their measured size and
+    shuffles larger ones.
     """
     if on_missing not in ("null", "mean"):
         raise ValueError(f"unknown on_missing {on_missing}")
-    names = distinct_names(categories)
+    names, df = distinct_names(categories), written(df, "rows-to-encode")
     fit = df if fit_filter is None else df.filter(fit_filter)
     sets = fit.select(target, *names).groupingSets([*([n] for n in names), []], *names)
     stats = written(sets.agg(F.avg(target).alias("mean"), F.count(target).alias("n"), F.grouping_id().alias("set")), "target-stats")

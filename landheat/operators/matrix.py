@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from landheat.config import Config
-from landheat.functions.indices import rounded
-from landheat.schemas import MATRIX_BASE, MATRIX_EXTRA
+from landheat.functions.indices import morton, rounded
+from landheat.schemas import MATRIX_BASE, MATRIX_EXTRA, PAGE_ROWS
 
 
 def split_label(cfg: Config, year: str = "year") -> Column:
@@ -35,11 +35,13 @@ def write_matrix(df: DataFrame, path: str) -> dict[str, int]:
     """Overwrites the table under path, by year and split; gives its rows and columns, counted while it is written.
 
     Adaptive execution cuts a large (year, split) into tasks of spark.sql.adaptive.advisoryPartitionSizeInBytes, so
-    tasks and files grow in number with the rows, not in size.
+    tasks and files grow in number with the rows, not in size. Rows of a file follow the Morton code of their place,
+    and pages are short, so a box of coordinates reads just the pages about it.
     """
     seen = Observation("matrix")
     rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", "year", "split")
-    rows.sortWithinPartitions("year", "split", "lat", "lon").write.mode("overwrite").partitionBy("year", "split").option("compression", "zstd").parquet(path)
+    rows = rows.sortWithinPartitions("year", "split", morton(F.col("lon"), F.col("lat")), "lat", "lon")
+    rows.write.mode("overwrite").partitionBy("year", "split").option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
     return {"rows": seen.get["rows"], "columns": len(df.columns)}
 
 

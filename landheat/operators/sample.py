@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landheat.sources.shared import written
+
 ZONE_COLUMNS = ("zoning_category", "zoning_target_encoded", "zoning_category_encoded")
 
 
@@ -22,7 +24,8 @@ def systematic_grid(df: DataFrame, rate: float) -> DataFrame:
     """Every step-th distinct longitude and latitude of each year; rate <= 0 or >= 1 keeps all.
 
     Dense ranks are those of the distinct coordinates, so only these are ranked, never the rows; rows with a null
-    coordinate are out and shift no rank.
+    coordinate are out and shift no rank. The kept ones are written first, so the planner knows their size and
+    broadcasts them where they are few; then no row is shuffled.
     """
     if rate <= 0 or rate >= 1:
         return df
@@ -34,16 +37,18 @@ def systematic_grid(df: DataFrame, rate: float) -> DataFrame:
         values = df.filter("lon is not null and lat is not null").select("year", axis).distinct()
         rank = F.row_number().over(Window.partitionBy("year").orderBy(axis))
         kept = values.withColumn("__rank", rank).filter(F.col("__rank") % step == 0)
-        kept = kept.select(F.col("year").alias("__year"), F.col(axis).alias(f"__{axis}"))
+        kept = written(kept.select(F.col("year").alias("__year"), F.col(axis).alias(f"__{axis}")), "kept-coordinates")
         out = out.join(kept, F.col("year").eqNullSafe(F.col("__year")) & (F.col(axis) == F.col(f"__{axis}")), "left_semi")
     return out
 
 
-def stratified(df: DataFrame, rate: float, zone_columns: tuple[str, ...] = ZONE_COLUMNS, buckets: int = 64) -> DataFrame:
+def stratified(df: DataFrame, rate: float, zone_columns: tuple[str, ...] = ZONE_COLUMNS) -> DataFrame:
     """Every step-th row of each (year, zone) by longitude, then latitude and tile; without a zone column the grid sample.
 
-    A large stratum is ranked in pieces: rows are counted per range of longitude, and a running sum of those counts
-    gives each range its first rank, so no task sorts a whole stratum.
+    Rows are dealt by ranges of the whole order, which a sketch of it makes equally full, and sorted within: so a stratum
+    of any size, even one at a single longitude, is dealt over many tasks, and no window runs over rows. A row's rank
+    is its place in its range, less that of its stratum's first row there, plus the stratum's rows in the ranges before;
+    only these counts, a row for each stratum of a range, are added up.
     """
     zone = next((c for c in zone_columns if c in df.columns), None)
     if zone is None:
@@ -51,20 +56,19 @@ def stratified(df: DataFrame, rate: float, zone_columns: tuple[str, ...] = ZONE_
     if rate <= 0 or rate >= 1:
         return df
     step = stratum_step(rate)
-    ties = [c for c in ("lon", "lat", "tile_id") if c in df.columns]
-    df = df.filter("lon is not null")
-    # ranges of longitude of equal width: in order, whatever their fill
-    width = 360.0 / (buckets * 4096)
-    rows = df.withColumn("__range", F.floor(F.col("lon") / width))
+    own = [F.col(c) for c in ("year", zone, *(c for c in ("lon", "lat", "tile_id") if c in df.columns))]
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # no column of theirs meets one of ours
+    order = [f"o{k}" for k in range(len(own))]
+    rows = df.filter("lon is not null").select(row, *(c.alias(n) for c, n in zip(own, order)))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    place = [F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")]
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))  # noqa: E731  null is a stratum of its own
-    key = [named("year").alias("__y"), named(zone).alias("__z")]
-    rows = rows.select("*", *key)
-    counts = rows.groupBy("__y", "__z", "__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__y", "__z").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("__y", "__z", "__range", F.coalesce(before, F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__y", "__z", "__range").orderBy(*ties))
-    rows = rows.withColumn("__rank", rank).join(counts, ["__y", "__z", "__range"])
-    return rows.filter((F.col("__rank") + F.col("__before")) % step == 0).select(df.columns)
+    rows = written(rows.select("row", named("o0").alias("y"), named("o1").alias("z"), *place), "ranked-rows")
+    counts = rows.groupBy("y", "z", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("y", "z").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = written(counts.select("y", "z", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")), "strata-of-ranges")
+    rank = F.col("place") + F.col("shift") + 1
+    return rows.join(counts, ["y", "z", "part"]).filter(rank % step == 0).select("row.*")
 
 
 def sample(df: DataFrame, strategy: str = "none", rate: float = 0.1) -> DataFrame:

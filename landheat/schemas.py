@@ -37,3 +37,6 @@ REQUIRED_ASSETS = ("B4", "B5", "B6", "QA_PIXEL", "ST_B10")
 MATRIX_BASE = ["tile_id", "lat", "lon", "year", "doy", "lulc_class_encoded", "zoning_category_encoded", "ndvi", "ndbi", "lst"]
 MATRIX_EXTRA = ["pv", "eps10", "eps11", "bt10", "bt11", "bt10_minus_bt11", "has_thermal_split"]
 MATRIX_REQUIRED = ["lon", "lat", "ndvi", "lst", "split", "year", "doy"]
+
+#: Rows of a page of written tables: what a condition on the coordinates reads or skips at once.
+PAGE_ROWS = 2048

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landheat.schemas import PIXEL_LONG
+from landheat.functions.indices import morton
+from landheat.schemas import PAGE_ROWS, PIXEL_LONG
 
 EARLIEST_MS = 1_600_000_000_000
 
@@ -18,10 +19,12 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 def write_pixels(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per scene. With mode "overwrite" only the scenes at hand are replaced.
 
-    Adaptive execution cuts large scenes into tasks by size.
+    Adaptive execution cuts large scenes into tasks by size. Rows of a file follow the Morton code of their place, and
+    pages are short, so a box of coordinates reads just the pages about it.
     """
-    rows = df.hint("rebalance", "tile_id")
-    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").option("compression", "snappy").parquet(path)
+    rows = df.hint("rebalance", "tile_id").sortWithinPartitions("tile_id", morton(F.col("lon"), F.col("lat")), "band")
+    rows = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tile_id")
+    rows.option("compression", "snappy").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
 def read_check(df: DataFrame, least_rows: int = 1000) -> DataFrame:
