@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landheat.functions import geometry, indices
-from landheat.operators import encode, filters, matrix, report, spatial
+from landheat.ml import train as ml
+from landheat.operators import encode, filters, matrix, report, spatial, split
 from landheat.plans import pipelines, queries as q, tables as t
 from landheat.plans.queries import query
 from landheat.sources import osm, pixels, raster, scenes, zones as zone_files
@@ -303,3 +304,44 @@ def reprocessed_scenes(spark, sf_dir):
     old = F.col("value") == -1.5
     rows = pixels.read_pixels(spark, out).groupBy("tile_id").agg(F.count_if(~old).alias("decoded"), F.count_if(old).alias("kept"), F.sum(F.when(old, F.col("value")).otherwise(0.0)).alias("marks"))
     return rows.withColumn("marks", indices.rounded(F.col("marks"), 1))
+
+
+# --- splits, features and reports over stored tables ------------------------------------------------------------------
+
+
+@query(f"{q._KEPT}, n AS (SELECT count(*) AS n, floor(count(*) * 0.8)::BIGINT AS train FROM kept) SELECT train, n - train AS test, greatest(1, floor(train * 0.15)::BIGINT) AS validation FROM n")
+def exact_shares(spark, sf_dir):
+    """Four fifths of the rows for training, and of these 15 % held out, to the row."""
+    rows = split.shuffled_split(q._stored_matrix(spark, sf_dir), ["tile_id", "lat", "lon", "year", "doy"])
+    rows = split.with_validation(rows, ["tile_id", "lat", "lon", "year", "doy"])
+    mark = F.col("split")
+    return rows.agg(F.count_if(mark == "train").alias("train"), F.count_if(mark == "test").alias("test"), F.count_if("is_val").alias("validation"))
+
+
+_FEATURES = ("B10_TIR", "B11_TIR", "B2_Blue", "B3_Green", "B4_Red", "B5_NIR", "B6_SWIR1", "eps10", "eps11", "lat", "lon", "lulc_class_encoded", "ndbi", "ndvi", "pv", "zoning_category_encoded")
+
+
+@query(f"{q._KEPT} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known FROM kept" for c in _FEATURES))
+def model_features(spark, sf_dir):
+    """The numeric columns of the matrix that neither leak the target nor mark rows, and how often each is known."""
+    rows = q._matrix(spark, sf_dir)
+    names = ml.feature_names(rows)
+    counts = rows.agg(*(F.count(c).alias(c) for c in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("known")) for c in names))).alias("f")).select("f.*")
+
+
+@query(q.ORACLE_SQL["regression_metrics"])
+def metrics_files(spark, sf_dir):
+    """Metrics written as JSON and read back."""
+    path, found = folder(spark, "metrics"), q.QUERIES["regression_metrics"](spark, sf_dir)
+    pixels.write_metrics(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
+@query(f"WITH {t.PIXELS_SQL} SELECT tile_id, count(*) AS n, TRUE AS listed FROM pixels GROUP BY tile_id")
+def file_inventory(spark, sf_dir):
+    """The files of a pixel table by name and size; each scene's rows lie in files that are listed."""
+    path = pixel_folder(spark, sf_dir)
+    files = pixels.file_inventory(spark, path).filter("mb > 0").select("file_name", F.lit(True).alias("listed")).distinct()
+    rows = pixels.read_pixels(spark, path).groupBy("tile_id", F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(files, "file_name", "left").groupBy("tile_id").agg(F.sum("n").alias("n"), F.bool_and(F.coalesce("listed", F.lit(False))).alias("listed"))

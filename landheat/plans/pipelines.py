@@ -10,6 +10,7 @@ from landheat.functions import thermal as formulas
 from landheat.ml import train as ml
 from landheat.operators import analysis, encode, filters, matrix, pivot, report, sample, spatial, split, thermal
 from landheat.sources import osm, pixels, raster, scenes, vector, zones
+from landheat.sources.shared import written
 
 
 #: Variables that the analysis takes from a matrix, where it has them.
@@ -86,7 +87,7 @@ def quick_run(spark: SparkSession, pixel_path: str, cfg: Config = Config(), trai
     rows = pivot.with_indices(pivot.pivot_bands(pixels.read_pixels(spark, pixel_path), keys=keys))
     bt = formulas.brightness_temperature(F.col("B10_TIR"), F.lit(cfg.k1_10), F.lit(cfg.k2_10))
     rows = rows.withColumn("bt10", bt).withColumn("lst", formulas.quick_single_channel(F.col("bt10"), F.col("ndvi"), cfg))
-    rows = filters.has_target(split.shuffled_split(rows, keys))
+    rows = filters.has_target(split.shuffled_split(written(rows, "quick-run"), keys))
     features = filters.numeric_features(rows.drop("B10_TIR", "ST_B10"))
     rows = filters.complete(rows, ["ndvi", "bt10"])
     known = [f for f in features if f not in ("lat", "lon")] + ["lat", "lon"]
