@@ -13,6 +13,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ class Finder:
 @lru_cache(2)
 def finder(sent) -> Finder:
     """One per broadcast vocabulary for all tasks of a Python worker."""
-    return Finder(sent.value)
+    return Finder(sent.value.to_pylist())
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +106,15 @@ class Examples:
     counts: np.ndarray
 
     @classmethod
-    def of(cls, found: pa.Table) -> tuple["Examples", list[str]]:
-        """Examples and the vocabulary, all of their terms, from (doc_id, toxic, fingerprint, terms, counts) by doc_id."""
+    def of(cls, found: pa.Table) -> tuple["Examples", pa.Array]:
+        """Examples and the vocabulary, all of their terms in order, from (doc_id, toxic, fingerprint, terms, counts) by doc_id."""
         lists, counts = (found[c].combine_chunks() if len(found) else pa.array([], found.schema.field(c).type) for c in ("terms", "counts"))
         lists, counts = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in (lists, counts))
         counts = counts.flatten().to_numpy()
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
-        order = sorted(range(len(names)), key=names.__getitem__)
-        place = np.empty(len(names), np.int32)
-        place[order] = np.arange(len(names))
+        order = pc.sort_indices(words.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy()] = np.arange(len(order))
         every = place[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
         ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
         ids, toxic, groups = found["doc_id"].to_pylist(), found["toxic"].to_pylist(), copy_groups(found["fingerprint"].to_numpy())
@@ -135,7 +135,7 @@ class Examples:
         return cls(
             [ids[i] for i in first], np.array([np.mean(x) for x in labels]), np.array([len(x) for x in labels], float), groups[first] if first else none,
             np.cumsum([0, *(len(t) for t, _ in vectors)]), np.concatenate([t for t, _ in vectors]) if vectors else none, np.concatenate([n for _, n in vectors]) if vectors else none,
-        ), [names[k] for k in order]
+        ), words.dictionary.take(order)
 
     def shares(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each of the examples `which` counts as a toxic one and as another; a group of near-copies counts 1."""
@@ -361,7 +361,7 @@ class ToxicityModel:
         points = calibration(votes["vote"].to_numpy(), (rows_for[0] / (rows_for[0] + rows_for[1]))[at] if len(at) else at, weigh[at] if len(at) else at, prior)
         z, n = own.standard_errors(len(terms), every)
         telling = np.flatnonzero((np.abs(z) >= LEAST_Z) & (n >= LEAST_DOCS - 1e-9))
-        return cls(vocab, weight, own.indexed(weight, every), prior, points, tuple("=" + terms[j] for j in telling), k)
+        return cls(vocab, weight, own.indexed(weight, every), prior, points, tuple("=" + x for x in terms.take(pa.array(telling)).to_pylist()), k)
 
     def sent(self, spark: SparkSession):
         return spark.sparkContext.broadcast((self.weight, self.index, self.prior, self.points, self.k))
