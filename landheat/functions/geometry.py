@@ -132,28 +132,30 @@ def inside_near(parts: Column, x: Column, y: Column) -> Column:
     return F.exists(parts, inside)
 
 
-def crosses_itself(ring: Column) -> Column:
-    """True where two edges of the closed ring cross, or touch other than neighbours do at their vertex.
+def numbered_edges(ring: Column) -> Column:
+    """Edges a, b of the closed ring with their number i."""
+    return F.transform(edges(closed(ring)), lambda e, i: F.named_struct(F.lit("a"), e.a, F.lit("b"), e.b, F.lit("i"), i))
 
-    Every edge is held against all later ones, so the work grows with the square of the ring's edges.
-    """
-    own = F.transform(edges(closed(ring)), lambda e, i: F.struct(e.a.alias("a"), e.b.alias("b"), i.alias("i")))
-    n = F.size(own)
+
+def edges_cross(e: Column, f: Column, n: Column) -> Column:
+    """True where two of a ring's n numbered edges, e before f, cross, or touch other than neighbours do at their vertex."""
     side = lambda p, q, r: F.signum((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x))
     within = lambda p, q, r: r.x.between(F.least(p.x, q.x), F.greatest(p.x, q.x)) & r.y.between(F.least(p.y, q.y), F.greatest(p.y, q.y))
-
-    def meet(e: Column, f: Column) -> Column:
-        s = [side(e.a, e.b, f.a), side(e.a, e.b, f.b), side(f.a, f.b, e.a), side(f.a, f.b, e.b)]
-        touch = ((s[0] == 0) & within(e.a, e.b, f.a)) | ((s[1] == 0) & within(e.a, e.b, f.b)) | ((s[2] == 0) & within(f.a, f.b, e.a)) | ((s[3] == 0) & within(f.a, f.b, e.b))
-        return ((s[0] * s[1] < 0) & (s[2] * s[3] < 0)) | touch
+    s = [side(e.a, e.b, f.a), side(e.a, e.b, f.b), side(f.a, f.b, e.a), side(f.a, f.b, e.b)]
+    touch = ((s[0] == 0) & within(e.a, e.b, f.a)) | ((s[1] == 0) & within(e.a, e.b, f.b)) | ((s[2] == 0) & within(f.a, f.b, e.a)) | ((s[3] == 0) & within(f.a, f.b, e.b))
+    meet = ((s[0] * s[1] < 0) & (s[2] * s[3] < 0)) | touch
 
     def back(e: Column, f: Column) -> Column:  # neighbours: the later one turns back onto the earlier
         return (side(e.a, e.b, f.b) == 0) & ((e.b.x - e.a.x) * (f.b.x - f.a.x) + (e.b.y - e.a.y) * (f.b.y - f.a.y) < 0)
 
-    def pair(e: Column, f: Column) -> Column:
-        return F.when(f.i == e.i + 1, back(e, f)).when((e.i == 0) & (f.i == n - 1), back(f, e)).otherwise(meet(e, f))
+    return F.when(f.i == e.i + 1, back(e, f)).when((e.i == 0) & (f.i == n - 1), back(f, e)).otherwise(meet)
+
 
-    return F.exists(own, lambda e: F.exists(F.slice(own, e.i + 2, n), lambda f: pair(e, f)))
+def crosses_itself(ring: Column) -> Column:
+    """True where two edges of the closed ring cross or touch (see edges_cross): each edge is held against all later ones."""
+    own = numbered_edges(ring)
+    n = F.size(own)
+    return F.exists(own, lambda e: F.exists(F.slice(own, e.i + 2, n), lambda f: edges_cross(e, f, n)))
 
 
 def contains(polygons: Column, x: Column, y: Column) -> Column:

@@ -167,13 +167,59 @@ def kept_zones(judged: DataFrame) -> DataFrame:
     return dedup_zones(rows.select(number.alias("zone_id"), "zoning_category", "polygons"))
 
 
+def crossing_rings(rings: DataFrame) -> DataFrame:
+    """The keys of rings (key, points) that cross or touch themselves.
+
+    A ring's edges are dealt to a grid over its box, with about as many cells as edges; only edges of one cell are held
+    against each other, in a join on ring and cell. So the work grows with the edges, not with their square, and a
+    ring of any size is dealt over many tasks.
+    """
+    e = rings.select("key", F.explode(g.numbered_edges(F.col("points"))).alias("e"))
+    low, high = (lambda v: F.least(f"e.a.{v}", f"e.b.{v}")), (lambda v: F.greatest(f"e.a.{v}", f"e.b.{v}"))
+    boxes = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(low("x")).alias("x0"), F.min(low("y")).alias("y0"), F.greatest(F.max(high("x")) - F.min(low("x")), F.max(high("y")) - F.min(low("y"))).alias("span"))
+    boxes = boxes.withColumn("side", F.greatest(F.col("span") / F.sqrt("n"), F.lit(1e-12)))
+    e = e.join(boxes, "key")
+    hair = F.col("side") * 1e-6
+    column = lambda x: F.floor((x - F.col("x0")) / F.col("side"))
+    e = e.withColumn("ix", F.explode(F.sequence(column(low("x") - hair), column(high("x") + hair))))
+    # the heights of the edge within a column of cells
+    slope = F.try_divide(F.col("e.b.y") - F.col("e.a.y"), F.col("e.b.x") - F.col("e.a.x"))
+    left = F.greatest(low("x"), F.col("x0") + F.col("ix") * F.col("side") - hair)
+    right = F.least(high("x"), F.col("x0") + (F.col("ix") + 1) * F.col("side") + hair)
+    at = [F.coalesce(F.col("e.a.y") + (x - F.col("e.a.x")) * slope, y) for x, y in ((left, low("y")), (right, high("y")))]
+    row = lambda y: F.floor((y - F.col("y0")) / F.col("side"))
+    span = F.sequence(row(F.greatest(F.least(*at), low("y")) - hair), row(F.least(F.greatest(*at), high("y")) + hair))
+    cells = written(e.select("key", "n", "e", "ix", F.explode(span).alias("iy")), "ring-edges")
+    a, b = cells.alias("a"), cells.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "ix", "iy")]
+    pairs = a.join(b, on[0] & on[1] & on[2] & (F.col("a.e.i") < F.col("b.e.i")) & g.edges_cross(F.col("a.e"), F.col("b.e"), F.col("a.n")))
+    return pairs.select("a.key").distinct()
+
+
+#: Edges up to which a ring is tested within its row.
+FEW_RING_EDGES = 64
+
+
 def crossing_counts(zones: DataFrame) -> DataFrame:
     """(zoning_category, polygons, crossing): polygons, and those of them with a ring that crosses itself.
 
     Such polygons are counted, not rebuilt; a point is inside them where an odd number of edges lies to its right.
+    Rings of few edges are tested within their row, longer ones by crossing_rings.
     """
-    rows = split_polygons(zones).select("zoning_category", F.exists(F.element_at("polygons", 1), g.crosses_itself).alias("crosses"))
-    return rows.groupBy("zoning_category").agg(F.count(F.lit(1)).alias("polygons"), F.count_if("crosses").alias("crossing"))
+    few = lambda r: F.size(r) <= FEW_RING_EDGES
+    rings = F.element_at("polygons", 1)
+    rows = split_polygons(zones).select("zoning_category", F.exists(rings, lambda r: few(r) & g.crosses_itself(r)).alias("crosses"), F.filter(rings, lambda r: ~few(r)).alias("long"))
+    long = rows.filter(~F.col("crosses") & (F.size("long") > 0)).select(F.explode("long").alias("points"))
+    named = F.sha2(F.to_json("points"), 256)  # rings of the same shape cross alike
+    found = crossing_rings(long.select(named.alias("key"), "points").dropDuplicates(["key"]))
+    keys = F.transform("long", lambda r: F.sha2(F.to_json(r), 256))
+    own = rows.withColumn("keys", keys).drop("long")
+    plain = own.filter(F.size("keys") == 0).select("zoning_category", F.col("crosses").cast("int").alias("crosses"))
+    joined = written(own.filter(F.size("keys") > 0).withColumn("id", F.monotonically_increasing_id()), "long-rings")
+    tested = joined.select("id", "zoning_category", "crosses", F.explode("keys").alias("key")).join(found.withColumn("hit", F.lit(True)), "key", "left")
+    tested = tested.groupBy("id", "zoning_category").agg(F.max(F.greatest(F.col("crosses").cast("int"), F.coalesce(F.col("hit"), F.lit(False)).cast("int"))).alias("crosses"))
+    every = plain.unionByName(tested.select("zoning_category", "crosses"))
+    return every.groupBy("zoning_category").agg(F.count(F.lit(1)).alias("polygons"), F.sum("crosses").cast("long").alias("crossing"))
 
 
 def reason_counts(judged: DataFrame) -> DataFrame:

@@ -62,3 +62,51 @@ def test_cells_grow_with_edges_not_with_area(spark):
     assert n < 2 * 20_000 and edges < 20 * 20_000
     assert spatial.zone_cover(spark.createDataFrame([], ZONE)).count() == 0
     assert spatial.join_zones(spark.createDataFrame([(1.0, 1.0)], "lon double, lat double"), spark.createDataFrame([], ZONE)).collect()[0].zone_id is None
+
+
+def plain_crossing(points):
+    """Every pair of edges of a closed ring, in exact whole numbers."""
+    n = len(points) - 1
+    edges = [(points[i], points[i + 1]) for i in range(n)]
+    side = lambda p, q, r: (lambda v: (v > 0) - (v < 0))((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    within = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
+
+    def hit(e, f):
+        (a, b), (c, d) = e, f
+        s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        return s[0] * s[1] < 0 and s[2] * s[3] < 0 or any(x == 0 and within(*y) for x, y in zip(s, ((a, b, c), (a, b, d), (c, d, a), (c, d, b))))
+
+    return any(hit(edges[i], edges[j]) for i in range(n) for j in range(i + 2, n) if not (i == 0 and j == n - 1))
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_crossing_rings_match_every_pair(spark, monkeypatch, few):
+    monkeypatch.setattr(spatial, "FEW_RING_EDGES", few)
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for k in range(60):
+        n = int(rng.integers(4, 90))
+        at = np.arange(n) / n * 2 * math.pi
+        points = [(int(1000 * r * math.cos(a)), int(1000 * r * math.sin(a))) for a, r in zip(at, 800 + 100 * rng.random(n))]
+        if k % 3 == 0:
+            i, j = sorted(rng.choice(n, 2, replace=False))
+            points[i], points[j] = points[j], points[i]
+        points.append(points[0])
+        rows.append((k, f"c{k % 5}", [[[{"x": float(x), "y": float(y)} for x, y in points]]]))
+        own = want.setdefault(f"c{k % 5}", [0, 0])
+        own[0] += 1
+        own[1] += plain_crossing(points)
+    rows.append((7, "c0", rows[3][2]))  # another zone's shape, and a repeated id
+    want["c0"][0] += 1
+    want["c0"][1] += plain_crossing([(p["x"], p["y"]) for p in rows[3][2][0][0]])
+    got = spatial.crossing_counts(spark.createDataFrame(rows, ZONE)).collect()
+    assert {r.zoning_category: [r.polygons, r.crossing] for r in got} == want
+
+
+def test_a_ring_of_100_000_edges(spark):
+    at = np.arange(100_000) / 100_000 * 2 * math.pi
+    points = [(80 + r * math.cos(a), 13 + r * math.sin(a)) for a, r in zip(at, 5 + np.sin(7 * at))]
+    tied = [*points[:50_000], points[50_001], points[50_000], *points[50_002:]]
+    rows = [(1, "smooth", [[ring(points)]]), (2, "tied", [[ring(tied)]])]
+    got = spatial.crossing_counts(spark.createDataFrame(rows, ZONE)).collect()
+    assert {r.zoning_category: (r.polygons, r.crossing) for r in got} == {"smooth": (1, 0), "tied": (1, 1)}
