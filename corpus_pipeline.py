@@ -15,7 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go.
 
     Null and empty texts have the labels' prior share as score and stay; each row is judged by its own text, whatever
-    rows share its id; an empty table stays empty; further columns are kept.
+    rows share its id, and repeated rows alike; examples that are equally near count in a fixed order; a text of any
+    length is judged whole; an empty table stays empty; further columns are kept.
     """
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
@@ -23,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; rows without an id count as the last.
 
-    Rows that share an id are judged each by its own text; null and empty texts are one group; rows that repeat leave
-    one; an empty table stays empty; further columns are kept.
+    Rows that share an id are judged each by its own text, and of those that tie the one with the smallest hash of its
+    text, then the smallest values, stays; null and empty texts are one group; rows that repeat leave one; a text of any
+    length has one fingerprint; an empty table stays empty; further columns are kept.
     """
     return simhash.deduplicated(docs, keep_unnamed=False)
 
@@ -32,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark, and n_chars follows; no document goes.
 
-    Null texts stay null; rows that repeat are masked alike; an empty table stays empty; further columns are kept.
+    Null texts stay null; rows that repeat are masked alike, and spans that overlap by one mark; a text of any length is
+    scanned whole; an empty table stays empty; further columns are kept, whatever their names.
     """
     return secrets.masked(docs)
 
@@ -40,8 +43,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a row per document and pass, with the words that were drawn.
 
-    Rows without words do not appear, null sources are one source, repeated rows are documents of their own; an empty
-    table mixes to nothing; further columns are kept.
+    Rows without words do not appear, null sources are one source, repeated rows are documents of their own; rows that
+    tie in id and text take adjoining places in no fixed order, which changes no sum; a long text is cut into blocks like
+    any other; an empty table mixes to nothing; further columns are kept, whatever their names.
     """
     return mixing.Mix(docs).documents(docs)
 
