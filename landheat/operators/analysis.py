@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers up to 2 ** 18 are added up in steps of 2 ** -44: the last bit of doubles from 256 on.
+STEP_BITS, MOST_EXACT = 44, float(1 << 18)
+
+
+def exact_mean(x: Column) -> Column:
+    """The mean by a sum of whole steps, so that it does not depend on the order of rows; plain where a number is out of range."""
+    fits = F.abs(x) < MOST_EXACT
+    steps = F.when(fits, (x * float(1 << STEP_BITS))).cast("long").cast("decimal(20,0)")
+    mean = F.sum(steps).cast("double") / float(1 << STEP_BITS) / F.count(x)
+    return F.when(F.count_if(~fits) > 0, F.avg(x)).when(F.count(x) > 0, mean)
+
 
 def gridded_mean(df: DataFrame, value: str, box: tuple[float, float, float, float], size: int = 250) -> DataFrame:
     """(year, ix, iy, mean, n) on a size x size grid over the box; rows without a year are the means over all years.
@@ -63,9 +74,9 @@ def yearly_trend(df: DataFrame, value: str, least: int = 2) -> DataFrame:
 
 
 def composite(df: DataFrame, years: tuple[int, int], keys: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
-    """Means per pixel over a range of years: bt10, bt11 and their difference."""
+    """Means per pixel over a range of years: bt10, bt11 and their difference; the same in any order of rows."""
     rows = df.filter(F.col("year").between(*years))
-    return rows.groupBy(*keys).agg(F.avg("bt10").alias("bt10"), F.avg("bt11").alias("bt11"), F.avg(F.col("bt10") - F.col("bt11")).alias("difference"))
+    return rows.groupBy(*keys).agg(exact_mean(F.col("bt10")).alias("bt10"), exact_mean(F.col("bt11")).alias("bt11"), exact_mean(F.col("bt10") - F.col("bt11")).alias("difference"))
 
 
 def representative_scene(scenes: DataFrame, most_cloud: float = 20.0, time: str = "acquired") -> DataFrame:

@@ -1,5 +1,8 @@
 """What must hold whatever the data: equal results of two ways, of any partitioning, and the plans that scale."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,16 @@ def test_written_tables_can_be_cleared(spark):
 
     rows = shared.written(spark.range(3), "some")
     assert rows.count() == 3 and os.path.isdir(shared.written_folder(spark))
+
+
+def test_composite_in_any_order(spark):
+    """Means per pixel are sums without rounding, divided once."""
+    rng = random.Random(7)
+    rows = [(i % 40 * 1.0, 80.0, 2000, round(rng.uniform(280, 300), 4), round(rng.uniform(280, 300), 4)) for i in range(560)]
+    df = spark.createDataFrame(rows, "lat double, lon double, year int, bt10 double, bt11 double")
+    got = {r.lat: (r.bt10, r.bt11, r.difference) for r in analysis.composite(df, (2000, 2000)).collect()}
+    for lat, found in got.items():
+        own = [r for r in rows if r[0] == lat]
+        assert found == tuple(math.fsum(v) / len(own) for v in ([r[3] for r in own], [r[4] for r in own], [r[3] - r[4] for r in own]))
+    out = df.limit(2).withColumn("bt10", F.lit(1e9)).withColumn("bt11", F.lit(None).cast("double"))
+    assert {(r.bt10, r.bt11) for r in analysis.composite(out, (2000, 2000)).collect()} == {(1e9, None)}
