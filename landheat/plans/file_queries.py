@@ -29,7 +29,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def write_documents(df: DataFrame, path: str) -> None:
     """(part, value): each value as a file of its own, as the readers of multi-line JSON expect."""
-    df.select("part", "value").write.partitionBy("part").text(path)
+    df.select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def write_collections(features: DataFrame, path: str) -> None:

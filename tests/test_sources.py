@@ -135,6 +135,19 @@ def test_scene_metadata(spark, scene_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "m")).select("band_files.B4").first()[0] == "B4.tif"
 
 
+def test_scene_metadata_in_few_files(spark, tmp_path):
+    """Files are as many as tasks, not scenes; beside them sidecars and folders of earlier writes are read."""
+    rows = spark.range(300, numPartitions=3).select(F.concat(F.lit("S"), "id").alias("scene_id"), F.create_map(F.lit("B4"), F.lit("x")).alias("band_files"), F.lit(1.5).alias("k1_constant_band_10"))
+    scenes.write_scene_metadata(rows, str(tmp_path))
+    assert len(list(tmp_path.rglob("*.json"))) <= 3
+    for name, file in (("T", "scene_metadata.json"), ("scene=U", "part-0.json")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / file).write_text(json.dumps({"scene_id": name}, indent=1 if name == "T" else None))
+    meta = scenes.read_scene_metadata(spark, str(tmp_path)).collect()
+    assert sorted(r.scene_id for r in meta) == sorted([*(f"S{k}" for k in range(300)), "T", "scene=U"])
+    assert {r.band_files["B4"] for r in meta if r.band_files} == {"B4.tif"}
+
+
 GEOJSON = {
     "type": "FeatureCollection",
     "features": [
