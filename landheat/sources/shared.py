@@ -41,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks, before work that costs far more than moving them: a small file is one task otherwise."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder, on whatever file system it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from landheat.functions.geometry import vertex_mean
 from landheat.operators.filters import finite
 from landheat.schemas import PIXEL_LONG
+from landheat.sources.shared import spread
 from landheat.sources.zones import outer_points
 
 # Property names that may hold a land class, in order of preference.
@@ -35,7 +36,9 @@ def _records(rows: DataFrame) -> DataFrame:
 
 def geojson_records(features: DataFrame, source: str) -> DataFrame:
     """Features (see read_features) as records `<source>_<feature>`; geometries without points are skipped."""
-    rows = features.withColumn("c", vertex_mean(outer_points(F.col("kind"), F.col("coordinates")))).filter("c is not null")
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  what is generated is not put into each of its uses again
+    rows = spread(features).withColumn("points", once(outer_points(F.col("kind"), F.col("coordinates"))))
+    rows = rows.withColumn("c", once(vertex_mean(F.col("points")))).filter("c is not null")
     return _records(rows.select(F.concat(F.lit(f"{source}_"), "feature").alias("tile_id"), "c.x", "c.y", class_label(F.col("properties")).alias("label")))
 
 
