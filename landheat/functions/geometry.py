@@ -153,9 +153,8 @@ def edges_cross(e: Column, f: Column, n: Column) -> Column:
 
 def crosses_itself(ring: Column) -> Column:
     """True where two edges of the closed ring cross or touch (see edges_cross): each edge is held against all later ones."""
-    own = numbered_edges(ring)
-    n = F.size(own)
-    return F.exists(own, lambda e: F.exists(F.slice(own, e.i + 2, n), lambda f: edges_cross(e, f, n)))
+    crosses = lambda own: F.exists(own, lambda e: F.exists(F.slice(own, e.i + 2, F.size(own)), lambda f: edges_cross(e, f, F.size(own))))
+    return F.exists(F.array(numbered_edges(ring)), crosses)  # the edges as a variable, made once
 
 
 def contains(polygons: Column, x: Column, y: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landheat.functions import geometry as g
-from landheat.sources.shared import written
+from landheat.sources.shared import spread, written
 
 #: Side of the smallest grid cells in degrees, and bytes of a zone cover that are sent to all executors.
 CELL, MOST_BYTES = 0.0005, 64 << 20
@@ -153,10 +153,10 @@ def drop_reason(polygons: Column, most_km2: float = g.MOST_AREA_KM2) -> Column:
 
 def clipped_zones(zones: DataFrame, box: tuple[float, float, float, float], most_km2: float = g.MOST_AREA_KM2) -> DataFrame:
     """Zones cut to the box, one polygon a row, with `reason` for those to drop."""
-    whole = repaired(zones)
-    cut = g.clipped(whole, box)
-    gone = cut.filter(F.size("polygons") == 0).select("zone_id", "zoning_category", F.lit(0).alias("part"), "polygons")
-    rows = split_polygons(cut).unionByName(gone)
+    cut = g.clipped(repaired(spread(zones)), box).filter("polygons is not null")
+    rows = cut.select("zone_id", "zoning_category", F.posexplode_outer("polygons").alias("part", "rings"), F.slice("polygons", 1, 0).alias("none"))
+    polygons = F.when(F.col("rings").isNull(), F.col("none")).otherwise(F.array("rings"))
+    rows = rows.select("zone_id", "zoning_category", F.coalesce("part", F.lit(0)).alias("part"), polygons.alias("polygons"))
     return rows.withColumn("reason", drop_reason(F.col("polygons"), most_km2))
 
 
@@ -208,7 +208,8 @@ def crossing_counts(zones: DataFrame) -> DataFrame:
     """
     few = lambda r: F.size(r) <= FEW_RING_EDGES
     rings = F.element_at("polygons", 1)
-    rows = split_polygons(zones).select("zoning_category", F.exists(rings, lambda r: few(r) & g.crosses_itself(r)).alias("crosses"), F.filter(rings, lambda r: ~few(r)).alias("long"))
+    tested = split_polygons(spread(zones)).select("zoning_category", F.exists(rings, lambda r: few(r) & g.crosses_itself(r)).alias("crosses"), F.filter(rings, lambda r: ~few(r)).alias("long"))
+    rows = written(tested, "tested-rings")  # read three times
     long = rows.filter(~F.col("crosses") & (F.size("long") > 0)).select(F.explode("long").alias("points"))
     named = F.sha2(F.to_json("points"), 256)  # rings of the same shape cross alike
     found = crossing_rings(long.select(named.alias("key"), "points").dropDuplicates(["key"]))

@@ -1,9 +1,12 @@
 """What must hold whatever the data: equal results of two ways, of any partitioning, and the plans that scale."""
 
 import math
+import pathlib
 import random
 
 import pytest
+
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from landheat.config import Config
@@ -182,3 +185,22 @@ def test_composite_in_any_order(spark):
         assert found == tuple(math.fsum(v) / len(own) for v in ([r[3] for r in own], [r[4] for r in own], [r[3] - r[4] for r in own]))
     out = df.limit(2).withColumn("bt10", F.lit(1e9)).withColumn("bt11", F.lit(None).cast("double"))
     assert {(r.bt10, r.bt11) for r in analysis.composite(out, (2000, 2000)).collect()} == {(1e9, None)}
+
+
+@pytest.mark.parametrize("name, heavy", [("vector_records", "from_json"), ("clip_reasons", "MapInArrow")])
+def test_heavy_work_is_dealt_over_tasks(spark, name, heavy):
+    """Rows of one small file are shuffled once, before what costs most; cut zones are cut once."""
+    lines = plan(entry.queries()[name](spark, SF)).splitlines()
+    spread = [k for k, line in enumerate(lines) if "REPARTITION_BY_NUM" in line]
+    work = [k for k, line in enumerate(lines) if heavy in line]
+    assert len(spread) == 1 and work and min(work) < spread[0]
+    assert heavy != "MapInArrow" or len(work) == 1
+
+
+def test_rings_are_tested_once_over_tasks(spark):
+    """What tells rings that cross themselves is written once, by several tasks, though the parts come as one."""
+    folder = pathlib.Path(shared.written_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("tested-rings-*"))
+    entry.queries()["crossing_rings"](spark, SF).collect()
+    (made,) = set(folder.glob("tested-rings-*")) - before
+    assert len(list(made.glob("*.parquet"))) > 1
