@@ -1,12 +1,14 @@
 """Gradient-boosted regression trees over binned features: L1 and L2 terms, a default side for missing values.
 
-Rows are binned once and stored in blocks of columns. Each level of a tree is one job: tasks add up the gradients of
-their rows per (node, feature, bin), Spark adds these up, and the driver, which sees no rows, picks the splits. Sums
-are of whole numbers, so the trees do not depend on how the rows are partitioned.
+Rows are binned once and stored in blocks of columns. Tasks add up the gradients of their rows per (node, feature, bin),
+and the sums of all tasks pick the splits. Sums are of whole numbers, so the trees do not depend on how the rows are
+partitioned. Where the rows fit few tasks that can run at once, these grow many trees in one barrier stage and tell each
+other their sums; else each level of a tree is one job, and the driver, which sees no rows, picks the splits.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
 from collections.abc import Iterator
@@ -16,6 +18,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,11 @@ from landheat.sources.shared import removed, table_path
 BINS = 256
 #: Rows of a block, and rounds after which the predictions so far are stored with the blocks.
 BLOCK_ROWS, STORED_ROUNDS = 1 << 16, 10
+#: Rounds of a barrier stage, and rows that one of its tasks keeps at most.
+STAGE_ROUNDS, STAGE_ROWS = 50, 1 << 22
+#: A barrier stage has as many tasks as the cube root of the rows over this: each task reads the sums of all, so what
+#: is told grows with the square of their number, while the work of a task falls with it.
+TOLD_ROWS = 60_000
 #: Tasks whose sums the driver adds up itself, as few as they are; those of more are added up in a shuffle.
 FEW_TASKS = 4
 #: Relative error of the quantiles that the edges are taken at.
@@ -32,7 +40,10 @@ ACCURACY = 10_000
 #: A split has to gain more than this.
 LEAST_GAIN = 1e-9
 
+BLOCK_ARROW = [("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "target", "so_far", "mark", "held"))]
 BLOCK = "n int, bins binary, target binary, so_far binary, mark binary, held binary"
+#: Blocks after a barrier stage, and one row with its trees and errors instead of a block.
+GROWN = f"{BLOCK}, told string"
 SUMS = "node int, feature int, bin int, gradient long, rows long"
 
 
@@ -68,10 +79,10 @@ class Tree:
                 column.append(v)
         return self.child[node]
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """The node that each row, a column of bins, ends in."""
+    def nodes(self, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """The node that each row, a column of bins, ends in; from the root, or from the nodes of `start`."""
         feature, at, child, missing = (np.array(x) for x in (self.feature, self.bin, self.child, self.missing_left))
-        node, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+        node, rows = np.zeros(bins.shape[1], np.int64) if start is None else start.copy(), np.arange(bins.shape[1])
         while len(rows := rows[feature[node[rows]] >= 0]):
             own = node[rows]
             b = bins[feature[own], rows]
@@ -99,6 +110,16 @@ def sampled(mark: np.ndarray, seed: int, round_: int, share: float) -> np.ndarra
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) < share * 2.0**53
 
 
+def summed(bins: np.ndarray, columns: list[int], rows: np.ndarray, place: np.ndarray, whole: np.ndarray, n: int) -> np.ndarray:
+    """(gradient and count, feature, place, bin) of the named rows, each with its place of n and its gradient."""
+    out, base = np.empty((2, len(columns), n * BINS), np.int64), place * BINS
+    for k, f in enumerate(columns):
+        at = base + bins[f, rows]
+        out[0, k] = np.bincount(at, weights=whole, minlength=n * BINS)
+        out[1, k] = np.bincount(at, minlength=n * BINS)
+    return out.reshape(2, len(columns), n, BINS)
+
+
 class Block:
     """A stored block as arrays."""
 
@@ -111,6 +132,14 @@ class Block:
     def after(self, trees: list[Tree]) -> np.ndarray:
         return sum((t.values(self.bins) for t in trees), self.so_far)
 
+    def wrong(self, error: np.ndarray) -> np.ndarray:
+        """Squared error of the rows held out, in whole numbers, and their number."""
+        own = error[self.held]
+        return np.array([int(np.rint(own * own * 65536.0).sum()), len(own)], np.int64)
+
+    def learned(self, round_: int, cfg: BoostConfig) -> np.ndarray:
+        return ~self.held & sampled(self.mark, cfg.seed, round_, cfg.subsample)
+
 
 def _as_blocks(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray], base: float) -> Iterator[pa.RecordBatch]:
     """Columns of features, then target, mark and held, in blocks; batches are gathered up to a block's rows."""
@@ -123,7 +152,7 @@ def _as_blocks(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray], base:
         target, mark, out = column(len(edges)).astype("<f8"), column(len(edges) + 1).astype("<i8"), column(len(edges) + 2).astype(np.bool_)
         row = {"n": len(t), "bins": bins.tobytes(), "target": target.tobytes(), "so_far": np.full(len(t), base).tobytes(), "mark": mark.tobytes(), "held": out.tobytes()}
         held.clear()
-        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("n", pa.int32()), *((c, pa.binary()) for c in ("bins", "target", "so_far", "mark", "held"))]))
+        return pa.RecordBatch.from_pylist([row], schema=pa.schema(BLOCK_ARROW))
 
     for batch in batches:
         for k in range(0, batch.num_rows, BLOCK_ROWS):
@@ -163,27 +192,28 @@ class Level:
     cfg: BoostConfig
 
 
+def places(tree: Tree, nodes: list[int]) -> np.ndarray:
+    """Of each node of the tree its place among those named, else -1."""
+    at = np.full(len(tree.feature), -1)
+    at[nodes] = np.arange(len(nodes))
+    return at
+
+
 def _sums(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[pa.RecordBatch]:
     """SUMS of a task's rows over the open nodes; at the root also the squared error of the rows held out, as node -1."""
-    n, at = len(level.open), np.full(len(level.tree.feature), -1)
-    at[level.open] = np.arange(n)
-    gradient, rows = np.zeros((2, len(level.columns), n * BINS), np.int64)
-    wrong, held = 0, 0
+    n, at = len(level.open), places(level.tree, level.open)
+    (gradient, rows), wrong = np.zeros((2, len(level.columns), n, BINS), np.int64), np.zeros(2, np.int64)
     for block in _blocks(batches, level.features):
         error = block.after(level.trees) - block.target
         if level.open == [0]:
-            own = error[block.held]
-            wrong, held = wrong + int(np.rint(own * own * 65536.0).sum()), held + len(own)
+            wrong += block.wrong(error)
         node = at[level.tree.nodes(block.bins)]
-        used = np.flatnonzero((node >= 0) & ~block.held & sampled(block.mark, level.cfg.seed, level.round, level.cfg.subsample))
-        whole, base = np.rint(error[used] * 2.0**level.bits), node[used] * BINS
-        for k, f in enumerate(level.columns):
-            place = base + block.bins[f, used]
-            gradient[k] += np.bincount(place, weights=whole, minlength=n * BINS).astype(np.int64)
-            rows[k] += np.bincount(place, minlength=n * BINS)
-    k, place = np.nonzero(rows)
-    out = [place // BINS, np.array(level.columns, np.int64)[k], place % BINS, gradient[k, place], rows[k, place]]
-    out = [np.append(c, v) for c, v in zip(out, (-1, 0, 0, wrong, held))] if held else out
+        used = np.flatnonzero((node >= 0) & block.learned(level.round, level.cfg))
+        own = summed(block.bins, level.columns, used, node[used], np.rint(error[used] * 2.0**level.bits), n)
+        gradient, rows = gradient + own[0], rows + own[1]
+    k, place, bin_ = np.nonzero(rows)
+    out = [place, np.array(level.columns, np.int64)[k], bin_, gradient[k, place, bin_], rows[k, place, bin_]]
+    out = [np.append(c, v) for c, v in zip(out, (-1, 0, 0, *wrong))] if wrong[1] else out
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["node", "feature", "bin", "gradient", "rows"])
 
@@ -192,13 +222,19 @@ def shrunk(gradient: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(gradient) * np.maximum(np.abs(gradient) - l1, 0)
 
 
-def grown(level: Level, sums: dict[str, np.ndarray]) -> list[int]:
-    """Splits the open nodes of level.tree where that gains something; the children that are open then."""
-    cfg, columns = level.cfg, level.columns
-    whole = np.zeros((2, len(level.open), len(columns), BINS), np.int64)
-    place = sums["node"], np.searchsorted(columns, sums["feature"]), sums["bin"]
+def gathered(level: Level, sums: dict[str, np.ndarray]) -> np.ndarray:
+    """SUMS as (gradient and count, feature, open node, bin)."""
+    whole = np.zeros((2, len(level.columns), len(level.open), BINS), np.int64)
+    place = np.searchsorted(level.columns, sums["feature"]), sums["node"], sums["bin"]
     np.add.at(whole[0], place, sums["gradient"])
     np.add.at(whole[1], place, sums["rows"])
+    return whole
+
+
+def grown(level: Level, whole: np.ndarray) -> list[int]:
+    """Splits the open nodes of level.tree where that gains something; the children that are open then."""
+    cfg, columns = level.cfg, level.columns
+    whole = whole.transpose(0, 2, 1, 3)
     g, h = whole[0] / 2.0**level.bits, whole[1].astype(float)
     total_g, total_h = (x[:, :1].sum(axis=2, keepdims=True) for x in (g, h))  # each feature's bins add up to the node
     score = lambda a, b: shrunk(a, cfg.l1) ** 2 / (b + cfg.l2)
@@ -224,6 +260,101 @@ def grown(level: Level, sums: dict[str, np.ndarray]) -> list[int]:
     return opened
 
 
+@dataclass
+class Rounds:
+    """What the tasks of a barrier stage go on from: the rounds it is for, and the held rows' errors before them."""
+
+    first: int
+    last: int
+    errors: list[float]
+    bins: np.ndarray
+    bits: int
+    cfg: BoostConfig
+
+
+def added(own: np.ndarray) -> np.ndarray:
+    """Whole numbers of this task added to those of the others in its barrier stage."""
+    stage = BarrierTaskContext.get()
+    if len(stage.getTaskInfos()) == 1:
+        return own
+    told = stage.allGather(base64.b64encode(own.tobytes()).decode())
+    return sum(np.frombuffer(base64.b64decode(t), np.int64) for t in told).reshape(own.shape)
+
+
+class Growing:
+    """The blocks of a barrier stage's task: their predictions so far, and each row's node in the tree at hand."""
+
+    def __init__(self, blocks: list[Block], rounds: Rounds):
+        self.blocks, self.r = blocks, rounds
+        self.now = [b.so_far for b in blocks]
+
+    def sums(self, tree: Tree, nodes: list[int], columns: list[int]) -> np.ndarray:
+        """(gradient and count, feature, node, bin) over all tasks; only bins that can occur are told."""
+        at, bins = places(tree, nodes), self.r.bins[columns]
+        out = np.zeros((2, len(columns), len(nodes), BINS), np.int64)
+        for block, node, used, whole in zip(self.blocks, self.node, self.used, self.whole):
+            place = at[node[used]]
+            own = np.flatnonzero(place >= 0)
+            out += summed(block.bins, columns, used[own], place[own], whole[own], len(nodes))
+        where = np.broadcast_to(bins[:, None, :], out.shape[1:])
+        out[:, where] = added(out[:, where])
+        return out
+
+    def children(self, level: Level, above: np.ndarray) -> np.ndarray:
+        """Sums of the open nodes from those of the level above: the lesser child's are added up, the other has the rest."""
+        tree, first = level.tree, level.open[::2]
+        parent = {tree.child[n]: n for n in range(len(tree.feature)) if tree.feature[n] >= 0}
+        lesser = []
+        for k, node in enumerate(first):
+            p = parent[node]
+            rows = above[1, level.columns.index(tree.feature[p]), k]
+            left = rows[1 : tree.bin[p] + 1].sum() + (rows[0] if tree.missing_left[p] else 0)
+            lesser.append(int(2 * left > rows.sum()))
+        own = self.sums(tree, [n + s for n, s in zip(first, lesser)], level.columns)
+        out, at = np.empty((*above.shape[:2], len(level.open), BINS), np.int64), np.arange(len(first)) * 2
+        out[:, :, at + lesser], out[:, :, at + 1 - np.array(lesser)] = own, above - own
+        return out
+
+    def tree(self, round_: int) -> Tree:
+        cfg, features = self.r.cfg, len(self.r.bins)
+        columns, tree = columns_of(round_, features, cfg), Tree()
+        self.node = [np.zeros(b.n, np.int64) for b in self.blocks]
+        self.used = [np.flatnonzero(b.learned(round_, cfg)) for b in self.blocks]
+        self.whole = [np.rint((p - b.target)[u] * 2.0**self.r.bits) for b, p, u in zip(self.blocks, self.now, self.used)]
+        opened, above = [0], None
+        for _ in range(cfg.depth):
+            level = Level([], tree, opened, features, columns, round_, self.r.bits, cfg)
+            sums = self.sums(tree, opened, columns) if above is None else self.children(level, above)
+            opened = grown(level, sums)
+            if not opened:
+                break
+            above = sums[:, :, [k for k, n in enumerate(level.open) if tree.feature[n] >= 0]]
+            self.node = [tree.nodes(b.bins, n) for b, n in zip(self.blocks, self.node)]
+        value = np.array(tree.value)
+        self.now = [p + value[n] for p, n in zip(self.now, self.node)]
+        return tree
+
+
+def _together(batches: Iterator[pa.RecordBatch], rounds: Rounds) -> Iterator[pa.RecordBatch]:
+    """GROWN after the rounds: all tasks of the stage grow the same trees, each from its own rows and the sums of all."""
+    task = Growing(list(_blocks(batches, len(rounds.bins))), rounds)
+    trees, errors, ended = [], list(rounds.errors), False
+    for round_ in range(rounds.first, rounds.last):
+        wrong, held = added(sum((b.wrong(p - b.target) for b, p in zip(task.blocks, task.now)), np.zeros(2, np.int64)))
+        if round_ and held:
+            errors.append(float(wrong / held / 65536))
+        ended = round_ == rounds.cfg.rounds or stopped(errors, rounds.cfg.patience)
+        if ended:
+            break
+        trees.append(task.tree(round_))
+    schema = pa.schema([*BLOCK_ARROW, ("told", pa.string())])
+    for b, p in zip(task.blocks, task.now):
+        row = {"n": b.n, "so_far": p.tobytes()} | {c: getattr(b, c).tobytes() for c in ("bins", "target", "mark", "held")}
+        yield pa.RecordBatch.from_pylist([row], schema=schema)
+    if BarrierTaskContext.get().partitionId() == 0:
+        yield pa.RecordBatch.from_pylist([{"told": json.dumps({"trees": [asdict(t) for t in trees], "errors": errors, "ended": ended})}], schema=schema)
+
+
 @dataclass
 class BoostedTrees:
     """A fitted model: feature names and edges, the first prediction, the trees, and the error of held rows by round."""
@@ -275,15 +406,29 @@ def stopped(errors: list[float], patience: int) -> bool:
     return bool(errors) and len(errors) - 1 - int(np.argmin(errors)) >= patience
 
 
+def columns_of(round_: int, features: int, cfg: BoostConfig) -> list[int]:
+    """The features that a round takes."""
+    rng = np.random.default_rng([cfg.seed, round_])
+    return sorted(rng.choice(features, max(1, round(cfg.columns * features)), replace=False).tolist())
+
+
+def stage_tasks(spark: SparkSession, n: int) -> int:
+    """Tasks of a barrier stage over n rows; 0 where they can't all run at once or would keep too many rows."""
+    setting = lambda name, other: spark.sparkContext.getConf().get(name, other)
+    slots = spark.sparkContext.defaultParallelism // int(setting("spark.task.cpus", "1"))
+    tasks = max(-(-n // STAGE_ROWS), round((n / TOLD_ROWS) ** (1 / 3)), 1)
+    return tasks if tasks <= slots and setting("spark.dynamicAllocation.enabled", "false") != "true" else 0
+
+
 def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = BoostConfig(), held: Column | None = None) -> BoostedTrees:
     """Boosts squared error over the rows with a target, in one pass of rounds.
 
     Rows for which `held` is true are not learned from; the rounds end where their error has not fallen for
     cfg.patience rounds. Each round takes cfg.subsample of the rows, by a hash of their values, and cfg.columns of the
-    features. The driver holds sums per open node, feature and bin: 2 ** (depth - 1) * features * 256 of them at most
-    (and of FEW_TASKS tasks, where there are no more).
-    Predictions are stored with the rows every STORED_ROUNDS rounds, in the shared folder, so a lost executor costs at
-    most that many trees' work; the table before goes.
+    features. A task of a barrier stage, else the driver, holds sums per open node, feature and bin: 2 ** (depth - 1) *
+    features * 256 of them at most (and of all tasks of a stage, or of FEW_TASKS, where there are no more).
+    Predictions are stored with the rows every STAGE_ROUNDS or STORED_ROUNDS rounds, in the shared folder, so a lost
+    executor costs at most that many trees' work; the table before goes.
     """
     spark = rows.sparkSession
     held = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
@@ -306,17 +451,41 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
     bits = min(62 - math.ceil(math.log2(n + 1)), 36 - 1) - math.ceil(math.log2(reach))
 
     path = table_path(spark, "blocks")
-    known.mapInArrow(partial(_as_blocks, edges=edges, base=base), BLOCK).write.parquet(path)
+    tasks = stage_tasks(spark, n)
+    (known.coalesce(tasks) if tasks else known).mapInArrow(partial(_as_blocks, edges=edges, base=base), BLOCK).write.parquet(path)
     removed(spark, source)
+    model = BoostedTrees(features, edges, base, [], [])
+    return _grown_in_stages(spark, path, model, bits, cfg, tasks) if tasks else _grown_by_level(spark, path, model, bits, cfg)
+
+
+def _grown_in_stages(spark: SparkSession, path: str, model: BoostedTrees, bits: int, cfg: BoostConfig, tasks: int) -> BoostedTrees:
+    """STAGE_ROUNDS rounds a job: a barrier stage whose tasks keep their blocks and tell each other their sums."""
+    bins = np.arange(BINS) < np.array([len(e) + 2 for e in model.edges], int)[:, None]
+    for first in range(0, cfg.rounds + 1, STAGE_ROUNDS):
+        rounds = Rounds(first, min(first + STAGE_ROUNDS, cfg.rounds + 1), model.errors, bins, bits, cfg)
+        blocks = spark.read.schema(GROWN).parquet(path).filter("n is not null").drop("told")
+        dealt = blocks.withColumn("k", F.monotonically_increasing_id()).repartitionByRange(tasks, "k").drop("k")
+        old, path = path, table_path(spark, "blocks")
+        dealt.mapInArrow(partial(_together, rounds=rounds), GROWN, barrier=True).write.parquet(path)
+        removed(spark, old)
+        told = json.loads(spark.read.schema(GROWN).parquet(path).filter("told is not null").select("told").first().told)
+        model.trees += [Tree(**t) for t in told["trees"]]
+        model.errors = told["errors"]
+        if told["ended"]:
+            break
+    removed(spark, path)
+    return model
+
+
+def _grown_by_level(spark: SparkSession, path: str, model: BoostedTrees, bits: int, cfg: BoostConfig) -> BoostedTrees:
+    """A job per level; predictions are stored every STORED_ROUNDS rounds."""
+    features, fresh = len(model.features), []
     blocks = spark.read.schema(BLOCK).parquet(path)
-    model, fresh = BoostedTrees(features, edges, base, [], []), []
     few = blocks.rdd.getNumPartitions() <= FEW_TASKS
     for round_ in range(cfg.rounds + 1):
-        rng = np.random.default_rng([cfg.seed, round_])
-        columns = sorted(rng.choice(len(features), max(1, round(cfg.columns * len(features))), replace=False).tolist())
-        tree, opened = Tree(), [0]
+        columns, tree, opened = columns_of(round_, features, cfg), Tree(), [0]
         for _ in range(cfg.depth):
-            level = Level(fresh, tree, opened, len(features), columns, round_, bits, cfg)
+            level = Level(fresh, tree, opened, features, columns, round_, bits, cfg)
             sums = blocks.mapInArrow(partial(_sums, level=level), SUMS)
             if not few:
                 sums = sums.groupBy("node", "feature", "bin").agg(F.sum("gradient").alias("gradient"), F.sum("rows").alias("rows"))
@@ -330,14 +499,14 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
                     removed(spark, path)
                     return model
                 every = {c: v[~told] for c, v in every.items()}
-            opened = grown(level, every)
+            opened = grown(level, gathered(level, every))
             if not opened:
                 break
         model.trees.append(tree)
         fresh = [*fresh, tree]
         if len(fresh) == STORED_ROUNDS:
             old, path = path, table_path(spark, "blocks")
-            blocks.mapInArrow(partial(_stored, features=len(features), trees=fresh), BLOCK).write.parquet(path)
+            blocks.mapInArrow(partial(_stored, features=features, trees=fresh), BLOCK).write.parquet(path)
             blocks = spark.read.schema(BLOCK).parquet(path)
             removed(spark, old)
             fresh = []

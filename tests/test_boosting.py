@@ -118,3 +118,34 @@ def test_samples_are_shares():
     for share in (0.1, 0.8, 1.0):
         assert abs(boosting.sampled(mark, 42, 3, share).mean() - share) < 0.02
     assert (boosting.sampled(mark, 42, 3, 0.5) != boosting.sampled(mark, 42, 4, 0.5)).any()
+
+
+def test_stages_grow_the_trees_of_levels(spark, monkeypatch):
+    x, y = made(4000)
+    held = np.arange(len(y)) % 5 == 0
+    cfg = boosting.BoostConfig(depth=5, rate=0.3, rounds=8, patience=50)
+    df = table(spark, x, y, held).repartition(5)
+    monkeypatch.setattr(boosting, "STAGE_ROUNDS", 3)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    told = []
+    for tasks in (0, 1, 3):
+        monkeypatch.setattr(boosting, "stage_tasks", lambda *_, tasks=tasks: tasks)
+        told.append(boosting.fit(df, ["a", "b", "c", "d"], "y", cfg, F.col("held")).to_json())
+    assert told[0] == told[1] == told[2]
+
+
+def test_training_takes_a_job_for_many_rounds(spark):
+    group = "training-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        boosting.fit(table(spark, *made(500)), ["a", "b"], "y", boosting.BoostConfig(depth=4, rounds=40))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 40
+
+
+def test_stages_have_few_tasks(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert boosting.stage_tasks(spark, 1) == 1
+    assert boosting.stage_tasks(spark, slots * boosting.STAGE_ROWS) <= slots
+    assert boosting.stage_tasks(spark, (slots + 1) * boosting.STAGE_ROWS) == 0
