@@ -38,8 +38,12 @@ QA_BAND = "QA_PIXEL"
 DEFAULT_STEP = (0.01, -0.01)
 #: Rows of pixels that are handed on at once.
 ROWS_AT_ONCE = 1 << 18
+#: Rows up to which those of several strips and files are handed on together.
+GATHERED_ROWS = 1 << 14
 #: Bytes of files that a task reads: small files are gathered up to it, larger ones shared out by their strips.
 PART_BYTES = 16 << 20
+#: Bytes that opening a file counts for, so that many tiny files are many tasks.
+OPEN_BYTES = 1 << 16
 #: Bytes of a file that are read at once for its header.
 HEAD_BYTES = 1 << 16
 
@@ -237,13 +241,24 @@ class RasterReader(DataSourceReader):
                     if parts > 1:
                         out += [Shares([s]) for s in shares]
                         continue
-                    if held and size + i.size > self.part_bytes:
+                    cost = i.size + OPEN_BYTES
+                    if held and size + cost > self.part_bytes:
                         out.append(Shares(held))
                         held, size = [], 0
-                    held, size = [*held, *shares], size + i.size
+                    held, size = [*held, *shares], size + cost
         return [*out, Shares(held)] if held or not out else out
 
     def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in self._batches(partition):
+            held, rows = [*held, batch], rows + batch.num_rows
+            if rows >= GATHERED_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _batches(self, partition: Shares) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.root)
         for share in partition.files:
             with fs.open_input_file(share.path) as file:

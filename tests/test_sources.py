@@ -270,3 +270,16 @@ def test_matrix_files(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
     with pytest.raises(FileNotFoundError):
         matrix.read_matrix(spark, str(tmp_path / "none"))
+
+
+def test_tiny_rasters_are_many_tasks_and_few_batches(tmp_path):
+    for k in range(600):
+        (tmp_path / f"S{k}").mkdir()
+        (tmp_path / f"S{k}" / "B4.tif").write_bytes(raster.encoded(np.full((8, 8), k, np.uint16), strip_rows=1))
+    reader = raster.RasterReader(str(tmp_path), raster.PART_BYTES)
+    parts = reader.partitions()
+    assert len(parts) > 2 and sum(len(p.files) for p in parts) == 600
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) < 10
+    dn = np.concatenate([b.column("dn").to_numpy() for b in batches])
+    assert len(dn) == 600 * 64 and all(np.bincount(dn.astype(int), minlength=600) == 64)
