@@ -417,7 +417,8 @@ def stage_tasks(spark: SparkSession, n: int) -> int:
     setting = lambda name, other: spark.sparkContext.getConf().get(name, other)
     slots = spark.sparkContext.defaultParallelism // int(setting("spark.task.cpus", "1"))
     tasks = max(-(-n // STAGE_ROWS), round((n / TOLD_ROWS) ** (1 / 3)), 1)
-    return tasks if tasks <= slots and setting("spark.dynamicAllocation.enabled", "false") != "true" else 0
+    # telling sums took about a second a level in a trial with several tasks, more than a job per level does
+    return tasks if tasks == 1 <= slots and setting("spark.dynamicAllocation.enabled", "false") != "true" else 0
 
 
 def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = BoostConfig(), held: Column | None = None) -> BoostedTrees:
