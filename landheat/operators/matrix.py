@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from landheat.config import Config
-from landheat.functions.indices import morton, rounded
+from landheat.functions.indices import rounded
 from landheat.schemas import MATRIX_BASE, MATRIX_EXTRA, PAGE_ROWS
+from landheat.sources.shared import by_place
 
 
 def split_label(cfg: Config, year: str = "year") -> Column:
@@ -40,7 +41,7 @@ def write_matrix(df: DataFrame, path: str) -> dict[str, int]:
     """
     seen = Observation("matrix")
     rows = df.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", "year", "split")
-    rows = rows.sortWithinPartitions("year", "split", morton(F.col("lon"), F.col("lat")), "lat", "lon")
+    rows = by_place(rows, ["year", "split"], ["lat", "lon"])
     rows.write.mode("overwrite").partitionBy("year", "split").option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
     return {"rows": seen.get["rows"], "columns": len(df.columns)}
 

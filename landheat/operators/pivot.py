@@ -14,9 +14,11 @@ PIXEL = ["tile_id", "lat", "lon", "timestamp", "lulc_class"]
 def pivot_bands(df: DataFrame, bands: list[str] = BANDS, keys: list[str] = PIXEL) -> DataFrame:
     """One row per pixel with a column per band; where a band repeats the least value holds.
 
-    The bands are listed, so no job looks for them, and the minimum is taken on the map side first.
+    The bands are listed, so no job looks for them, and the minima of all bands are taken in one aggregation by pixel,
+    on the map side first. (`pivot` groups by pixel and band before it groups by pixel, so it shuffles every long row,
+    and twice.)
     """
-    return df.groupBy(*keys).pivot("band", bands).agg(F.min("value"))
+    return df.groupBy(*keys).agg(*(F.min(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands))
 
 
 def with_indices(df: DataFrame) -> DataFrame:

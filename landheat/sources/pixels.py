@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landheat.functions.indices import morton
 from landheat.schemas import PAGE_ROWS, PIXEL_LONG
+from landheat.sources.shared import by_place
 
 EARLIEST_MS = 1_600_000_000_000
 
@@ -22,7 +22,7 @@ def write_pixels(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     Adaptive execution cuts large scenes into tasks by size. Rows of a file follow the Morton code of their place, and
     pages are short, so a box of coordinates reads just the pages about it.
     """
-    rows = df.hint("rebalance", "tile_id").sortWithinPartitions("tile_id", morton(F.col("lon"), F.col("lat")), "band")
+    rows = by_place(df.hint("rebalance", "tile_id"), ["tile_id"], ["band"])
     rows = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tile_id")
     rows.option("compression", "snappy").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 

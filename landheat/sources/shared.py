@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landheat.functions.indices import morton
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,6 +50,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
+def by_place(df: DataFrame, first: list[str], last: list[str]) -> DataFrame:
+    """The rows of each task sorted by `first`, the Morton code of lon and lat, and `last`.
+
+    The code is a column until then: as an expression of the sort it would be worked out anew for both rows of every
+    comparison. Its name is longer than any of theirs.
+    """
+    code = "_" * (max(map(len, df.columns)) + 1)
+    return df.withColumn(code, morton(F.col("lon"), F.col("lat"))).sortWithinPartitions(*first, code, *last).drop(code)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder, on whatever file system it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

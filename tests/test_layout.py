@@ -2,11 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from landheat.config import Config
 from landheat.functions import indices
-from landheat.operators import encode, matrix, sample
+from landheat.operators import encode, matrix, pivot, sample
 from landheat.operators.filters import in_bbox
 from landheat.plans import tables
 from landheat.schemas import PIXEL_LONG
@@ -51,6 +52,51 @@ def test_a_box_reads_few_rows_of_the_pixels(spark, tmp_path):
     assert rows_read(pixels.read_pixels(spark, str(tmp_path)).filter(in_bbox(small_box()))) < 0.05 * 1_000_000
 
 
+def nodes(plan, kind):
+    """The nodes of a kind in a plan that Spark has not yet made adaptive."""
+    own = [plan] if plan.nodeName() == kind else []
+    return own + [n for k in range(plan.children().size()) for n in nodes(plan.children().apply(k), kind)]
+
+
+def test_writers_sort_by_columns(spark, tmp_path, monkeypatch):
+    """A sort works out an expression among its keys at every comparison, so codes are a column before it."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().sparkPlan())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    named = lambda n: F.concat(F.lit(n), F.col("id") % 3)
+    rows = grid(spark, 5000).select("lon", "lat", (2020 + F.col("id") % 2).cast("int").alias("year"), *(named(n).alias(n) for n in ("split", "tile_id", "band")), F.col("id").alias("__code"))
+    matrix.write_matrix(rows, str(tmp_path / "matrix"))
+    pixels.write_pixels(rows, str(tmp_path / "pixels"))
+    for plan in plans:
+        (sort,) = nodes(plan, "Sort")
+        keys = [sort.sortOrder().apply(k).child().nodeName() for k in range(sort.sortOrder().size())]
+        assert len(keys) >= 3 and set(keys) == {"AttributeReference"}
+    for path in ("matrix", "pixels"):
+        got = spark.read.parquet(str(tmp_path / path))
+        assert sorted(got.columns) == sorted(rows.columns)
+        assert got.select(rows.columns).exceptAll(rows).isEmpty() and got.count() == 5000
+
+
+def test_pivot_shuffles_pixels_once(spark):
+    """One aggregation by pixel gives what `pivot` gives, on odd rows too."""
+    rows = [(p, b, v) for p in ("p", "q", None) for b, v in (("B4", 0.5), ("B4", 0.25), ("B5", None), ("B5", float("nan")), ("B6", float("nan")), ("B6", 2.0), (None, 1.0), ("other", 1.0))]
+    df = spark.createDataFrame([*rows, ("r", "other", 1.0), ("s", None, None)], "pixel string, band string, value double")
+    bands = ["B4", "B5", "B6", "B7"]
+    got = pivot.pivot_bands(df, bands, ["pixel"])
+    want = df.groupBy("pixel").pivot("band", bands).agg(F.min("value"))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 5
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert len(nodes(pivot.pivot_bands(df, bands, ["pixel"])._jdf.queryExecution().executedPlan(), "Exchange")) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_morton_codes_interleave_bits(spark):
     places = [(80.0, 13.0), (-180.0, -90.0), (180.0, 90.0), (0.0, 0.0), (80.345, 12.8), (-0.001, 51.5)]
     df = spark.createDataFrame([*places, (None, 1.0)], "lon double, lat double").withColumn("code", indices.morton(F.col("lon"), F.col("lat")))
