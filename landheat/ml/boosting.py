@@ -2,15 +2,17 @@
 
 Rows are binned once and stored in blocks of columns. Tasks add up the gradients of their rows per (node, feature, bin),
 and the sums of all tasks pick the splits. Sums are of whole numbers, so the trees do not depend on how the rows are
-partitioned. Where the rows fit few tasks that can run at once, these grow many trees in one barrier stage and tell each
-other their sums; else each level of a tree is one job, and the driver, which sees no rows, picks the splits.
+partitioned. Where the rows fit tasks that can run at once, these grow many trees in one barrier stage: each adds up a
+share of the features for all and tells the best splits. Else each level of a tree is one job, and the driver, which sees
+no rows, picks the splits.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import math
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import partial
@@ -22,6 +24,7 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landheat.sources.raster import file_system
 from landheat.sources.shared import removed, table_path
 
 #: Bins of a feature: 0 for missing values, then one more than there are edges.
@@ -29,10 +32,11 @@ BINS = 256
 #: Rows of a block, and rounds after which the predictions so far are stored with the blocks.
 BLOCK_ROWS, STORED_ROUNDS = 1 << 16, 10
 #: Rounds of a barrier stage, and rows that one of its tasks keeps at most.
-STAGE_ROUNDS, STAGE_ROWS = 50, 1 << 22
-#: A barrier stage has as many tasks as the cube root of the rows over this: each task reads the sums of all, so what
-#: is told grows with the square of their number, while the work of a task falls with it.
-TOLD_ROWS = 60_000
+STAGE_ROUNDS, STAGE_ROWS = 100, 1 << 22
+#: A barrier stage has a task for so many rows, up to MOST_TASKS: each reads a message of every other at each level.
+TASK_ROWS, MOST_TASKS = 50_000, 16
+#: Blocks that a task of a barrier stage is dealt, about, and seconds between its looks for a message, from and to.
+DEALT_BLOCKS, LOOKS = 16, (0.0005, 0.02)
 #: Tasks whose sums the driver adds up itself, as few as they are; those of more are added up in a shuffle.
 FEW_TASKS = 4
 #: Relative error of the quantiles that the edges are taken at.
@@ -129,20 +133,29 @@ class Block:
         self.target, self.so_far = (np.frombuffer(row[c], "<f8") for c in ("target", "so_far"))
         self.mark, self.held = np.frombuffer(row["mark"], "<u8"), np.frombuffer(row["held"], np.bool_)
 
+    @classmethod
+    def joined(cls, blocks: list["Block"], features: int) -> "Block":
+        """The rows of all blocks as one."""
+        out = cls({"n": 0, "bins": b"", "target": b"", "so_far": b"", "mark": b"", "held": b""}, features)
+        out.n = sum(b.n for b in blocks)
+        for c in ("bins", "target", "so_far", "mark", "held"):
+            setattr(out, c, np.concatenate([getattr(out, c), *(getattr(b, c) for b in blocks)], axis=-1))
+        return out
+
     def after(self, trees: list[Tree]) -> np.ndarray:
         return sum((t.values(self.bins) for t in trees), self.so_far)
 
     def wrong(self, error: np.ndarray) -> np.ndarray:
         """Squared error of the rows held out, in whole numbers, and their number."""
         own = error[self.held]
-        return np.array([int(np.rint(own * own * 65536.0).sum()), len(own)], np.int64)
+        return np.array([np.rint(own * own * 65536.0).astype(np.int64).sum(), len(own)], np.int64)
 
     def learned(self, round_: int, cfg: BoostConfig) -> np.ndarray:
         return ~self.held & sampled(self.mark, cfg.seed, round_, cfg.subsample)
 
 
-def _as_blocks(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray], base: float) -> Iterator[pa.RecordBatch]:
-    """Columns of features, then target, mark and held, in blocks; batches are gathered up to a block's rows."""
+def _as_blocks(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray], base: float, most: int) -> Iterator[pa.RecordBatch]:
+    """Columns of features, then target, mark and held, in blocks; batches are gathered up to a block's rows, `most`."""
     held: list[pa.RecordBatch] = []
 
     def made() -> pa.RecordBatch:
@@ -155,9 +168,11 @@ def _as_blocks(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray], base:
         return pa.RecordBatch.from_pylist([row], schema=pa.schema(BLOCK_ARROW))
 
     for batch in batches:
-        for k in range(0, batch.num_rows, BLOCK_ROWS):
-            held.append(batch.slice(k, BLOCK_ROWS))
-            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+        k = 0
+        while k < batch.num_rows:
+            held.append(batch.slice(k, most - sum(b.num_rows for b in held)))
+            k += held[-1].num_rows
+            if sum(b.num_rows for b in held) >= most:
                 yield made()
     if held:
         yield made()
@@ -231,116 +246,215 @@ def gathered(level: Level, sums: dict[str, np.ndarray]) -> np.ndarray:
     return whole
 
 
-def grown(level: Level, whole: np.ndarray) -> list[int]:
-    """Splits the open nodes of level.tree where that gains something; the children that are open then."""
-    cfg, columns = level.cfg, level.columns
-    whole = whole.transpose(0, 2, 1, 3)
-    g, h = whole[0] / 2.0**level.bits, whole[1].astype(float)
-    total_g, total_h = (x[:, :1].sum(axis=2, keepdims=True) for x in (g, h))  # each feature's bins add up to the node
+def best_splits(sums: np.ndarray, cfg: BoostConfig, bits: int) -> np.ndarray:
+    """The best split of each node by the sums (gradient and count, node, bin) of one feature.
+
+    A row per node: gain, last bin that goes left, whether missing values do, gradient and rows on the left, and both of
+    the node. Of splits that gain the same it is the first by bin, with missing values on the right before the left.
+    """
+    nodes, scale = sums.shape[1], 2.0**bits
+    total_g, total_h = sums[0].sum(axis=1) / scale, sums[1].sum(axis=1).astype(float)
+    out = np.zeros((nodes, 7))
+    out[:, 0], out[:, 5], out[:, 6] = -np.inf, total_g, total_h
+    if sums.shape[2] < 3:
+        return out
+    left, missing = sums[:, :, 1:-1].cumsum(axis=2), sums[:, :, :1]
+    # without missing values both sides gain the same
+    left = np.stack([left, left + missing], axis=3) if missing[1].any() else left[..., None]
+    left_g, left_h = (x.reshape(nodes, -1) for x in (left[0] / scale, left[1].astype(float)))
+    right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
     score = lambda a, b: shrunk(a, cfg.l1) ** 2 / (b + cfg.l2)
-    ends = [x[:, :, 1:-1].cumsum(axis=2) for x in (g, h)]
-    # by side of the missing values: right, then left
-    left_g, left_h = (np.stack([e, e + x[:, :, :1]], axis=3) for e, x in zip(ends, (g, h)))
-    right_g, right_h = total_g[..., None] - left_g, total_h[..., None] - left_h
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = score(left_g, left_h) + score(right_g, right_h) - score(total_g, total_h)[..., None]
+        gain = score(left_g, left_h) + score(right_g, right_h) - score(total_g, total_h)[:, None]
     gain = np.where((left_h >= cfg.least_rows) & (right_h >= cfg.least_rows), gain, -np.inf)
-    flat = gain.reshape(len(level.open), -1)
+    best, at = gain.argmax(axis=1), np.arange(nodes)
+    b, side = np.divmod(best, left.shape[3])
+    for k, column in enumerate((gain[at, best], b + 1, side, left_g[at, best], left_h[at, best])):
+        out[:, k] = column
+    return out
+
+
+def grown(level: Level, found: np.ndarray) -> list[int]:
+    """Splits the open nodes of level.tree where that gains something, by the best splits (feature, node, ...); the children
+    that are open then. Of features that gain the same the first is taken."""
+    cfg, tree, opened = level.cfg, level.tree, []
+    leaf = lambda g, n: float(-cfg.rate * shrunk(g, cfg.l1) / (n + cfg.l2))
     if level.open == [0]:
-        level.tree.value[0] = float(-cfg.rate * shrunk(total_g[0, 0, 0], cfg.l1) / (total_h[0, 0, 0] + cfg.l2))
-    opened = []
+        tree.value[0] = leaf(*found[0, 0, 5:])
+    best = found[:, :, 0].argmax(axis=0)
     for k, node in enumerate(level.open):
-        best = int(flat[k].argmax())
-        if not flat[k, best] > LEAST_GAIN:
-            continue
-        f, b, side = np.unravel_index(best, gain.shape[1:])
-        leaf = lambda a, n: float(-cfg.rate * shrunk(a[k, f, b, side], cfg.l1) / (n[k, f, b, side] + cfg.l2))  # noqa: B023, E731
-        first = level.tree.split(node, columns[f], int(b) + 1, bool(side), float(flat[k, best]), leaf(left_g, left_h), leaf(right_g, right_h))
-        opened += [first, first + 1]
+        gain, bin_, side, left_g, left_h, total_g, total_h = found[best[k], k]
+        if gain > LEAST_GAIN:
+            first = tree.split(node, level.columns[best[k]], int(bin_), bool(side), float(gain), leaf(left_g, left_h), leaf(total_g - left_g, total_h - left_h))
+            opened += [first, first + 1]
     return opened
 
 
 @dataclass
 class Rounds:
-    """What the tasks of a barrier stage go on from: the rounds it is for, and the held rows' errors before them."""
+    """What the tasks of a barrier stage go on from: the rounds it is for, the held rows' errors before them, bins by
+    feature that can occur, rows of a block, and the folder of messages."""
 
     first: int
     last: int
     errors: list[float]
-    bins: np.ndarray
+    bins: list[int]
     bits: int
     cfg: BoostConfig
+    block: int
+    folder: str
+
+
+class Peers:
+    """Messages between the tasks of a barrier stage, as files in the shared folder: each message by the stage itself, which
+    looks for answers once a second, would take longer than a whole tree."""
+
+    def __init__(self, folder: str):
+        stage = BarrierTaskContext.get()
+        self.own, self.n, self.step = stage.partitionId(), len(stage.getTaskInfos()), 0
+        if self.n > 1:
+            self.fs, path = file_system(folder)
+            self.path = f"{path}/{stage.allGather(uuid.uuid4().hex)[0]}"  # a folder of this attempt, the same to all
+            self.fs.create_dir(self.path)
+
+    def _opened(self, name: str) -> pa.NativeFile:
+        pause, most = LOOKS
+        while True:  # where a task fails, Spark ends all tasks of the stage
+            try:
+                return self.fs.open_input_file(name)
+            except FileNotFoundError:
+                time.sleep(pause)
+                pause = min(pause * 1.5, most)
+
+    def told(self, parts: list[np.ndarray]) -> list[np.ndarray]:
+        """Tells each task its part; what each has told this one, in their order."""
+        if self.n == 1:
+            return parts
+        self.step += 1
+        name = lambda step, k: f"{self.path}/{step}-{k}"
+        ends = np.cumsum([8 * (self.n + 1), *(p.nbytes for p in parts)])
+        with self.fs.open_output_stream(name(self.step, f"{self.own}.new")) as f:
+            for p in (ends, *parts):
+                f.write(np.ascontiguousarray(p).data.cast("B") if p.size else b"")
+        self.fs.move(name(self.step, f"{self.own}.new"), name(self.step, self.own))
+        out = []
+        for k, own in enumerate(parts):
+            if k != self.own:
+                with self._opened(name(self.step, k)) as f:
+                    a, b = np.frombuffer(f.read_at(16, 8 * self.own), np.int64)
+                    out.append(np.frombuffer(f.read_at(b - a, a), own.dtype))
+            else:
+                out.append(own.ravel())
+        if self.step > 1:  # who has told this step has read the one before
+            self.fs.delete_file(name(self.step - 1, self.own))
+        return out
 
-
-def added(own: np.ndarray) -> np.ndarray:
-    """Whole numbers of this task added to those of the others in its barrier stage."""
-    stage = BarrierTaskContext.get()
-    if len(stage.getTaskInfos()) == 1:
-        return own
-    told = stage.allGather(base64.b64encode(own.tobytes()).decode())
-    return sum(np.frombuffer(base64.b64decode(t), np.int64) for t in told).reshape(own.shape)
+    def added(self, own: np.ndarray) -> np.ndarray:
+        """Whole numbers of this task added to those of the others."""
+        return sum(self.told([own] * self.n)).reshape(own.shape)
 
 
 class Growing:
-    """The blocks of a barrier stage's task: their predictions so far, and each row's node in the tree at hand."""
-
-    def __init__(self, blocks: list[Block], rounds: Rounds):
-        self.blocks, self.r = blocks, rounds
-        self.now = [b.so_far for b in blocks]
-
-    def sums(self, tree: Tree, nodes: list[int], columns: list[int]) -> np.ndarray:
-        """(gradient and count, feature, node, bin) over all tasks; only bins that can occur are told."""
-        at, bins = places(tree, nodes), self.r.bins[columns]
-        out = np.zeros((2, len(columns), len(nodes), BINS), np.int64)
-        for block, node, used, whole in zip(self.blocks, self.node, self.used, self.whole):
-            place = at[node[used]]
-            own = np.flatnonzero(place >= 0)
-            out += summed(block.bins, columns, used[own], place[own], whole[own], len(nodes))
-        where = np.broadcast_to(bins[:, None, :], out.shape[1:])
-        out[:, where] = added(out[:, where])
+    """The rows of a barrier stage's task with their predictions so far, and in the tree at hand the rows learned from
+    that are in open nodes: their number among the rows learned from, and their node's place."""
+
+    def __init__(self, block: Block, rounds: Rounds, peers: Peers):
+        self.block, self.r, self.peers, self.now = block, rounds, peers, block.so_far
+
+    def sums(self, rows: np.ndarray, place: np.ndarray, n: int) -> list[np.ndarray]:
+        """(gradient and count, place, bin) of the rows named, feature by feature; only bins that can occur."""
+        out = [np.zeros((2, n, w), np.int64) for w in self.widths]
+        for k in range(0, len(rows), self.exact):
+            own, base = rows[k : k + self.exact], place[k : k + self.exact]
+            whole = self.whole[own]
+            for bins, w, sums in zip(self.bins, self.widths, out):
+                at = base * w
+                at += bins[own]
+                sums[0] += np.bincount(at, weights=whole, minlength=n * w).reshape(n, w).astype(np.int64)
+                sums[1] += np.bincount(at, minlength=n * w).reshape(n, w)
         return out
 
-    def children(self, level: Level, above: np.ndarray) -> np.ndarray:
-        """Sums of the open nodes from those of the level above: the lesser child's are added up, the other has the rest."""
-        tree, first = level.tree, level.open[::2]
-        parent = {tree.child[n]: n for n in range(len(tree.feature)) if tree.feature[n] >= 0}
-        lesser = []
-        for k, node in enumerate(first):
-            p = parent[node]
-            rows = above[1, level.columns.index(tree.feature[p]), k]
-            left = rows[1 : tree.bin[p] + 1].sum() + (rows[0] if tree.missing_left[p] else 0)
-            lesser.append(int(2 * left > rows.sum()))
-        own = self.sums(tree, [n + s for n, s in zip(first, lesser)], level.columns)
-        out, at = np.empty((*above.shape[:2], len(level.open), BINS), np.int64), np.arange(len(first)) * 2
-        out[:, :, at + lesser], out[:, :, at + 1 - np.array(lesser)] = own, above - own
+    def shared(self, sums: list[np.ndarray]) -> list[np.ndarray]:
+        """Of this task's share of the features the sums over all tasks."""
+        n, own = self.peers.n, sums[self.peers.own :: self.peers.n]
+        if n == 1:
+            return own
+        empty = np.zeros(0, np.int64)
+        every = sum(self.peers.told([np.concatenate([empty, *(s.ravel() for s in sums[k::n])]) for k in range(n)]))
+        cuts = np.cumsum([s.size for s in own])[:-1]
+        return [part.reshape(s.shape) for part, s in zip(np.split(every, cuts), own)]
+
+    def found(self, own: list[np.ndarray], nodes: int) -> np.ndarray:
+        """The best splits (feature, node, ...) by all tasks' shares."""
+        n, out = self.peers.n, np.empty((len(self.widths), nodes, 7))
+        best = np.array([best_splits(s, self.r.cfg, self.r.bits) for s in own]).reshape(-1, nodes, 7)
+        for k, told in enumerate(self.peers.told([best] * n)):
+            out[k::n] = told.reshape(-1, nodes, 7)
         return out
 
     def tree(self, round_: int) -> Tree:
-        cfg, features = self.r.cfg, len(self.r.bins)
+        cfg, block, features = self.r.cfg, self.block, len(self.r.bins)
         columns, tree = columns_of(round_, features, cfg), Tree()
-        self.node = [np.zeros(b.n, np.int64) for b in self.blocks]
-        self.used = [np.flatnonzero(b.learned(round_, cfg)) for b in self.blocks]
-        self.whole = [np.rint((p - b.target)[u] * 2.0**self.r.bits) for b, p, u in zip(self.blocks, self.now, self.used)]
-        opened, above = [0], None
-        for _ in range(cfg.depth):
+        learned = block.learned(round_, cfg)
+        used = np.flatnonzero(learned)
+        self.widths, self.bins = [self.r.bins[c] for c in columns], np.stack([block.bins[c][used] for c in columns])
+        self.whole = np.rint((self.now - block.target)[used] * 2.0**self.r.bits)
+        # numpy adds up in doubles: all at once if no sum can reach 2 ** 53, else as many rows as can't
+        self.exact = max(len(used), 1) if np.abs(self.whole).sum() < 2.0**52 else BLOCK_ROWS
+        node, rows, place = np.zeros(len(used), np.int64), np.arange(len(used)), np.zeros(len(used), np.int64)
+        opened, sums = [0], self.shared(self.sums(rows, place, 1))
+        for depth in range(cfg.depth):
             level = Level([], tree, opened, features, columns, round_, self.r.bits, cfg)
-            sums = self.sums(tree, opened, columns) if above is None else self.children(level, above)
-            opened = grown(level, sums)
+            found = self.found(sums, len(opened))
+            opened = grown(level, found)
             if not opened:
                 break
-            above = sums[:, :, [k for k, n in enumerate(level.open) if tree.feature[n] >= 0]]
-            self.node = [tree.nodes(b.bins, n) for b, n in zip(self.blocks, self.node)]
-        value = np.array(tree.value)
-        self.now = [p + value[n] for p, n in zip(self.now, self.node)]
+            inner = np.flatnonzero(np.array(tree.feature)[level.open] >= 0)
+            best = found[found[:, inner, 0].argmax(axis=0), inner]
+            rows, place = self.stepped(tree, level, inner, rows, place)
+            node[rows] = np.array(opened)[place]
+            if depth + 1 == cfg.depth:
+                break
+            # the lesser child of each node is added up, the other has the rest
+            lesser = (2 * best[:, 4] > best[:, 6]).astype(np.int64)
+            own = place % 2 == lesser[place // 2]
+            least = self.shared(self.sums(rows[own], place[own] // 2, len(inner)))
+            at, above, sums = np.arange(len(inner)) * 2, sums, []
+            for a, b in zip(above, least):
+                sums.append(np.empty((2, len(opened), a.shape[2]), np.int64))
+                sums[-1][:, at + lesser], sums[-1][:, at + 1 - lesser] = b, a[:, inner] - b
+        value, others = np.array(tree.value), np.flatnonzero(~learned)
+        now = self.now.copy()
+        now[used] += value[node]
+        now[others] += value[tree.nodes(block.bins[:, others])]
+        self.now = now
         return tree
 
+    def stepped(self, tree: Tree, level: Level, inner: np.ndarray, rows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows in those open nodes that were split, and their places among the children."""
+        pair = np.full(len(level.open), -1)
+        pair[inner] = np.arange(len(inner))
+        pair = pair[place]
+        if len(inner) < len(level.open):
+            goes = np.flatnonzero(pair >= 0)
+            rows, pair = rows[goes], pair[goes]
+        feature, at, missing = (np.array(x)[level.open][inner] for x in (tree.feature, tree.bin, tree.missing_left))
+        first = np.searchsorted(level.columns, feature) * self.bins.shape[1]
+        b = self.bins.ravel()[first[pair] + rows]
+        left = b <= at[pair]
+        gap = np.flatnonzero(b == 0)
+        left[gap] = missing[pair[gap]]
+        return rows, 2 * pair + ~left
+
 
 def _together(batches: Iterator[pa.RecordBatch], rounds: Rounds) -> Iterator[pa.RecordBatch]:
     """GROWN after the rounds: all tasks of the stage grow the same trees, each from its own rows and the sums of all."""
-    task = Growing(list(_blocks(batches, len(rounds.bins))), rounds)
+    features = len(rounds.bins)
+    block, peers = Block.joined(list(_blocks(batches, features)), features), Peers(rounds.folder)
+    task = Growing(block, rounds, peers)
     trees, errors, ended = [], list(rounds.errors), False
     for round_ in range(rounds.first, rounds.last):
-        wrong, held = added(sum((b.wrong(p - b.target) for b, p in zip(task.blocks, task.now)), np.zeros(2, np.int64)))
+        wrong, held = peers.added(block.wrong(task.now - block.target))
         if round_ and held:
             errors.append(float(wrong / held / 65536))
         ended = round_ == rounds.cfg.rounds or stopped(errors, rounds.cfg.patience)
@@ -348,10 +462,11 @@ def _together(batches: Iterator[pa.RecordBatch], rounds: Rounds) -> Iterator[pa.
             break
         trees.append(task.tree(round_))
     schema = pa.schema([*BLOCK_ARROW, ("told", pa.string())])
-    for b, p in zip(task.blocks, task.now):
-        row = {"n": b.n, "so_far": p.tobytes()} | {c: getattr(b, c).tobytes() for c in ("bins", "target", "mark", "held")}
-        yield pa.RecordBatch.from_pylist([row], schema=schema)
-    if BarrierTaskContext.get().partitionId() == 0:
+    for k in range(0, block.n, rounds.block):
+        part = slice(k, k + rounds.block)
+        row = {"so_far": task.now[part].tobytes()} | {c: getattr(block, c)[..., part].tobytes() for c in ("bins", "target", "mark", "held")}
+        yield pa.RecordBatch.from_pylist([row | {"n": min(rounds.block, block.n - k)}], schema=schema)
+    if peers.own == 0:
         yield pa.RecordBatch.from_pylist([{"told": json.dumps({"trees": [asdict(t) for t in trees], "errors": errors, "ended": ended})}], schema=schema)
 
 
@@ -415,10 +530,14 @@ def columns_of(round_: int, features: int, cfg: BoostConfig) -> list[int]:
 def stage_tasks(spark: SparkSession, n: int) -> int:
     """Tasks of a barrier stage over n rows; 0 where they can't all run at once or would keep too many rows."""
     setting = lambda name, other: spark.sparkContext.getConf().get(name, other)
-    slots = spark.sparkContext.defaultParallelism // int(setting("spark.task.cpus", "1"))
-    tasks = max(-(-n // STAGE_ROWS), round((n / TOLD_ROWS) ** (1 / 3)), 1)
-    # telling sums took about a second a level in a trial with several tasks, more than a job per level does
-    return tasks if tasks == 1 <= slots and setting("spark.dynamicAllocation.enabled", "false") != "true" else 0
+    # a default of partitions that was set tells nothing about how many tasks can run at once
+    slots = 1 if setting("spark.default.parallelism", "") else spark.sparkContext.defaultParallelism // int(setting("spark.task.cpus", "1"))
+    try:
+        file_system(table_path(spark, "messages"))
+    except (pa.ArrowException, ValueError, OSError):  # not a store that tasks can write messages to
+        slots = min(slots, 1)
+    tasks = max(-(-n // STAGE_ROWS), min(-(-n // TASK_ROWS), MOST_TASKS, slots), 1)
+    return tasks if tasks <= slots and setting("spark.dynamicAllocation.enabled", "false") != "true" else 0
 
 
 def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = BoostConfig(), held: Column | None = None) -> BoostedTrees:
@@ -427,7 +546,7 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
     Rows for which `held` is true are not learned from; the rounds end where their error has not fallen for
     cfg.patience rounds. Each round takes cfg.subsample of the rows, by a hash of their values, and cfg.columns of the
     features. A task of a barrier stage, else the driver, holds sums per open node, feature and bin: 2 ** (depth - 1) *
-    features * 256 of them at most (and of all tasks of a stage, or of FEW_TASKS, where there are no more).
+    features * 256 of them at most (and of FEW_TASKS tasks on the driver, where there are no more).
     Predictions are stored with the rows every STAGE_ROUNDS or STORED_ROUNDS rounds, in the shared folder, so a lost
     executor costs at most that many trees' work; the table before goes.
     """
@@ -453,22 +572,23 @@ def fit(rows: DataFrame, features: list[str], target: str, cfg: BoostConfig = Bo
 
     path = table_path(spark, "blocks")
     tasks = stage_tasks(spark, n)
-    (known.coalesce(tasks) if tasks else known).mapInArrow(partial(_as_blocks, edges=edges, base=base), BLOCK).write.parquet(path)
+    most = min(BLOCK_ROWS, n // (tasks * DEALT_BLOCKS) + 1) if tasks else BLOCK_ROWS
+    (known.coalesce(tasks) if tasks else known).mapInArrow(partial(_as_blocks, edges=edges, base=base, most=most), BLOCK).write.parquet(path)
     removed(spark, source)
     model = BoostedTrees(features, edges, base, [], [])
-    return _grown_in_stages(spark, path, model, bits, cfg, tasks) if tasks else _grown_by_level(spark, path, model, bits, cfg)
+    return _grown_in_stages(spark, path, model, bits, cfg, tasks, most) if tasks else _grown_by_level(spark, path, model, bits, cfg)
 
 
-def _grown_in_stages(spark: SparkSession, path: str, model: BoostedTrees, bits: int, cfg: BoostConfig, tasks: int) -> BoostedTrees:
-    """STAGE_ROUNDS rounds a job: a barrier stage whose tasks keep their blocks and tell each other their sums."""
-    bins = np.arange(BINS) < np.array([len(e) + 2 for e in model.edges], int)[:, None]
+def _grown_in_stages(spark: SparkSession, path: str, model: BoostedTrees, bits: int, cfg: BoostConfig, tasks: int, most: int) -> BoostedTrees:
+    """STAGE_ROUNDS rounds a job: a barrier stage whose tasks keep their rows and tell each other their sums."""
     for first in range(0, cfg.rounds + 1, STAGE_ROUNDS):
-        rounds = Rounds(first, min(first + STAGE_ROUNDS, cfg.rounds + 1), model.errors, bins, bits, cfg)
+        folder = table_path(spark, "messages")
+        rounds = Rounds(first, min(first + STAGE_ROUNDS, cfg.rounds + 1), model.errors, [len(e) + 2 for e in model.edges], bits, cfg, most, folder)
         blocks = spark.read.schema(GROWN).parquet(path).filter("n is not null").drop("told")
-        dealt = blocks.withColumn("k", F.monotonically_increasing_id()).repartitionByRange(tasks, "k").drop("k")
         old, path = path, table_path(spark, "blocks")
-        dealt.mapInArrow(partial(_together, rounds=rounds), GROWN, barrier=True).write.parquet(path)
+        blocks.repartition(tasks).mapInArrow(partial(_together, rounds=rounds), GROWN, barrier=True).write.parquet(path)
         removed(spark, old)
+        removed(spark, folder)
         told = json.loads(spark.read.schema(GROWN).parquet(path).filter("told is not null").select("told").first().told)
         model.trees += [Tree(**t) for t in told["trees"]]
         model.errors = told["errors"]
@@ -500,7 +620,8 @@ def _grown_by_level(spark: SparkSession, path: str, model: BoostedTrees, bits: i
                     removed(spark, path)
                     return model
                 every = {c: v[~told] for c, v in every.items()}
-            opened = grown(level, gathered(level, every))
+            whole = gathered(level, every)
+            opened = grown(level, np.array([best_splits(whole[:, k, :, : len(model.edges[c]) + 2], cfg, bits) for k, c in enumerate(columns)]))
             if not opened:
                 break
         model.trees.append(tree)

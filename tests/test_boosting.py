@@ -1,5 +1,8 @@
 """Boosted trees against a plain version that splits rows, one node after another."""
 
+import pathlib
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +152,57 @@ def test_stages_have_few_tasks(spark):
     assert boosting.stage_tasks(spark, 1) == 1
     assert boosting.stage_tasks(spark, slots * boosting.STAGE_ROWS) <= slots
     assert boosting.stage_tasks(spark, (slots + 1) * boosting.STAGE_ROWS) == 0
+
+
+def test_many_rows_are_dealt_over_a_stage(spark):
+    slots = spark.sparkContext.defaultParallelism
+    assert [boosting.stage_tasks(spark, n) for n in (200_000, 1_600_000, 16_000_000)] == [4, slots, slots]
+
+
+def test_tasks_of_a_stage_tell_each_other_soon(spark, monkeypatch):
+    """Ten trees in three tasks, against a second a level where messages wait for the stage; no message is left."""
+    monkeypatch.setattr(boosting, "stage_tasks", lambda *_: 3)
+    df = table(spark, *made(900)).cache()
+    df.count()
+    begin = time.perf_counter()
+    assert len(boosting.fit(df, ["a", "b", "c", "d"], "y", boosting.BoostConfig(depth=6, rounds=10)).trees) == 10
+    assert time.perf_counter() - begin < 30
+    folder = pathlib.Path(written_folder(spark).removeprefix("file:"))
+    assert not list(folder.glob("messages-*")) and not list(folder.glob("blocks-*"))
+
+
+def test_tasks_without_rows(spark, monkeypatch):
+    df, cfg = table(spark, *made(30)).limit(3), boosting.BoostConfig(depth=2, rounds=3, subsample=1.0, least_rows=1)
+    told = []
+    for tasks in (1, 5):
+        monkeypatch.setattr(boosting, "stage_tasks", lambda *_, tasks=tasks: tasks)
+        told.append(boosting.fit(df, ["a", "b", "c", "d"], "y", cfg).to_json())
+    assert told[0] == told[1]
+
+
+def test_a_lost_task_ends_its_stage(spark, tmp_path):
+    def talk(batches):
+        peers = boosting.Peers(str(tmp_path))
+        if peers.own == 1:
+            raise ValueError("lost")
+        peers.added(np.zeros(1, np.int64))
+        yield from batches
+
+    with pytest.raises(Exception, match="lost"):
+        spark.range(9).repartition(3).mapInArrow(talk, "id long", barrier=True).collect()
+
+
+def test_sums_of_large_numbers_are_whole():
+    """Rows whose gradients add up beyond what doubles hold are added up in parts."""
+    rng = np.random.default_rng(5)
+    n, features = 3 * boosting.BLOCK_ROWS, 2
+    row = {"n": n, "bins": rng.integers(0, 3, (features, n)).astype(np.uint8).tobytes(), "target": np.full(n, 2.0**35 - 1).tobytes(), "so_far": np.zeros(n).tobytes()}
+    row |= {"mark": rng.integers(0, 2**62, n).astype("<u8").tobytes(), "held": np.zeros(n, bool).tobytes()}
+    block = boosting.Block(row, features)
+    cfg = boosting.BoostConfig(depth=1, subsample=1.0, columns=1.0)
+    alone = type("Alone", (), {"n": 1, "own": 0, "told": lambda self, parts: parts})()
+    task = boosting.Growing(block, boosting.Rounds(0, 1, [], [3, 3], 0, cfg, 1000, ""), alone)
+    task.tree(0)
+    rows = np.arange(n)
+    for sums, bins in zip(task.sums(rows, np.zeros(n, np.int64), 1), block.bins):
+        assert sums[0, 0].tolist() == [-(2**35 - 1) * int((bins == b).sum()) for b in range(3)]
